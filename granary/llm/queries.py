@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, warc
+from . import common, matroska, mixing, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,22 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"))
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op4_tokens": op4_tokens,
+    "op7_matroska": op7_matroska,
     "op8_warc": op8_warc,
 }
 
