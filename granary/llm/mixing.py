@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 #: Rows of a bucket within which documents are put into shuffled order by one window task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = 20240101
 
 
@@ -61,8 +61,9 @@ def queued(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     begin = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    n_buckets = plan.agg(F.sum("buckets")).first()[0] or 0
     return (
-        placed.join(F.broadcast(begin), placed["source"].eqNullSafe(begin["s"]) & (placed["bucket"] == begin["b"]))
+        placed.join(common.small_side(begin, n_buckets), placed["source"].eqNullSafe(begin["s"]) & (placed["bucket"] == begin["b"]))
         .withColumn("before", F.col("begin") + F.col("inside"))
         .drop("key", "bucket", "buckets", "s", "b", "begin", "inside", "n_docs")
     )
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     is cut there, so a source's taken words are its target rounded down. Null text has size 0 and is taken 0; a null
     source is a source of its own; rows with equal doc_id are queued next to each other. Extra columns are ignored.
     """
-    sized = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
+    sized = common.written(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     rows = queued(sized, targets, seed)
     # copies 0 .. floor(most): copy c begins at c * source_size + before; a copy gives what lies before the target
