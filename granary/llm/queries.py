@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, jaccard, matroska, mixing, quality, tokens, warc
+from . import common, decontaminate, jaccard, matroska, mixing, quality, tokens, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
 
@@ -37,8 +45,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_tokens": op4_tokens,
     "op5_jaccard": op5_jaccard,
+    "op6_html": op6_html,
     "op7_matroska": op7_matroska,
     "op8_warc": op8_warc,
     "op10_quality": op10_quality,
@@ -49,6 +59,27 @@ _BASE32 = """list_aggregate(list_transform(range(8), lambda k: list_aggregate(li
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT) // d) % 32, 1)), 'string_agg', '')), 'string_agg', '')"""
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3]::DOUBLE AS weight FROM s),
+r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM w),
+l AS (SELECT *, ((SELECT sum(source_size) * 1.5::DOUBLE FROM r) - coalesce(sum(cap) OVER o, 0)) / ((SELECT sum(weight) FROM r) - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source IS NULL, source LIMIT 1),
+t AS (SELECT source, source_size, least(cap, weight * coalesce((SELECT level FROM f), 'infinity'::DOUBLE)) AS target FROM l),
+q AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('20240101:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15), doc_id, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(2 * size, greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before))) AS BIGINT) AS taken,
+  CASE WHEN target > 0 THEN CAST(before + size AS DOUBLE) / target END AS finish FROM q""",
+    "op3_decontamination": """
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM t),
+s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+  ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 1 GROUP BY id),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found FROM s d JOIN s b ON d.kind = 0 AND b.kind = 1 AND d.g = b.g GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM m JOIN n ON n.id = item_id WHERE n_found / n_shingles >= 0.75""",
     "op5_jaccard": """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
