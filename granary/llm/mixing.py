@@ -52,11 +52,11 @@ def queued(docs: DataFrame, targets: DataFrame, seed: int = SEED) -> DataFrame:
     The place in the queue is a hash of doc_id, so reruns agree. Each source's queue is cut into buckets by that hash,
     as many as its rows need; sums by bucket give where each begins, and only a bucket is ever sorted in one task.
     """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     plan = targets.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.lit(BUCKET_ROWS))).cast("long"))
     keyed = docs.join(F.broadcast(plan), docs["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     # the hash's place in its range, as a fraction, tells the bucket: buckets follow each other in hash order
-    keyed = keyed.withColumn("key", key).withColumn("bucket", F.least(F.floor((F.col("key").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("buckets")), F.col("buckets") - 1))
+    keyed = keyed.withColumn("key", key).withColumn("bucket", F.least(F.floor(F.col("key").cast("double") / F.lit(2.0**60) * F.col("buckets")), F.col("buckets") - 1))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     begin = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
