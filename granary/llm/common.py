@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,6 +94,17 @@ def word_count(col):
     ).cast("long")
 
 
+_SHIPPED: set[str] = set()
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Caps the rows of an Arrow batch, so that a batch of very long texts stays within a worker's memory."""
+    """To be called before Python code is sent out: caps the rows of an Arrow batch, so that a batch of very long texts
+    stays within a worker's memory, and ships this package to the executors once for each application."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
