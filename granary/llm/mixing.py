@@ -97,17 +97,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """The mix itself: docs with a row for each copy that begins before its source's target, globally range-sorted by
-    virtual finish time. Columns of docs stay as they are; `mix_finish` is added. Copies of cut documents are whole,
-    so a source goes beyond its target by less than one document."""
-    sized = docs.withColumn("mix_size", common.word_count(F.col("text")))
-    key = F.struct("doc_id", "source", F.col("mix_size").alias("size"))
-    targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, share, most)
-    places = queued(sized.select(key.alias("k")).select("k.*"), targets, seed).where("size > 0")
-    copies = places.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))).withColumn("start", F.col("copy") * F.col("source_size") + F.col("before"))
-    kept = copies.where(F.col("start") < F.floor("target"))
-    # repeated rows of one doc_id have the same text length and source here; one place list each
-    per_doc = kept.groupBy(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.collect_list(((F.col("start") + F.col("size")) / F.col("target"))).alias("finishes"), F.countDistinct("before").alias("rows"))
-    ranked = sized.join(per_doc, sized["doc_id"].eqNullSafe(per_doc["d"]) & sized["source"].eqNullSafe(per_doc["s"]) & (sized["mix_size"] == per_doc["n"]))
-    out = ranked.withColumn("mix_finish", F.explode("finishes")).drop("d", "s", "n", "finishes", "rows", "mix_size")
+    """The mix itself: a row of docs for each copy that begins before its source's target, globally range-sorted by
+    virtual finish time. Columns of docs stay as they are and `mix_finish` is added. The copy that crosses a target is
+    whole, so a source goes beyond its target by less than one document; rows without words aren't in the mix."""
+    known = docs.withColumns({"mix_size": common.word_count(F.col("text")), "mix_text": F.xxhash64("text")})
+    row = ["doc_id", "source", "mix_size", "mix_text"]
+    sized = common.written(known.select("doc_id", "source", F.col("mix_size").alias("size"), "mix_text"), "mix-sizes")
+    targets = source_targets(sized, weights, share, most)
+    copies = queued(sized, targets, seed).where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))).withColumn("start", F.col("copy") * F.col("source_size") + F.col("before"))
+    kept = copies.where(F.col("start") < F.floor("target")).withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
+    grouped = kept.groupBy("doc_id", "source", "size", "mix_text").agg(F.sort_array(F.collect_list("finish")).alias("finishes"), F.count_if(F.col("copy") == 0).alias("rows"))
+    places = common.written(grouped.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("mix_text").alias("t"), "finishes", "rows"), "mix-places")
+    side = common.small_side(places, places.count())
+    same = known["doc_id"].eqNullSafe(side["d"]) & known["source"].eqNullSafe(side["s"]) & (known["mix_size"] == side["n"]) & (known["mix_text"] == side["t"])
+    joined = known.join(side, same)
+    if places.where("rows > 1").isEmpty():
+        placed = joined
+    else:  # rows that repeat id, source and text share the places of them all
+        placed = joined.where("rows = 1").union(joined.where("rows > 1").dropDuplicates(row))
+    out = placed.withColumn("mix_finish", F.explode("finishes")).select(*docs.columns, "mix_finish")
     return out.repartitionByRange("mix_finish", "doc_id").sortWithinPartitions("mix_finish", "doc_id")

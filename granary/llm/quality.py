@@ -216,3 +216,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     """
     model = fitted(docs, labels, fit_rows)
     return scored(docs.select("doc_id", "text"), model, threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that the classifier, fitted on docs and labels, doesn't reject, with docs' own columns."""
+    return scored(docs, fitted(docs, labels, fit_rows), threshold).where("predicted = 1").select(*docs.columns)

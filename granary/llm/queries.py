@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, jaccard, matroska, mixing, quality, tokens, warc, wrappers
+from . import common, decontaminate, jaccard, matroska, mixing, pii, quality, scoring, tokens, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,11 +43,16 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.media_column(table(spark, sf_dir, "documents")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_scoring": op1_scoring,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_tokens": op4_tokens,
@@ -51,6 +60,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_matroska": op7_matroska,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
