@@ -1 +1,190 @@
+"""Cleaning, headings, sections, chunks, keywords and scalar text functions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.catalog import sql as S
+from granary.functions import text as T
+from granary.operators import ingest as I
+from granary.registry import query
+from granary.session import table
+
+# Lines that the tables don't have: printed headers, headings, bullets, endpoints and the like.
+LINES = [
+    (1, "1/2/2024, 3:04 PM Guide"), (2, "  Page 3 of 9 https://x"), (3, "Plain words here"), (4, "# Title"), (5, "###### Deep title"), (6, "Summary"), (7, "Job"), (8, "Getting Started"),
+    (9, "class Foo bar"), (10, "Ends with colon:"), (11, "lower case start"), (12, "A" + "b" * 70), (13, ""), (14, "  Two  words  "), (15, "Éclair Time"), (16, "#NoBlank"), (17, "Case closed"),
+]
+_LINES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LINES) + ") t(id, line)"
+ITEMS = [(1, "• one • two ▪ three"), (2, "no bullets"), (3, "lead ‣ a ∙ ∙ b "), (4, "●"), (5, "end ●")]
+_ITEMS = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ITEMS) + ") t(id, line)"
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+
+
+def _lines(spark, rows=LINES):
+    return spark.createDataFrame(rows, "id int, line string")
+
+
+_HEADING = """(regexp_matches(l, '^#{1,6}\\s+.') OR (length(l) BETWEEN 1 AND 60 AND regexp_matches(l, '^\\p{Lu}') AND NOT regexp_matches(l, '[.:,;]$') AND (regexp_matches(l, '\\s') OR lower(l) IN (""" + S.quoted(T.SECTION_WORDS) + """))
+  AND NOT regexp_matches(lower(l), '^(""" + "|".join(T.CODE_PREFIXES) + """)')))"""
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_HEADINGS = f"""h AS (SELECT doc_id, CAST(start AS INT) AS start, CASE WHEN regexp_matches(l, '^#{{1,6}}\\s+.') THEN trim(regexp_extract(l, '^#{{1,6}}\\s+(.+)$', 1)) ELSE l END AS heading FROM (
+  SELECT doc_id, {_STRIP.format('line')} AS l, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE {_HEADING})"""
+
+
+@query("clean_page", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*(\\d{1,2}/\\d{1,2}/\\d{2,4},\\s*\\d{1,2}:\\d{2}\\s*[AP]M|Page\\s+\\d+\\s+of\\s+\\d+)')), chr(10)) AS text FROM documents")
+def clean_page(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.clean_page(F.col("content")).alias("text"))
+
+
+@query("norm_ws", "SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM documents")
+def norm_ws(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.normalize_space(F.col("content")).alias("text"))
+
+
+@query("heading_flag", f"SELECT id, {_HEADING} AS heading FROM (SELECT id, {_STRIP.format('line')} AS l FROM {_LINES})")
+def heading_flag(spark, sf_dir):
+    return _lines(spark).select("id", T.looks_like_heading(F.col("line")).alias("heading"))
+
+
+@query("headings", f"WITH {_HEADINGS} SELECT * FROM h")
+def headings(spark, sf_dir):
+    return I.headings(docs(spark, sf_dir))
+
+
+_RAW = f"""WITH {_HEADINGS}, c AS (SELECT doc_id, start, heading FROM h UNION ALL SELECT doc_id, 0, NULL FROM documents WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = documents.doc_id AND h.start = 0)),
+s AS (SELECT doc_id, start, heading, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS stop, count(*) OVER (PARTITION BY doc_id) AS n FROM c),
+r AS (SELECT doc_id, start, heading AS section, substr(text, start + 1, coalesce(stop, length(text)) - start) AS text, n FROM s JOIN documents USING (doc_id))
+SELECT doc_id, start, section, text FROM r WHERE NOT regexp_matches(text, '^\\s*$') OR (section IS NULL AND n = 1)"""
+
+
+@query("sections_raw", _RAW)
+def sections_raw(spark, sf_dir):
+    return I.raw_sections(docs(spark, sf_dir))
+
+
+@query("sections")
+def sections(spark, sf_dir):
+    """Compared with a plain model in the tests."""
+    return I.sections(docs(spark, sf_dir))
+
+
+@query("bullet_items", f"SELECT id, CAST(start AS INT) AS start, item FROM (SELECT id, item, coalesce(sum(length(item) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, n FROM (SELECT id, unnest(regexp_split_to_array(line, '[•●▪‣∙]')) AS item, generate_subscripts(regexp_split_to_array(line, '[•●▪‣∙]'), 1) AS i, len(regexp_split_to_array(line, '[•●▪‣∙]')) AS n FROM {_ITEMS})) WHERE n = 1 OR NOT regexp_matches(item, '^\\s*$')")
+def bullet_items(spark, sf_dir):
+    return _lines(spark, ITEMS).select("id", F.explode(I.bullet_items(F.col("line"))).alias("i")).select("id", "i.start", "i.item")
+
+
+def _pieces_sql() -> str:
+    def step(prev: str, name: str, sep: str, width: int) -> str:
+        parts = f"CASE WHEN length(t) > 512 THEN string_split(t, {sep}) ELSE [t] END"
+        return f"""{name} AS (SELECT doc_id, start + before AS start, p AS t FROM (SELECT doc_id, start, p, i, coalesce(sum(length(p) + {width}) OVER (PARTITION BY doc_id, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT doc_id, start, unnest({parts}) AS p, generate_subscripts({parts}, 1) AS i FROM {prev})) WHERE p <> '')"""
+
+    return f"WITH a0 AS (SELECT doc_id, 0 AS start, text AS t FROM documents), {step('a0', 'a1', 'chr(10) || chr(10)', 2)}, {step('a1', 'a2', 'chr(10)', 1)}, {step('a2', 'a3', chr(39) + ' ' + chr(39), 1)}, {step('a3', 'a4', chr(39) * 2, 0)} SELECT doc_id, CAST(start AS INT) AS start, t AS piece FROM a4"
+
+
+@query("atomic_pieces", _pieces_sql())
+def atomic_pieces(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(I.atomic_pieces(F.col("content"))).alias("p")).select("doc_id", "p.start", F.col("p.t").alias("piece"))
+
+
+def _chunks(spark, sf_dir, overlap):
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(I.chunk_text(F.col("content"), I.CHUNK_SIZE, overlap)).alias("chunk_no", "c"))
+    return rows.select("doc_id", "chunk_no", "c.t", "c.start", "c.end")
+
+
+@query("chunk_text")
+def chunk_text(spark, sf_dir):
+    """Compared with a plain model in the tests."""
+    return _chunks(spark, sf_dir, I.OVERLAP)
+
+
+@query("chunk_text_no_overlap")
+def chunk_text_no_overlap(spark, sf_dir):
+    return _chunks(spark, sf_dir, 0)
+
+
+@query("ingest_chunks")
+def ingest_chunks(spark, sf_dir):
+    """The whole way from documents to chunks; compared with a plain model in the tests."""
+    return I.ingest_chunks(docs(spark, sf_dir))
+
+
+@query("ingest_doc_summary")
+def ingest_doc_summary(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return I.document_summary(d, I.ingest_chunks(d))
+
+
+@query("page_for_span", """WITH s AS (SELECT event_id, CAST(user_id * 7 AS INT) AS a, CAST(user_id * 7 + event_id % 60 AS INT) AS b FROM events), p AS (SELECT i AS page, i * 90 - 90 AS x, i * 90 - 5 AS y FROM range(1, 13) t(i))
+SELECT event_id, CAST(arg_max(page, o * 100 - page) AS BIGINT) AS page FROM (SELECT event_id, page, greatest(-1, least(b, y) - greatest(a, x)) AS o FROM s, p) GROUP BY event_id""")
+def page_for_span(spark, sf_dir):
+    bounds = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct((i * 90 - 90).alias("start"), (i * 90 - 5).alias("end"), i.alias("page")))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 7).cast("int").alias("a"), (F.col("user_id") * 7 + F.col("event_id") % 60).cast("int").alias("b"))
+    return e.select("event_id", I.page_for_span(F.col("a"), F.col("b"), bounds).cast("long").alias("page"))
+
+
+_FIT = f"""WITH t AS (SELECT source AS doc_id, doc_id AS chunk_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: w NOT IN ({S.quoted(I.KEYWORD_STOPWORDS)}))) AS tok FROM documents),
+tf AS (SELECT doc_id, chunk_id, tok, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT doc_id, tok, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL),
+k AS (SELECT * FROM df QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cf DESC, tok) <= 500), n AS (SELECT source AS doc_id, count(*) AS n FROM documents GROUP BY source),
+w AS (SELECT tf.doc_id, chunk_id, tf.tok, round(tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1), 9) AS w FROM tf JOIN k ON tf.doc_id = k.doc_id AND tf.tok = k.tok JOIN n ON n.doc_id = tf.doc_id WHERE NOT regexp_matches(tf.tok, '^[\\d.,%/-]+$'))
+SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY w DESC, tok) AS rank, tok AS keyword FROM w QUALIFY rank <= 8"""
+
+
+@query("tfidf_keywords", _FIT)
+def tfidf_keywords(spark, sf_dir):
+    """Sources stand for documents and their documents for chunks."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return I.tfidf_keywords(d)
+
+
+@query("clean_keyword", f"SELECT p_partkey, CASE WHEN length(k) >= 2 THEN k END AS keyword FROM (SELECT p_partkey, {_STRIP.format(chr(34).join(['regexp_replace(p_name || ' + chr(39) + ' ’x', chr(39) + ', ' + chr(39) + '[‘’“”' , ']' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')']))} AS k FROM part)")
+def clean_keyword(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.clean_keyword(F.concat("p_name", F.lit(" ’x\""))).alias("keyword"))
+
+
+@query("source_blocks", "SELECT conv_id, turn, unnest(b) AS block, generate_subscripts(b, 1) AS block_no FROM (SELECT conv_id, turn, regexp_extract_all('<x><source id=\"1\">' || text || '</source> t ' || '<source id=\"22\">' || role || chr(10) || '</source>', '(?s)<source id=\"\\d+\">.*?</source>') AS b FROM conversations)")
+def source_blocks(spark, sf_dir):
+    made = F.concat(F.lit('<x><source id="1">'), "text", F.lit("</source> t "), F.lit('<source id="22">'), "role", F.lit("\n</source>"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(I.source_blocks(made)).alias("block_no", "block"))
+    return rows.withColumn("block_no", (F.col("block_no") + 1).cast("long"))
+
+
+@query("reprocess_replace", "SELECT doc_id, text, lang, 'old' AS version FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'again: ' || text, lang, 'new' FROM documents WHERE doc_id % 7 = 0")
+def reprocess_replace(spark, sf_dir):
+    """Chunks of reprocessed documents take the place of the old ones; others stay."""
+    from granary.operators.storage import replace_by_key
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit("old").alias("version"))
+    new = d.where("doc_id % 7 = 0").select("doc_id", F.concat(F.lit("again: "), "text").alias("text"), "lang", F.lit("new").alias("version"))
+    return replace_by_key(d, new, "doc_id")
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------
+@query("tokenize_standard", f"SELECT doc_id, array_to_string({S.tok('text')}, ' ') AS tokens FROM documents")
+def tokenize_standard(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query("tokenize_whitespace", f"SELECT doc_id, array_to_string({S.words('lower(text)')}, ' ') AS tokens FROM documents")
+def tokenize_whitespace(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("content"), "whitespace"), " ").alias("tokens"))
+
+
+@query("token_estimate", f"SELECT doc_id, {S.estimate('text')} AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query("truncate_tokens", f"SELECT doc_id, CASE WHEN {S.estimate('text')} <= 50 THEN text ELSE array_to_string(list_slice({S.words('text')}, 1, 37), ' ') || chr(10) || chr(10) || '[Context truncated due to token limit]' END AS text FROM documents")
+def truncate_tokens(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.truncate_tokens(F.col("content"), F.lit(50)).alias("text"))
+
+
+@query("doc_key", "SELECT page_id, regexp_replace(trim(lower(url || '.PDF ')), '\\.(pdf|md|txt|docx|doc)$', '') AS key, regexp_replace(regexp_replace(lower(url || '.tar.gz'), '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS stem FROM pages")
+def doc_key(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.document_key(F.concat("url", F.lit(".PDF "))).alias("key"), T.document_stem(F.concat("url", F.lit(".tar.gz"))).alias("stem"))

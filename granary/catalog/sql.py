@@ -74,7 +74,7 @@ def interleave_cte(vec: str, bm: str, k: int, name: str = "mix") -> str:
 
 def rerank_cte(source: str, candidates: int, n: int, name: str = "rer") -> str:
     return f"""{name}_s AS (SELECT r.query_id, r.chunk_id, r.pos, r.rank AS before, round(CASE WHEN len(list_distinct({terms('b.text')})) = 0 THEN 0
-  ELSE len(list_intersect(list_distinct({terms('b.text')}), list_distinct({tok('d.text')}))) / len(list_distinct({terms('b.text')})) END, 6) AS score
+  ELSE len(list_intersect(list_distinct({terms('b.text')}), list_distinct({tok('d.text')}))) / len(list_distinct({terms('b.text')})) END, 9) AS score
   FROM {source} r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.chunk_id WHERE r.rank <= {candidates}),
 {name} AS (SELECT query_id, chunk_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM {name}_s QUALIFY rank <= {n})"""
 

@@ -108,7 +108,7 @@ def interleave(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
 def coverage(query: Column, content: Column) -> Column:
     """Share of the query's distinct terms among the content's tokens: the scorer that needs no model."""
     terms = F.array_distinct(T.query_terms(query))
-    return F.round(F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(terms, T.tokens(content))) / F.size(terms)), 6)
+    return F.round(F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(terms, T.tokens(content))) / F.size(terms)), 9)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, candidate_count: int = 20, top_n: int = 10, scorer=coverage) -> DataFrame:

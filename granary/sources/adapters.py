@@ -71,3 +71,47 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPANS_SQL = """(SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS trace_id, event_id AS span_id, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens,
   CAST(json_extract_string(props, '$.k') AS BIGINT) * 0.0000005::DOUBLE AS cost, ts AS start_ts, ts + to_seconds(event_id % 97) AS end_ts FROM events)"""
+
+
+def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded cases out of labelled documents: ids, grouping keys, metrics (some missing), status and failure categories."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("case_id"), F.when(F.col("lang") != "de", F.col("lang")).alias("difficulty"), F.array("lang", "source").alias("tags"), F.col("source").alias("problem_type"), F.col("lang").alias("mode"),
+        F.when(F.col("quality") == 1, "passed").when(F.col("toxic") == 1, "partial").otherwise("failed").alias("status"),
+        F.col("quality").cast("double").alias("hit_rate"), (i % 5 / 5).alias("recall"), (i % 3 / 3).alias("precision"), (F.lit(1.0) / (1 + i % 4)).alias("mrr"), F.when(i % 11 != 0, i % 7 / 7).alias("ndcg"),
+        F.col("n_chars").cast("double").alias("latency_ms"), F.when(F.col("quality") == 0, F.array(F.when(F.col("toxic") == 1, "poor_answer").otherwise("poor_ranking"), F.lit("unheard_of"))).otherwise(F.array().cast("array<string>")).alias("failures"),
+        (F.col("quality") == 1).alias("outcome_pass"), ((F.col("quality") == 1) & (i % 2 == 0)).alias("trajectory_pass"),
+    )
+
+
+#: case_results() in DuckDB.
+CASES_SQL = """(SELECT doc_id AS case_id, CASE WHEN lang <> 'de' THEN lang END AS difficulty, [lang, source] AS tags, source AS problem_type, lang AS mode,
+  CASE WHEN quality = 1 THEN 'passed' WHEN toxic = 1 THEN 'partial' ELSE 'failed' END AS status, quality::DOUBLE AS hit_rate, (doc_id % 5)::DOUBLE / 5 AS recall, (doc_id % 3)::DOUBLE / 3 AS "precision",
+  1.0::DOUBLE / (1 + doc_id % 4) AS mrr, CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 7)::DOUBLE / 7 END AS ndcg, n_chars::DOUBLE AS latency_ms,
+  CASE WHEN quality = 0 THEN [CASE WHEN toxic = 1 THEN 'poor_answer' ELSE 'poor_ranking' END, 'unheard_of'] ELSE [] END AS failures,
+  quality = 1 AS outcome_pass, quality = 1 AND doc_id % 2 = 0 AS trajectory_pass FROM documents JOIN labels USING (doc_id))"""
+
+
+def arm_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arm, case_id, latency_ms, tokens, cost, passed of two arms."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("arm"), F.col("l_partkey").alias("case_id"), F.col("l_extendedprice").alias("latency_ms"), F.col("l_quantity").cast("long").alias("tokens"),
+        (F.col("l_quantity") * 0.0000005).alias("cost"), (F.col("l_returnflag") != "R").alias("passed"), F.col("l_orderkey"), F.col("l_linenumber"),
+    )
+
+
+ARMS_SQL = "(SELECT l_linestatus AS arm, l_partkey AS case_id, l_extendedprice AS latency_ms, CAST(l_quantity AS BIGINT) AS tokens, l_quantity * 0.0000005::DOUBLE AS cost, l_returnflag <> 'R' AS passed, l_orderkey, l_linenumber FROM lineitem)"
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, answer, question, keywords: turns as answers to the turn before."""
+    c = table(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    joined = c.join(before, ["conv_id", "turn"])
+    return joined.select(F.concat_ws(":", "conv_id", "turn").alias("case_id"), F.col("text").alias("answer"), "question", F.slice(T.space_words(F.col("question")), 1, 3).alias("keywords"))
+
+
+ANSWERS_SQL = """(SELECT c.conv_id || ':' || c.turn AS case_id, c.text AS answer, b.text AS question, list_slice(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda w: w <> ''), 1, 3) AS keywords
+  FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1)"""
