@@ -1 +1,52 @@
+"""Rate limits, event counts, agent steps and server-sent events."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.registry import query
+from granary.session import table
+from granary.sources import files
+from granary.streaming import stateful as SS
+
+
+@query("rate_limit_admit")
+def rate_limit_admit(spark, sf_dir):
+    """Compared with a plain model in the tests."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "ts")
+    return SS.rate_limit(e, 2, 3600)
+
+
+@query("client_id", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || (user_id % 250) WHEN event_id % 3 = 1 THEN 'peer' || user_id ELSE 'peer' || user_id END AS client FROM events")
+def client_id(spark, sf_dir):
+    i = F.col("event_id") % 3
+    head = F.when(i == 0, F.concat(F.lit(" 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" , 1.2.3.4"))).when(i == 1, F.lit(" , 9.9.9.9"))
+    return table(spark, sf_dir, "events").select("event_id", SS.client_id(head, F.concat(F.lit("peer"), "user_id")).alias("client"))
+
+
+@query("event_counts", "SELECT event_type AS stage, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def event_counts(spark, sf_dir):
+    """Counts by stage and hour of a file stream, run over all that is there."""
+    out, mark = files.shared_path(spark, "counts"), files.shared_path(spark, "mark")
+    e = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*").select("ts", F.col("event_type").alias("stage"))
+    q = SS.event_counts(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("granary_counts_" + mark.split("/")[-2]).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.table("granary_counts_" + mark.split("/")[-2]).write.parquet(out)
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("events_to_steps", "SELECT conv_id AS run, turn AS step, 'because ' || role AS reason, role AS tool, length(text) AS latency_ms, substr(text, 1, 20) AS observation FROM conversations")
+def events_to_steps(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    kinds = {"reason": F.concat(F.lit("because "), "role"), "action.start": F.col("role"), "action.done": F.length("text").cast("string"), "observation": F.substring("text", 1, 20)}
+    events = c.select(F.col("conv_id").alias("run"), F.col("turn").alias("step"), F.explode(F.array(*(F.struct(F.lit(k).alias("type"), v.alias("data")) for k, v in kinds.items()))).alias("e")).select("run", "step", "e.*")
+    return SS.fold_steps(events)
+
+
+@query("sse_parse", "SELECT conv_id, string_agg(role || ' ', '' ORDER BY turn) AS content FROM conversations WHERE turn < 3 GROUP BY conv_id")
+def sse_parse(spark, sf_dir):
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("role", F.lit(" ")).alias("content")).alias("delta"))).alias("choices"))))
+    c = table(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("l"))
+    lines = F.concat(F.array(F.lit(": ping"), F.lit("data: {}")), F.transform("l", lambda x: x["l"]), F.array(F.lit("data: [DONE]"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')))
+    return c.select("conv_id", SS.sse_content(lines).alias("content"))

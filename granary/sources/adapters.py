@@ -65,12 +65,12 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").select(
         F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("trace_id"), F.col("event_id").alias("span_id"), F.col("event_type").alias("stage"), k.alias("tokens"),
-        (k * F.lit(0.0000005)).alias("cost"), F.col("ts").alias("start_ts"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 97).cast("decimal(18,6)"))).alias("end_ts"),
+        (k * F.lit(0.0000004)).alias("cost"), F.col("ts").alias("start_ts"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 97).cast("decimal(18,6)"))).alias("end_ts"),
     )
 
 
 SPANS_SQL = """(SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS trace_id, event_id AS span_id, event_type AS stage, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens,
-  CAST(json_extract_string(props, '$.k') AS BIGINT) * 0.0000005::DOUBLE AS cost, ts AS start_ts, ts + to_seconds(event_id % 97) AS end_ts FROM events)"""
+  CAST(json_extract_string(props, '$.k') AS BIGINT) * 0.0000004::DOUBLE AS cost, ts AS start_ts, ts + to_seconds(event_id % 97) AS end_ts FROM events)"""
 
 
 def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
