@@ -14,7 +14,7 @@ SPECIALISTS = ["version_deprecation", "code_sample"]
 def path_pattern(template: Column) -> Column:
     """A path template as a pattern: {name} stands for anything but slashes and white space."""
     escaped = F.regexp_replace(template, r"([\\.\[\]^$*+?()|\-])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\{[^}]+\}", r"[^/\\\\s]+"), F.lit("$"))
+    return F.concat(F.lit("^"), F.regexp_replace(escaped, r"\{[^}]+\}", r"[^/\\s]+"), F.lit("$"))
 
 
 def unknown_endpoints(answers: DataFrame, templates: DataFrame) -> DataFrame:
