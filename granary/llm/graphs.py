@@ -7,13 +7,44 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 
+#: Links that one task reduces to a forest.
+FOREST_LINKS = 400_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes: of every task's links one for each node at most, to the smallest node it reaches there."""
+
+    def reduce(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = up[p]
+                x = p
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        rows = [(x, r) for x in list(up) if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], names=["a", "b"])
+
+    parts = max(1, -(-edges.count() // FOREST_LINKS))
+    common.small_batches(edges.sparkSession)
+    return edges.coalesce(parts).mapInArrow(reduce, "a long, b long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Written table node, comp (the smallest node reachable) of edges(a long, b long); loops and repeats do no harm.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so the distance to the
+    Links are first reduced to forests, task by task. Each round takes the smallest label among the neighbours and then the label's own label, so the distance to the
     smallest node at least halves; rounds end when no label falls. Every round's labels are a written table.
     """
-    links = edges.select("a", "b").where("a <> b")
+    links = forest(edges.select("a", "b").where("a <> b"))
     sym = common.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
     labels = common.written(sym.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "cc-labels")
     while not labels.where("moved").isEmpty():

@@ -7,7 +7,7 @@ and the first y - ceil(t y) + 1 of the larger share one. The order puts n-grams
 common passages hardly ever enter a block. A block multiplies its n-gram columns, accumulates overlap counts by pair
 and drops pairs whose sizes or counts exclude t.
 
-A column longer than SHORT only gives pairs with its first class; its rows are kept. What those pairs leave
+A column longer than SHORT gives each class a neighbour in an order of the column's own; its rows are kept. What those pairs leave
 unconnected is multiplied in full in a second round, but only between different components, so a group of thousands
 of copies costs its size and not its square, and no link between different texts is lost. Every pair is verified
 against the whole sets. N-grams are compared as 64-bit hashes, in which two differ with odds of 2^-64 not.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, graphs
 
@@ -26,9 +26,13 @@ WORDS = 5
 #: Columns up to this length give all pairs at once.
 SHORT = 32
 #: N-grams in this many classes of one task's piece are noted as common.
-COMMON = 8
+COMMON = 2
 #: Of the common n-grams, as many as the order puts last; the order is a matter of speed alone.
 COMMON_KEPT = 100_000
+#: N-grams that a task counts before it passes the common ones on.
+PROFILED = 2_000_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 150_000
 #: Rows of the incidence in a block, about.
 BLOCK_ROWS = 400_000
 #: Members of a candidate group that one task verifies together; larger groups are cut into pairs of chunks.
@@ -62,7 +66,7 @@ def gram_set(text: bytes | None, n: int = WORDS) -> np.ndarray:
 
     bytes.lower and bytes.split know just the letters and the white space that are asked for.
     """
-    if len(_WORDS) > 2_000_000:
+    if len(_WORDS) > REMEMBERED:
         _WORDS.clear()
     words = np.frombuffer(b"".join(map(_WORDS.__getitem__, (text or b"").lower().split())), dtype="<u8")
     if not len(words):
@@ -109,7 +113,7 @@ def profile(docs: DataFrame) -> DataFrame:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-            if size > 4_000_000:
+            if size > PROFILED:
                 yield common_rows()
                 seen, held, size = set(), [], 0
         yield common_rows()
@@ -124,10 +128,10 @@ def _shares(t: float, n: int) -> tuple[int, int]:
     return n - math.ceil(2 * t / (1 + t) * n - eps) + 1, n - math.ceil(t * n - eps) + 1
 
 
-def incidence(docs: DataFrame, common_grams: np.ndarray, counts: np.ndarray, blocks: int, t: float) -> DataFrame:
+def incidence(docs: DataFrame, known: np.ndarray, counts: np.ndarray, blocks: int, t: float) -> DataFrame:
     """Rows of packed incidence: block, keys (hashes), flags (1: of the smaller set's share, 2: of a dealt n-gram), local class numbers, classes, sizes.
 
-    common_grams is sorted. An n-gram of over BLOCK_ROWS classes is dealt over several blocks by class.
+    known is sorted. An n-gram of over BLOCK_ROWS classes is dealt over several blocks by class.
     """
     deals = np.maximum(1, -(-counts // (BLOCK_ROWS // 4))).astype(np.uint64)
 
@@ -140,9 +144,9 @@ def incidence(docs: DataFrame, common_grams: np.ndarray, counts: np.ndarray, blo
             g, f, d = np.concatenate(grams), np.concatenate(flags), np.repeat(np.arange(len(local), dtype=np.int64), local)
             cls, n = np.array(classes, np.int64), np.array(sizes, np.int32)
             block = g >> np.uint64(32)
-            if len(common_grams):
-                at = np.minimum(np.searchsorted(common_grams, g), len(common_grams) - 1)
-                many = (common_grams[at] == g) & (deals[at] > 1)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                many = (known[at] == g) & (deals[at] > 1)
                 f = f | np.where(many, 2, 0).astype(np.uint8)
                 block = np.where(many, block + (cls[d].view(np.uint64) % deals[at]) * np.uint64(7919), block)
             block = (block % np.uint64(blocks)).astype(np.int64)
@@ -165,9 +169,9 @@ def incidence(docs: DataFrame, common_grams: np.ndarray, counts: np.ndarray, blo
                 if c is None or c in seen:
                     continue
                 seen.add(c)
-                if len(common_grams):
-                    at = np.minimum(np.searchsorted(common_grams, s), len(common_grams) - 1)
-                    weight = np.where(common_grams[at] == s, counts[at], 0)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    weight = np.where(known[at] == s, counts[at], 0)
                     if weight.any():
                         s = s[np.lexsort((s, weight))]
                 index, probe = _shares(t, len(s))
@@ -204,38 +208,72 @@ def _product(pdf, t: float):
     lengths = np.diff(np.append(starts, len(keys)))
     dealt = np.add.reduceat((flags >> 1).astype(np.int64), starts) > 0 if len(starts) else np.zeros(0, bool)
     long = (lengths > SHORT) | dealt
-    a_parts, b_parts = [], []
     # all pairs of the short columns, a step of the distance within a column at a time
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     short_row = np.repeat(~long, lengths)
     column = np.repeat(np.arange(len(starts)), lengths)
-    for step in range(1, SHORT):
-        x = np.flatnonzero(short_row[:-step] & (column[:-step] == column[step:])) if step < len(keys) else np.zeros(0, int)
+    alike = lambda x, y: np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9
+    for step in range(1, min(SHORT, len(keys))):
+        x = np.flatnonzero(short_row[:-step] & (column[:-step] == column[step:]))
         if not len(x):
             break
-        y = x + step
-        fits = (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9) & np.where(n[x] < n[y], flags[x] & 1, np.where(n[x] > n[y], flags[y] & 1, flags[x] & flags[y] & 1)).astype(bool)
-        a_parts.append(cls[x[fits]])
-        b_parts.append(cls[y[fits]])
-    # of a long column: its first class and its neighbours
+        x = x[alike(x, x + step)]
+        found.append((x, x + step))
+    plain = sum(len(x) for x, _ in found)
+    # of a long column: neighbours in an order that is its own, so that a class meets another in every column
     rows = np.flatnonzero(np.repeat(long, lengths))
     if len(rows):
-        lead = np.repeat(starts, lengths)[rows]
-        by_size = rows[np.lexsort((cls[rows], n[rows], column[rows]))]
-        pairs = [(lead, rows), (by_size[:-1][same], by_size[1:][same])] if (same := column[by_size[:-1]] == column[by_size[1:]]).any() else [(lead, rows)]
-        for x, y in pairs:
-            ok = (cls[x] != cls[y]) & (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9)
-            a_parts.append(cls[x[ok]])
-            b_parts.append(cls[y[ok]])
-    a, b = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (a_parts, b_parts))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    m = pairs.shape[1]
+        mixed = rows[np.lexsort((_mixed(cls[rows].view(np.uint64) ^ keys[rows]), column[rows]))]
+        x, y = mixed[:-1], mixed[1:]
+        ok = (column[x] == column[y]) & alike(x, y)
+        found.append((x[ok], y[ok]))
+    x, y = (np.concatenate(z) if found else np.zeros(0, int) for z in (zip(*found, strict=True) if found else ((), ())))
+    swap = cls[x] > cls[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    counted = np.arange(len(x)) < plain  # pairs of long columns come along uncounted
+    order = np.lexsort((cls[y], cls[x]))
+    x, y, counted = x[order], y[order], counted[order]
+    begin = np.flatnonzero(np.append(True, (cls[x[1:]] != cls[x[:-1]]) | (cls[y[1:]] != cls[y[:-1]]))) if len(x) else np.zeros(0, int)
+    shared = np.add.reduceat(counted.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    x, y, none = x[begin], y[begin], np.zeros(len(rows), np.int64)
     return pd.DataFrame({
-        "kind": np.concatenate([np.zeros(m, np.int32), np.ones(len(rows), np.int32)]),
-        "a": np.concatenate([pairs[0], cls[rows]]), "b": np.concatenate([pairs[1], keys[rows].view(np.int64)]),
-        "n": np.concatenate([np.zeros(m, np.int64), n[rows].astype(np.int64)]), "flag": np.concatenate([np.zeros(m, np.int32), (flags[rows] & 3).astype(np.int32)]),
+        "kind": np.concatenate([np.zeros(len(x), np.int32), np.ones(len(rows), np.int32)]),
+        "a": np.concatenate([cls[x], cls[rows]]), "b": np.concatenate([cls[y], keys[rows].view(np.int64)]),
+        "n": np.concatenate([shared, n[rows].astype(np.int64)]), "flag": np.concatenate([np.zeros(len(x), np.int32), (flags[rows] & 3).astype(np.int32)]),
+        "na": np.concatenate([n[x].astype(np.int64), none]), "nb": np.concatenate([n[y].astype(np.int64), none]),
     })
 
 
+PRODUCT = "kind int, a long, b long, n long, flag int, na long, nb long"
+
+
+def _shortfall(na, nb, t: float):
+    """What two sets of these sizes have to share at least of the rows that they put into blocks.
+
+    Of the rows after those, up to the end of the set whose rows end first, they share at most the larger of the two
+    remainders, ceil(t n) - 1. Takes columns or arrays.
+    """
+    up, most = (F.ceil, F.greatest) if isinstance(na, Column) else (np.ceil, np.maximum)
+    return up((na + nb) * (t / (1 + t)) - 1e-9) - most(up(na * t - 1e-9), up(nb * t - 1e-9)) + 1
+
+
+def long_rows(made: DataFrame) -> DataFrame:
+    """Written table node, rows: in how many long columns each class is."""
+    return common.written(made.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("rows")), "jaccard-long")
+
+
+def bounded_pairs(made: DataFrame, long: DataFrame, t: float) -> DataFrame:
+    """Distinct pairs (a, b) of a product whose accumulated overlap leaves the similarity possible.
+
+    Overlap in short columns is counted; in long columns two classes share at most as many rows as either has there.
+    """
+    pairs = made.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    side = common.small_side(long, long.count())
+    marked = pairs.join(side.select(F.col("node").alias("a"), F.col("rows").alias("la")), "a", "left").join(side.select(F.col("node").alias("b"), F.col("rows").alias("lb")), "b", "left")
+    most = F.col("shared") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    return marked.where(most >= _shortfall(F.col("na"), F.col("nb"), t)).select("a", "b")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Written links (a, b) among pairs(a, b) whose whole sets reach the similarity; of links that close a circle within one task's group some are left out.
 
@@ -291,28 +329,83 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return links
 
 
-def _cross_pairs(pdf, t: float):
-    """Pairs of one (key, i, j) group of long columns that join different components."""
-    import pandas as pd
+def _cross(left: np.ndarray, right: np.ndarray, same: bool, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of rows (class, component, size, flag, long rows) that join components and that the bounds allow.
 
-    left, right = pdf[pdf.part == pdf.i.iloc[0]], pdf[pdf.part == pdf.j.iloc[0]]
-    x, y = left[["a", "comp", "n", "flag"]].to_numpy().T[:, :, None], right[["a", "comp", "n", "flag"]].to_numpy().T[:, None, :]
-    ok = (x[0] < y[0]) if pdf.i.iloc[0] == pdf.j.iloc[0] else (x[0] != y[0])
+    A pair that also meets in a short column has been bounded there, so what long columns can give has to do.
+    """
+    x, y = left[:, :, None], right[:, None, :]
+    ok = (x[0] < y[0]) if same else (x[0] != y[0])
     ok = ok & (x[1] != y[1]) & (np.minimum(x[2], y[2]) >= t * np.maximum(x[2], y[2]) - 1e-9)
     ok &= np.where(x[2] < y[2], x[3] & 1, np.where(x[2] > y[2], y[3] & 1, x[3] & y[3] & 1)).astype(bool)
-    p, q = np.nonzero(ok)
-    a, b = left.a.to_numpy()[p], right.a.to_numpy()[q]
+    ok &= np.minimum(x[4], y[4]) >= _shortfall(x[2], y[2], t)
+    return np.nonzero(ok)
+
+
+_ENTRY = ["a", "comp", "n", "flag", "rows"]
+
+
+def _columns_pairs(pdf, t: float):
+    """Pairs of all columns of a group of moderate ones."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["b", "a"])
+    entries, column = pdf[_ENTRY].to_numpy().T, pdf.b.to_numpy()
+    cuts = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+    out = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(column)], strict=True):
+        e = entries[:, lo:hi]
+        p, q = _cross(e, e, True, t)
+        out.append(np.stack([e[0][p], e[0][q]]))
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+def _chunk_pairs(pdf, t: float):
+    """Pairs between chunks i and j of one large column."""
+    import pandas as pd
+
+    i, j = pdf.i.iloc[0], pdf.j.iloc[0]
+    left, right = (pdf[pdf.part == k][_ENTRY].to_numpy().T for k in (i, j))
+    p, q = _cross(left, right, i == j, t)
+    a, b = left[0][p], right[0][q]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def second_pairs(long: DataFrame, comps: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs (a, b) that long columns (a: class, b: column, n, flag) give between different components."""
-    spread = long.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    mixed = spread.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    cut = spread.join(mixed.select("b", F.ceil(F.col("rows") / LONG_CHUNK).alias("parts")), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+def second_pairs(made: DataFrame, long: DataFrame, comps: DataFrame, t: float) -> DataFrame:
+    """Distinct pairs (a, b) that long columns give between different components. Columns of over LONG_CHUNK classes are multiplied chunk by chunk."""
+    entries = made.where("kind = 1").select("a", "b", "n", F.col("flag").cast("long").alias("flag")).distinct()
+    entries = entries.join(common.small_side(long, long.count()).select(F.col("node").alias("a"), "rows"), "a")
+    spread = entries.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    # a pair's need falls to 0 only as its sizes part to 1 : t, so a column's sizes and rows can't decide it as a whole
+    mixed = spread.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("b", "size")
+    open_ = common.written(spread.join(mixed, "b"), "jaccard-open")
+    groups = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), open_.count() // 200_000)
+    fields = ["a", "b", "n", "flag", "comp", "rows"]
+    small = open_.where(F.col("size") <= LONG_CHUNK).withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups))).select("g", *fields)
+    moderate = small.groupBy("g").applyInPandas(lambda pdf: _columns_pairs(pdf, t), "a long, b long")
+    cut = open_.where(F.col("size") > LONG_CHUNK).withColumn("parts", F.ceil(F.col("size") / LONG_CHUNK)).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    dealt = cut.withColumn("ij", F.explode(both)).select("a", "b", "n", F.col("flag").cast("long").alias("flag"), "comp", "part", "ij.i", "ij.j")
-    return dealt.groupBy("b", "i", "j").applyInPandas(lambda pdf: _cross_pairs(pdf, t), "a long, b long").distinct()
+    dealt = cut.withColumn("ij", F.explode(both)).select(*fields, "part", "ij.i", "ij.j")
+    large = dealt.groupBy("b", "i", "j").applyInPandas(lambda pdf: _chunk_pairs(pdf, t), "a long, b long")
+    return moderate.union(large).distinct()
+
+
+def common_grams(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most common n-grams of a profile, COMMON_KEPT at most.
+
+    The counts' own histogram tells the least count to keep, so the driver gets no more than it keeps.
+    """
+    counted = common.written(seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")), "grams-common")
+    sizes = {r.n: r.hashes for r in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("hashes")).collect()}
+    least, kept = 10_001, 0
+    for n in sorted(sizes, reverse=True):
+        if kept + sizes[n] > COMMON_KEPT:
+            break
+        least, kept = n, kept + sizes[n]
+    top = sorted(((r.cls & 0xFFFFFFFFFFFFFFFF, r.n) for r in counted.where(F.col("n") >= least).collect()))
+    common.drop_written(counted)
+    return np.array([c for c, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
 
 
 def components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -327,19 +420,17 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     common.small_batches(spark)
     seen = profile(docs)
     rows = seen.where("kind = 0")
-    top = seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(COMMON_KEPT).collect()  # at most COMMON_KEPT hashes
-    top.sort(key=lambda r: r.cls & 0xFFFFFFFFFFFFFFFF)
-    grams, counts = np.array([r.cls for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    grams, counts = common_grams(seen)
     classes = common.written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / BLOCK_ROWS))
     packed = incidence(docs, grams, counts, blocks, t)
-    made = common.written(packed.groupBy("block").applyInPandas(lambda pdf: _product(pdf, t), "kind int, a long, b long, n long, flag int"), "jaccard-product")
-    pairs = common.written(made.where("kind = 0").select("a", "b").distinct(), "jaccard-candidates")
+    made = common.written(packed.groupBy("block").applyInPandas(lambda pdf: _product(pdf, t), PRODUCT), "jaccard-product")
+    long = long_rows(made)
+    pairs = common.written(bounded_pairs(made, long, t), "jaccard-candidates")
     links = verified(pairs, classes, docs, percent)
     comps = graphs.connected_components(links)
-    long = made.where("kind = 1").select("a", "b", "n", "flag").distinct()
-    more = common.written(second_pairs(long, comps, t), "jaccard-second")
+    more = common.written(second_pairs(made, long, comps, t), "jaccard-second")
     if not more.isEmpty():
         added = verified(more, classes, docs, percent)
         after = graphs.connected_components(links.union(added))
@@ -350,7 +441,7 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     linked = comps.join(least, "comp").select(F.col("node").alias("cls"), "component_id")
     final = common.written(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "jaccard-final")
-    common.drop_written(made, pairs, links, comps, more)
+    common.drop_written(made, long, pairs, links, comps, more)
     return place(rows, final)
 
 
@@ -363,3 +454,9 @@ def place(rows: DataFrame, final: DataFrame) -> DataFrame:
     marked = some.join(F.broadcast(hot), "cls", "left").withColumn("hot", F.col("component_id").isNotNull())
     rest = some.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(final.select("cls", "component_id"), "cls")
     return cols(marked.where("hot")).union(cols(rest)).union(none)
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs whose doc_id names their component: of every group of near-duplicates the one with the smallest id. Rows without an id stay."""
+    out = common.written(components(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("granary_gone")).distinct(), "jaccard-gone")
+    return docs.join(common.small_side(out, out.count()), F.col("doc_id") == F.col("granary_gone"), "left_anti")
