@@ -1,11 +1,61 @@
-"""Training-data pipeline over documents."""
+"""Training-data pipeline over documents: low quality out, one of each near-duplicate group, benchmark passages out,
+sources mixed to their weights, the mix as token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage's result is written
+as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.llm import common, decontaminate, jaccard, mixing, quality, tokens
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.accepted(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, in the order of virtual finish times; a document that it takes twice is there twice."""
+    return mixing.schedule(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of the mix, read back from the token files."""
+    return tokens.token_table(docs)
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
+
+#: The classifier is a fitted network and the token ids are a tokenizer's, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

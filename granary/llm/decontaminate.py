@@ -82,5 +82,5 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = WORDS) -> DataFrame:
     """The rows of docs that contain no item. Rows with an id that is null stay only if no such row contains one."""
-    leaked = common.written(contained(docs, items, threshold, n).select(F.col("doc_id").alias("leaked")).distinct(), "leak-ids")
-    return docs.join(common.small_side(leaked, leaked.count()), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    leaked = common.written(contained(docs, items, threshold, n).select(F.col("doc_id").alias("granary_leaked")).distinct(), "leak-ids")
+    return docs.join(common.small_side(leaked, leaked.count()), F.col("doc_id").eqNullSafe(F.col("granary_leaked")), "left_anti")

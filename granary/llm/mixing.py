@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     is cut there, so a source's taken words are its target rounded down. Null text has size 0 and is taken 0; a null
     source is a source of its own; rows with equal doc_id are queued next to each other. Extra columns are ignored.
     """
-    sized = common.written(docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", common.word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     rows = queued(sized, targets, seed)
     # copies 0 .. floor(most): copy c begins at c * source_size + before; a copy gives what lies before the target
@@ -98,22 +98,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
     """The mix itself: a row of docs for each copy that begins before its source's target, globally range-sorted by
-    virtual finish time. Columns of docs stay as they are and `mix_finish` is added. The copy that crosses a target is
+    virtual finish time, with the columns of docs. The copy that crosses a target is
     whole, so a source goes beyond its target by less than one document; rows without words aren't in the mix."""
-    known = docs.withColumns({"mix_size": common.word_count(F.col("text")), "mix_text": F.xxhash64("text")})
-    row = ["doc_id", "source", "mix_size", "mix_text"]
-    sized = common.written(known.select("doc_id", "source", F.col("mix_size").alias("size"), "mix_text"), "mix-sizes")
+    # names that columns of docs don't have
+    size, text, places_, finish = (f"granary_{x}" for x in ("size", "text", "places", "finish"))
+    known = docs.withColumns({size: common.word_count(F.col("text")), text: F.xxhash64("text")})
+    row = ["doc_id", "source", size, text]
+    sized = common.written(known.select("doc_id", "source", F.col(size).alias("size"), text), "mix-sizes")
     targets = source_targets(sized, weights, share, most)
     copies = queued(sized, targets, seed).where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(most) - 1)))).withColumn("start", F.col("copy") * F.col("source_size") + F.col("before"))
     kept = copies.where(F.col("start") < F.floor("target")).withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
-    grouped = kept.groupBy("doc_id", "source", "size", "mix_text").agg(F.sort_array(F.collect_list("finish")).alias("finishes"), F.count_if(F.col("copy") == 0).alias("rows"))
-    places = common.written(grouped.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("n"), F.col("mix_text").alias("t"), "finishes", "rows"), "mix-places")
+    grouped = kept.groupBy("doc_id", "source", "size", text).agg(F.sort_array(F.collect_list("finish")).alias(places_), F.count_if(F.col("copy") == 0).alias("granary_rows"))
+    places = common.written(grouped.select(*(F.col(c).alias(f"granary_of_{i}") for i, c in enumerate(("doc_id", "source", "size", text))), places_, "granary_rows"), "mix-places")
     side = common.small_side(places, places.count())
-    same = known["doc_id"].eqNullSafe(side["d"]) & known["source"].eqNullSafe(side["s"]) & (known["mix_size"] == side["n"]) & (known["mix_text"] == side["t"])
+    same = known["doc_id"].eqNullSafe(side["granary_of_0"]) & known["source"].eqNullSafe(side["granary_of_1"]) & (known[size] == side["granary_of_2"]) & (known[text] == side["granary_of_3"])
     joined = known.join(side, same)
-    if places.where("rows > 1").isEmpty():
+    if places.where("granary_rows > 1").isEmpty():
         placed = joined
     else:  # rows that repeat id, source and text share the places of them all
-        placed = joined.where("rows = 1").union(joined.where("rows > 1").dropDuplicates(row))
-    out = placed.withColumn("mix_finish", F.explode("finishes")).select(*docs.columns, "mix_finish")
-    return out.repartitionByRange("mix_finish", "doc_id").sortWithinPartitions("mix_finish", "doc_id")
+        placed = joined.where("granary_rows = 1").union(joined.where("granary_rows > 1").dropDuplicates(row))
+    out = placed.withColumn(finish, F.explode(places_))
+    return out.repartitionByRange(finish, "doc_id").sortWithinPartitions(finish, "doc_id").select(*docs.columns)

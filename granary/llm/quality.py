@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, hashing
 
@@ -171,7 +172,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
     """
     vectors = word_vectors(docs)
     hashed = F.xxhash64("doc_id")
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(hashed, "doc_id").limit(fit_rows)
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(hashed, "doc_id").limit(fit_rows)
     ids = common.written(chosen, "quality-fit")
 
     def read(batches):
@@ -190,22 +191,20 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
     return vectors, Network(x, y, np.array([r.doc_id % 5 == 4 for r in rows], bool))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: float = 0.3) -> DataFrame:
-    """Adds score (double, 0 to 1) and predicted (1 if score >= threshold, else 0) to docs, which must have text; other columns stay."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
+    """Adds granary_score (double, 0 to 1) to docs, which must have text; other columns stay."""
     vectors, network = model
-    names = docs.columns
-    at = names.index("text")
+    names = [*docs.columns, "granary_score"]
+    at = docs.columns.index("text")
 
     def score(batches):
         import pyarrow as pa
 
         for b in batches:
-            s = network.score(features(b.column(at).to_pylist(), vectors))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.score(features(b.column(at).to_pylist(), vectors)), pa.float64())], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "predicted int"])
     common.small_batches(docs.sparkSession)
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("granary_score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -214,10 +213,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     Scores come from the text alone. Null and empty texts have the features of no tokens and are scored too; repeated
     rows get equal scores; extra columns of either table are ignored; an empty docs gives no rows.
     """
-    model = fitted(docs, labels, fit_rows)
-    return scored(docs.select("doc_id", "text"), model, threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    score = F.col("granary_score")
+    return scored(own, fitted(own, labels, fit_rows)).select("doc_id", held_out().alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs that the classifier, fitted on docs and labels, doesn't reject, with docs' own columns."""
-    return scored(docs, fitted(docs, labels, fit_rows), threshold).where("predicted = 1").select(*docs.columns)
+    model = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows)
+    return scored(docs, model).where(F.col("granary_score") >= threshold).drop("granary_score")

@@ -123,7 +123,7 @@ def records(uri: str, wanted=lambda row: True, payloads: bool = True) -> Iterato
             raw = read(at, length)
             plain = d.decompress(raw, HEAD_BYTES)
             while (parsed := _parse_head(plain)) is None:
-                if d.eof:
+                if not d.unconsumed_tail:
                     raise ValueError(f"no end of headers in the record at {at} of {uri}")
                 plain += d.decompress(d.unconsumed_tail, HEAD_BYTES)
             headers, start = parsed
@@ -134,7 +134,7 @@ def records(uri: str, wanted=lambda row: True, payloads: bool = True) -> Iterato
             if not wanted(row):
                 continue
             block_len = int(headers["content-length"])
-            while plain.find(b"\r\n\r\n", start) < 0 and not d.eof:
+            while plain.find(b"\r\n\r\n", start) < 0 and d.unconsumed_tail:
                 plain += d.decompress(d.unconsumed_tail, HEAD_BYTES)
             is_http = headers.get("content-type", "").startswith("application/http")
             http_end = plain.find(b"\r\n\r\n", start, start + block_len) + 4 if is_http else start
