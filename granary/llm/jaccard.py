@@ -37,8 +37,8 @@ REMEMBERED = 150_000
 BLOCK_ROWS = 400_000
 #: Members of a candidate group that one task verifies together; larger groups are cut into pairs of chunks.
 CHUNK = 256
-#: Rows of a long column that one task of the second round takes from either side.
-LONG_CHUNK = 4096
+#: Rows of a long column that are multiplied at once in the second round, from either side; a few arrays of the square of it are held.
+LONG_CHUNK = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
