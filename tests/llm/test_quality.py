@@ -30,7 +30,7 @@ def test_features_against_a_plain_model():
     got = Q.features(texts, vectors)
     for t, x in zip(texts, got, strict=True):
         ids = [zlib.crc32(w.encode()) % Q.BUCKETS for w in Q.hashing.TOKEN.findall(t or "")]
-        v = vectors[ids] if ids else np.zeros((0, Q.DIM))
+        v = vectors[ids].astype(float) if ids else np.zeros((0, Q.DIM))
         want = np.concatenate([v.mean(axis=0) if ids else np.zeros(Q.DIM), np.abs(np.diff(v, axis=0)).sum(axis=0) / max(1, len(ids) - 1) if ids else np.zeros(Q.DIM), [np.log1p(len(ids)) / 10]])
         assert np.allclose(x, want, atol=1e-3)
 
