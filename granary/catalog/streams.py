@@ -44,9 +44,9 @@ def events_to_steps(spark, sf_dir):
     return SS.fold_steps(events)
 
 
-@query("sse_parse", "SELECT conv_id, string_agg(role || ' ', '' ORDER BY turn) AS content FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@query("sse_parse", "SELECT conv_id, string_agg(role || ' ', '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
 def sse_parse(spark, sf_dir):
     line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("role", F.lit(" ")).alias("content")).alias("delta"))).alias("choices"))))
-    c = table(spark, sf_dir, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("l"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("l"))
     lines = F.concat(F.array(F.lit(": ping"), F.lit("data: {}")), F.transform("l", lambda x: x["l"]), F.array(F.lit("data: [DONE]"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}')))
     return c.select("conv_id", SS.sse_content(lines).alias("content"))
