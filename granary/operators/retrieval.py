@@ -53,6 +53,12 @@ def indexed_tokens(chunks: DataFrame, kind: str = "standard") -> DataFrame:
     return chunks.withColumn("tokens", F.concat(own, F.flatten(F.array_repeat(key, KEYWORD_BOOST))))
 
 
+def postings(indexed: DataFrame) -> DataFrame:
+    """chunk_id, pos, dl, tok of every token; the tokens of a row are computed once, as a second use would run the pattern again."""
+    each = T.let(F.col("tokens"), lambda t: F.transform(t, lambda x: F.struct(x.alias("tok"), F.size(t).alias("dl"))))
+    return indexed.select("chunk_id", "pos", F.explode(each).alias("p")).select("chunk_id", "pos", "p.dl", "p.tok")
+
+
 def corpus_stats(indexed: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl, empty documents included."""
     return indexed.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -60,7 +66,7 @@ def corpus_stats(indexed: DataFrame) -> DataFrame:
 
 def term_frequencies(indexed: DataFrame) -> DataFrame:
     """chunk_id, pos, dl, tok, tf."""
-    return indexed.select("chunk_id", "pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("tok")).groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
+    return postings(indexed).groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(indexed: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str
     asked = bounded_broadcast(asked)
     index = indexed_tokens(chunks.select("chunk_id", "pos", "content", *(["keywords"] if "keywords" in chunks.columns else [])), kind)
     tf = (
-        index.select("chunk_id", "pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("tok"))
+        postings(index)
         .join(asked.select("tok").distinct(), "tok", "left_semi")
         .groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
     )
