@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,11 +15,11 @@ TEXT_ENDINGS = r"\.(txt|md)$"
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path that driver and executors share: below spark.checkpoint.dir, or below a temporary folder where that is unset."""
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="granary-")
+        folder = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/granary/{uuid.uuid4().hex}/{name}"
 
