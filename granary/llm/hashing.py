@@ -9,8 +9,8 @@ import numpy as np
 
 #: Runs of word characters, and runs of marks.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Distinct tokens that a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct tokens that a task remembers.
+REMEMBERED = 200_000
 
 
 class Buckets(dict):
@@ -36,12 +36,30 @@ _KNOWN: dict[int, Buckets] = {}
 
 
 def buckets(n: int) -> Buckets:
-    """This worker's buckets, kept between its tasks."""
+    """This worker's buckets."""
     if n not in _KNOWN:
         _KNOWN[n] = Buckets(n)
     return _KNOWN[n]
 
 
+def forget() -> None:
+    """Empties this worker's memories of tokens."""
+    for known in _KNOWN.values():
+        known.clear()
+
+
+def forgetting(f):
+    """A function over batches that leaves no remembered tokens behind, so that an idle worker holds little memory."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            forget()
+
+    return run
+
+
 def pieces(ids: np.ndarray, most: int):
     """(first, last) of consecutive pieces of at most `most` ids, so that a very long text needs no more memory than a short one."""
     for lo in range(0, max(1, len(ids)), most):

@@ -86,9 +86,12 @@ def class_id(grams: np.ndarray) -> int | None:
 
 
 def _sets(batches):
-    """(doc_id column, sets) of batches(doc_id, text as binary)."""
-    for b in batches:
-        yield b.column(0), [gram_set(x) for x in b.column(1).to_pylist()]
+    """(doc_id column, sets) of batches(doc_id, text as binary). The words are forgotten at the end, so that an idle worker holds little memory."""
+    try:
+        for b in batches:
+            yield b.column(0), [gram_set(x) for x in b.column(1).to_pylist()]
+    finally:
+        _WORDS.clear()
 
 
 def profile(docs: DataFrame) -> DataFrame:

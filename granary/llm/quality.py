@@ -46,7 +46,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     fields = ", ".join(f"c{d} double" for d in range(DIM))
     common.small_batches(docs.sparkSession)
-    sums = docs.select("text").mapInArrow(gather, f"bucket long, {fields}").groupBy("bucket").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM)))
+    sums = docs.select("text").mapInArrow(hashing.forgetting(gather), f"bucket long, {fields}").groupBy("bucket").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM)))
     out = np.zeros((BUCKETS, DIM))
     for r in sums.collect():  # at most one row for each bucket
         out[r[0]] = r[1:]
@@ -185,7 +185,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
 
     # at most fit_rows ids
     pairs = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted(pairs.mapInArrow(read, "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    rows = sorted(pairs.mapInArrow(hashing.forgetting(read), "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     common.drop_written(ids)
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, 2 * DIM + 1), np.float32)
     y = np.array([r.quality for r in rows])
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.score(features(b.column(at).to_pylist(), vectors)), pa.float64())], names=names)
 
     common.small_batches(docs.sparkSession)
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("granary_score", DoubleType())]))
+    return docs.mapInArrow(hashing.forgetting(score), StructType([*docs.schema.fields, StructField("granary_score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ BLOCK = 512
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
