@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, hashing
 
 BUCKETS = 65536
-CLASSES = 32
+CLASSES = 48
 WINDOW = 2
 HIDDEN = 16
 BATCH = 2048
@@ -68,21 +68,28 @@ def start() -> list[np.ndarray]:
 
 def _contexts(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(class, rows of the input layer) of every token of documents given as class sequences; documents are kept apart by edges."""
-    edge = np.full(WINDOW, EDGE, np.int64)
-    line = np.concatenate([edge, *(x for r in rows for x in (r, edge))])
+    edge = np.full(WINDOW, EDGE, np.uint16)
+    line = np.concatenate([edge, *(x for r in rows for x in (r, edge))], dtype=np.uint16, casting="unsafe")  # two-byte keys are moved and sorted faster
     at = np.flatnonzero(line != EDGE)
     places = [o for o in range(-WINDOW, WINDOW + 1) if o]
-    return line[at], np.stack([line[at + o] + k * (CLASSES + 1) for k, o in enumerate(places)], axis=1)
+    return line[at], np.stack([line[at + o] + np.uint16(k * (CLASSES + 1)) for k, o in enumerate(places)], axis=1)
 
 
-def _forward(w: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and logarithms of class probabilities."""
+def _outputs(w: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer and, up to a constant in each row, logarithms of class probabilities; the greatest is 0."""
     z = w[0][context[:, 0]] + w[1]
     for k in range(1, context.shape[1]):
         z += w[0][context[:, k]]
-    hidden = np.tanh(z)
-    out = hidden @ w[2] + w[3]
+    hidden = np.tanh(z, out=z)
+    out = hidden @ w[2]
+    out += w[3]
     out -= out.max(axis=1, keepdims=True)
+    return hidden, out
+
+
+def _forward(w: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer and logarithms of class probabilities."""
+    hidden, out = _outputs(w, context)
     out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
     return hidden, out
 
@@ -91,8 +98,9 @@ def _train(w: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> None
     """One pass of mini-batch gradient descent over the given tokens."""
     for lo in range(0, len(target), BATCH):
         t, c = target[lo : lo + BATCH], context[lo : lo + BATCH]
-        hidden, logp = _forward(w, c)
-        e = np.exp(logp)
+        hidden, e = _outputs(w, c)
+        np.exp(e, out=e)  # probabilities, without the way over their logarithms
+        e /= e.sum(axis=1, keepdims=True)
         e[np.arange(len(t)), t] -= 1
         e *= RATE / len(t)
         back = (e @ w[2].T) * (1 - hidden * hidden)
@@ -100,7 +108,7 @@ def _train(w: list[np.ndarray], target: np.ndarray, context: np.ndarray) -> None
         w[3] -= e.sum(axis=0)
         w[1] -= back.sum(axis=0)
         for k in range(c.shape[1]):  # rows of one place by sorted class; two-byte keys are sorted by radix
-            own = c[:, k].astype(np.uint16)
+            own = c[:, k].astype(np.uint16, copy=False)
             order = np.argsort(own, kind="stable")
             own = own[order]
             begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -186,7 +194,9 @@ def log_likelihoods(texts: list[str | None], w: list[np.ndarray], of: np.ndarray
                     if hi > lo:
                         t, x = _contexts([piece])
                         _, logp = _forward(w, x[lo:hi])
-                        totals[at] += logp[np.arange(hi - lo), t[lo:hi]].sum(dtype=np.float64) + share[ids[done : done + hi - lo]].sum()
+                        value = share[ids[done : done + hi - lo]]
+                        value += logp[np.arange(hi - lo), t[lo:hi]]
+                        totals[at] += np.add.reduceat(value, [0])[0]  # added up as below, so that equal texts score alike alone and in a group
                     done += hi - lo
         elif any(len(c) for _, c in group):
             t, x = _contexts([c for _, c in group])

@@ -75,3 +75,10 @@ def test_odd_rows(spark):
     assert len(rows) == len(odd.rows()) and by[2].n_tokens == by[3].n_tokens == by[4].n_tokens == 0 and by[2].log_likelihood == 0 and by[2].per_token is None
     assert by[5].n_tokens == 160_000 and abs(by[5].per_token - by[5].log_likelihood / 160_000) < 1e-9 and by[1].log_likelihood == by[6].log_likelihood
     assert S.pseudo_likelihood(odd.none(spark)).count() == 0
+
+
+def test_classes_are_as_many_as_before_the_cut():
+    w, of, share = model()
+    assert S.CLASSES >= 48 and len(np.unique(of)) == S.CLASSES and w[2].shape == (S.HIDDEN, S.CLASSES)
+    t, c = S._contexts([np.arange(S.CLASSES)])
+    assert t.tolist() == list(range(S.CLASSES)) and c.max() < 4 * (S.CLASSES + 1) == len(w[0]) and c[0, 0] == S.EDGE
