@@ -2,8 +2,10 @@
 permutation of their own format, so that equal values stay equal across documents and every format stays valid.
 
 Card numbers keep their first digit and a right check digit, account numbers their country and check digits, phone
-numbers their country code and layout, dates their layout and a real day, network addresses their octets. Whoever has
-the key can undo each permutation; without it a pseudonym tells the format alone.
+numbers their country code and layout, dates their layout and a real day, network addresses their octets. Ten-digit
+numbers outside the American numbering plan become others outside of it. A card that stands next to other numbers is
+found among the spans of whole digit groups. Whoever has the key can undo each permutation; without it a pseudonym
+tells the format alone. To undo a whole text can misread a card that another replaced number follows directly.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ _PATTERN = re.compile(
 )
 #: Without any of these characters or words a text can't hold a value.
 _MAYBE = re.compile(r"[0-9@]|AKIA|ASIA|[=:]")
+#: Digits in groups, and one group.
+_RUN = re.compile(r"\d(?:[ -]?\d)*")
+_GROUP = re.compile(r"\d+")
 
 
 def _round(key: bytes, tweak: bytes, i: int, value: int) -> int:
@@ -97,13 +102,43 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
-def _card(key: bytes, text: str, back: bool) -> str | None:
+def _is_card(text: str) -> bool:
     d = re.sub(r"\D", "", text)
-    if not 13 <= len(d) <= 19 or d[0] == "0" or len(set(d)) == 1 or luhn_digit(d[:-1]) != d[-1]:
+    return 13 <= len(d) <= 19 and d[0] != "0" and len(set(d)) > 1 and luhn_digit(d[:-1]) == d[-1]
+
+
+def _card(key: bytes, text: str, back: bool, valid=lambda new: True) -> str | None:
+    """valid: tells of a text whether it may be the pseudonym; text has to be valid itself."""
+    if not _is_card(text):
         return None
+    d = re.sub(r"\D", "", text)
     n = len(d) - 2
-    body = d[0] + str(permuted(key, "card", int(d[1:-1]), 10**n, back=back)).zfill(n)
-    return _laid(text, body + luhn_digit(body))
+
+    def laid(x: int) -> str:
+        body = d[0] + str(x).zfill(n)
+        return _laid(text, body + luhn_digit(body))
+
+    return laid(permuted(key, "card", int(d[1:-1]), 10**n, lambda x: valid(laid(x)), back))
+
+
+def _card_inside(key: bytes, text: str, at: int, end: int, back: bool) -> tuple[int, int, str] | None:
+    """(first, last, pseudonym) of the first card of whole digit groups that begins in text[at:end], a run that is no card as a whole.
+
+    The card may go on beyond the run's end. The pseudonym is one with which all spans tried before are still no cards.
+    """
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, at, _RUN.match(text, at, end + 40).end())]
+    tried = [(at, end)]
+    for i, (first, _) in enumerate(groups):
+        if first >= end:
+            break
+        for _, last in reversed(groups[i:]):
+            if (first, last) == (at, end) or last - first > 40 or text[last : last + 1].isalnum() or text[last : last + 1] == "_":
+                continue
+            if _is_card(text[first:last]):
+                still = lambda new: not any(_is_card((text[:first] + new + text[last:])[a:b]) for a, b in tried if b > first)  # noqa: E731,B023
+                return first, last, _card(key, text[first:last], back, still)
+            tried.append((first, last))
+    return None
 
 
 def _iban_rest(country: str, bban: str) -> str:
@@ -175,9 +210,9 @@ def _phone(key: bytes, text: str, back: bool) -> str | None:
     if len(body) < 5:
         return None
     american = len(body) == 10 and (not code or d[:keep] == "1")
-    good = (lambda x: (s := str(x).zfill(10))[0] > "1" and s[3] > "1") if american else (lambda x: True)
-    if not good(int(body)):
-        return None
+    planned = lambda x: (s := str(x).zfill(10))[0] > "1" and s[3] > "1"
+    # numbers outside the numbering plan are permuted among themselves, so that each kind comes back
+    good = (lambda x, of=planned(int(body)): planned(x) == of) if american else (lambda x: True)
     return _laid(text, d[:keep] + str(permuted(key, "phone", int(body), 10 ** len(body), good, back)).zfill(len(body)))
 
 
@@ -205,7 +240,8 @@ def pseudonymized(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     if not _MAYBE.search(text):
         return text, found
 
-    def put(m: re.Match) -> str:
+    def put(m: re.Match) -> tuple[int, int, str] | None:
+        """(first, last, new text) of what is replaced of a match."""
         if m["secret"] is not None:
             kind, value = "secret", m["value"]
             at = m.start("value") - m.start()
@@ -216,11 +252,22 @@ def pseudonymized(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
             if new is None and kind in ("phone", "iban") and (as_card := _card(key, m[0], back)) is not None:
                 kind, new = "card", as_card
             if new is None:
-                return m[0]
+                inside = _card_inside(key, text, m.start(), m.end(), back) if kind == "card" else None
+                if inside:
+                    found["card"] = found.get("card", 0) + 1
+                return inside
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return _PATTERN.sub(put, text), found
+        return m.start(), m.end(), new
+
+    out, at = [], 0  # a card's end may lie before or after that of its match, so the search goes on from there
+    where = 0
+    while m := _PATTERN.search(text, where):
+        where = m.end()
+        if (done := put(m)) is not None:
+            first, where, new = done
+            out += (text[at:first], new)
+            at = where
+    return "".join((*out, text[at:])), found
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:

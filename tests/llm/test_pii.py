@@ -58,3 +58,28 @@ def test_odd_rows(spark):
     assert len(rows) == len(odd.rows()) and by[2].text is None and by[3].text == "" and by[5].text == odd.LONG and by[5].n_values == 0
     assert by[10].kinds == "card:1" and by[10].n_values == 1 and "4041894974608795" not in by[10].text and "<|endoftext|>" in by[10].text
     assert P.pseudonymize(odd.none(spark)).count() == 0
+
+
+def test_phones_outside_the_numbering_plan():
+    for v in ("+1 (017) 555-7713", "+1 (217) 155-7713", "017-555-7713", "(117) 055-7713"):
+        new, found = P.pseudonymized(f"call {v}.")
+        assert v not in new and found == {"phone": 1} and P.pseudonymized(new, back=True)[0] == f"call {v}." and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {v}.")
+    assert len({P.pseudonym("phone", f"+1 (0{i:02d}) 555-7713") for i in range(100)}) == 100
+
+
+def test_cards_next_to_other_numbers():
+    card = "4111 1111 1111 1111"
+    for t in ("pay {} 12/27 now", "pay {} 123", "order 12345 {}", "no 7 {} 999", "{} 01/02/2030", "{}-123"):
+        text = t.format(card)
+        new, found = P.pseudonymized(text)
+        assert card not in new and found["card"] == 1, text
+        kept = re.sub(r"\D", "", new)[: 16] if t[0] == "{" else ""
+        assert not kept or P.luhn_digit(kept[:-1]) == kept[-1]
+        if "2030" not in t:
+            assert P.pseudonymized(new, back=True)[0] == text
+        else:
+            assert found == {"card": 1, "day": 1} and "01/02/2030" not in new
+    for i in range(200):  # what was tried before stays no card, so that texts come back
+        text = f"card {card} {i:03d}, order {i + 10000} {card}"
+        assert P.pseudonymized(P.pseudonymized(text)[0], back=True)[0] == text
+    assert P.pseudonymized("ids 4041894974608796 12 and 1111111111111111 5")[1] == {}
