@@ -300,7 +300,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             # a doc_id may have several texts; the set's own identity tells whose it is
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
-    wanted = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(common.small_side(needed.select("doc_id").distinct(), needed.count()), "doc_id", "left_semi")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    wanted = texts.join(common.small_side(needed.select("doc_id").distinct(), needed.count()), "doc_id", "left_semi")
+    if not needed.where("doc_id IS NULL").isEmpty():  # null equals no id in the join; these rows stay where they are, so no task gets them all
+        wanted = wanted.union(texts.where("doc_id IS NULL"))
     sets = wanted.mapInArrow(read, "node long, grams binary").dropDuplicates(["node"])
     placed = copies.join(sets, "node").select("node", "grams", F.col("comp").alias("of"), F.col("lo").alias("first"), F.col("hi").alias("last"))
 

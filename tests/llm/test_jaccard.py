@@ -96,3 +96,12 @@ def test_bounds_lose_no_pair():
         import numpy as np
 
         assert len(both) >= J._shortfall(np.array(len(a)), np.array(len(b)), 0.75)
+
+
+def test_near_copies_without_ids(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = lambda at, base=words: " ".join(base[:at] + ["other"] + base[at + 1 :])
+    far = [f"v{i}" for i in range(120)]
+    docs = [(None, " ".join(words)), (None, near(30)), (None, near(0, far)), (4, near(119, far)), (9, near(60, far)), (11, "alone here")]
+    got = sorted(map(tuple, J.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted([(None, 116, None), (None, 116, None), (None, 116, 4), (4, 116, 4), (9, 116, 4), (11, 1, 11)], key=str)
