@@ -2,7 +2,8 @@
 
 Every source queues its documents in a shuffled order, again and again up to `repeats` times. A queued copy's virtual
 finish time is the source's words up to and with it, divided by the source's target; the mix is the copies of all
-sources in ascending order of that time, cut at the total budget. At time 1 every source has given its target.
+sources in ascending order of that time. At time 1 every source has given its target, so the mix is cut source by source
+at its target in place of a cut of the sorted copies at the total budget; mix() doesn't sort, schedule() sorts what is left.
 """
 
 from __future__ import annotations
