@@ -44,11 +44,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
+def written(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
+    """Writes df as Parquet below the shared folder, in folders by a column if one is given, and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path  # for drop_written
     return out
