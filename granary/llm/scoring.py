@@ -203,7 +203,7 @@ def packs(docs: DataFrame) -> DataFrame:
                 distinct += len(p["vocab"])
                 one = {"round": r, "deal": deal, "sub": sub, "seq": seq, "lead": p["lead"], "trail": p["trail"], "rows": p["rows"], "ids": p["ids"], "lengths": p["lengths"], "codes": p["codes"].tobytes(), "vocab": p["vocab"].tobytes()}
                 yield table(1, **{k: pa.array([v], schema.field(k).type) for k, v in one.items()})
-                if distinct > 4_000_000:
+                if distinct > 1_000_000:
                     yield counted(held)
                     held, distinct = [], 0
             if held:
