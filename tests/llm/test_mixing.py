@@ -57,3 +57,50 @@ def test_schedule(spark):
     for r in mixing.mix(df).collect():
         copies[r.doc_id] += -(-r.taken // r["size"]) if r["size"] else 0
     assert taken == +copies and mixing.schedule(odd.none(spark)).count() == 0
+
+
+def test_taken_is_what_the_sorted_mix_gives(spark):
+    """Packets by finish time, one after the other until the budget is used up."""
+    docs = [(i, "w " * (1 + i * 13 % 90), "abc"[i % 7 % 3]) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    ends = {r.doc_id: r.finish * r.target for r in rows}
+    queue = []
+    for r in rows:
+        for copy in range(2):
+            end = round(ends[r.doc_id]) + copy * r.source_size
+            marks = [end - r["size"], *([int(r.target)] if end - r["size"] < int(r.target) < end else []), end]
+            queue += [(hi / r.target, r.doc_id, hi - lo) for lo, hi in zip(marks, marks[1:])]
+    left, taken = sum(int(t) for t in {r.source_size: r.target for r in rows}.values()), Counter()
+    for _, doc, words in sorted(queue):
+        taken[doc] += min(words, max(0, left))
+        left -= words
+    assert {r.doc_id: r.taken for r in rows} == {d: taken[d] for d, _, _ in docs}
+
+
+def test_the_cut_falls_into_a_packet(spark):
+    queue = spark.createDataFrame([(i, 0, True, 10, i / 100) for i in range(100)], "row long, copy int, opens boolean, words long, finish double").repartition(3)
+    for budget, want in ((0, []), (5, [5]), (10, [10]), (333, [10] * 33 + [3]), (1000, [10] * 100), (5000, [10] * 100)):
+        got = sorted((r.row, r.words) for r in mixing.cut_at(queue, budget).collect())
+        assert [w for _, w in got] == want and [i for i, _ in got] == list(range(len(want)))
+
+
+def test_hot_ids_are_cut_up(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    docs = [(None if i % 2 else 7, "w " * (1 + i % 9), "ab"[i % 3 % 2]) for i in range(900)] + [(100 + i, "w w", "b") for i in range(50)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    by = defaultdict(int)
+    for r in rows:
+        by[r.source_size, r.target] += r.taken
+    assert len(rows) == 950 and all(n == int(t) for (_, t), n in by.items())
+
+
+def test_schedule_loses_no_row(spark):
+    """Rows alike in id, source and text but not in another column, and rows alike in all."""
+    docs = [(1, "a b c", "en", "s"), (1, "a b c", "fr", "s"), (1, "a b c", "fr", "s"), (2, "d e", "en", "t"), (None, "f g", "en", "t"), (None, "f g", "de", "t"), (2, "h i j k", "en", "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    out = Counter(map(tuple, mixing.schedule(df).collect()))
+    assert set(out) == set(docs) and out[1, "a b c", "fr", "s"] >= out[1, "a b c", "en", "s"]
+    # with a budget of twice all words every row is there twice
+    twice = Counter(map(tuple, mixing.schedule(df, share=2.0).collect()))
+    assert twice == Counter(docs * 2)
