@@ -86,16 +86,16 @@ def class_id(grams: np.ndarray) -> int | None:
 
 
 def _sets(batches):
-    """(doc_id column, sets) of batches(doc_id, text as binary). The words are forgotten at the end, so that an idle worker holds little memory."""
+    """(batch, sets) of batches(doc_id, text as binary, ...). The words are forgotten at the end, so that an idle worker holds little memory."""
     try:
         for b in batches:
-            yield b.column(0), [gram_set(x) for x in b.column(1).to_pylist()]
+            yield b, [gram_set(x) for x in b.column(1).to_pylist()]
     finally:
         _WORDS.clear()
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Written table of a single pass: rows of kind 0 are documents (doc_id, cls, n), of kind 1 common n-grams (cls: its hash, n: classes of a piece that hold it)."""
+    """Written table of a single pass: rows of kind 0 are documents (doc_id, is: hash of the text, cls, n), of kind 1 common n-grams (cls: its hash, n: classes of a piece that hold it)."""
 
     def scan(batches):
         import pyarrow as pa
@@ -106,11 +106,11 @@ def profile(docs: DataFrame) -> DataFrame:
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             at = counts >= COMMON
             n = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(grams[at].view(np.int64)), pa.array(counts[at], pa.int64())], names=["kind", "doc_id", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(grams[at].view(np.int64)), pa.array(counts[at], pa.int64())], names=["kind", "doc_id", "is", "cls", "n"])
 
-        for ids, sets in _sets(batches):
+        for b, sets in _sets(batches):
             classes = [class_id(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), ids, pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["kind", "doc_id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), b.column(0), b.column(2), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["kind", "doc_id", "is", "cls", "n"])
             for c, s in zip(classes, sets, strict=True):
                 if c is not None and c not in seen:
                     seen.add(c)
@@ -121,7 +121,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 seen, held, size = set(), [], 0
         yield common_rows()
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "kind int, doc_id long, cls long, n long")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("is")).mapInArrow(scan, "kind int, doc_id long, is long, cls long, n long")
     return common.written(rows, "grams-profile")
 
 
@@ -296,7 +296,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     def read(batches):
         import pyarrow as pa
 
-        for ids, sets in _sets(batches):
+        for _, sets in _sets(batches):
             # a doc_id may have several texts; the set's own identity tells whose it is
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
@@ -420,8 +420,15 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     Rows link when 100 * shared >= percent * union of their sets; component_id is the smallest doc_id reachable. Null
     and empty texts and texts of white space have no set and are components of their own. Rows that repeat a doc_id
     are each placed by their own text. A null doc_id is given back as null and is never a component's name unless no
-    other row of its component has one. Extra columns are ignored; an empty table gives no rows.
+    other row of its component has one. A very long text is compared by its
+    whole set. Extra columns are ignored; an empty table gives no rows.
     """
+    seen, final = _final(docs, percent)
+    return place(seen.where("kind = 0"), final).select("doc_id", "n_shingles", "component_id")
+
+
+def _final(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(profile, written table cls, component_id, keeper, copies): of every class its component's name and the component's class that holds it."""
     spark, t = docs.sparkSession, percent / 100
     common.small_batches(spark)
     seen = profile(docs)
@@ -444,25 +451,37 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
         comps = after
     reps = classes.select("cls", "rep", "copies")
     named = comps.join(reps.select(F.col("cls").alias("node"), "rep"), "node")
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    linked = comps.join(least, "comp").select(F.col("node").alias("cls"), "component_id")
-    final = common.written(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), "copies"), "jaccard-final")
-    common.drop_written(made, long, pairs, links, comps, more)
-    return place(rows, final)
+    # of each component the least id, and the first of the classes that hold it
+    least = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("m")).select("comp", F.col("m.rep").alias("component_id"), F.col("m.node").alias("keeper"))
+    linked = comps.join(least, "comp").select(F.col("node").alias("cls"), "component_id", "keeper")
+    final = common.written(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("keeper", "cls").alias("keeper"), "copies"), "jaccard-final")
+    common.drop_written(made, long, pairs, links, comps, more, classes)
+    return seen, final
 
 
 def place(rows: DataFrame, final: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of rows(doc_id, cls, n). Classes of many copies are few and are broadcast, so no task gets all copies of one."""
-    hot = final.where("copies > 1000").orderBy(F.desc("copies"), "cls").limit(common.BROADCAST_ROWS).select("cls", "component_id")
-    cols = lambda df: df.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("cls IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    """doc_id, is, n_shingles, component_id, cls, keeper of rows(doc_id, is, cls, n). Classes of many copies are few and are broadcast, so no task gets all copies of one."""
+    hot = final.where("copies > 1000").orderBy(F.desc("copies"), "cls").limit(common.BROADCAST_ROWS).select("cls", "component_id", "keeper")
+    cols = lambda df: df.select("doc_id", "is", F.col("n").alias("n_shingles"), "component_id", "cls", "keeper")
+    none = rows.where("cls IS NULL").select("doc_id", "is", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls", F.col("cls").alias("keeper"))
     some = rows.where("cls IS NOT NULL")
-    marked = some.join(F.broadcast(hot), "cls", "left").withColumn("hot", F.col("component_id").isNotNull())
-    rest = some.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(final.select("cls", "component_id"), "cls")
-    return cols(marked.where("hot")).union(cols(rest)).union(none)
+    marked = some.join(F.broadcast(hot), "cls")
+    rest = some.join(F.broadcast(hot.select("cls")), "cls", "left_anti").join(final.select("cls", "component_id", "keeper"), "cls")
+    return cols(marked).union(cols(rest)).union(none)
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs whose doc_id names their component: of every group of near-duplicates the one with the smallest id. Rows without an id stay."""
-    out = common.written(components(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("granary_gone")).distinct(), "jaccard-gone")
-    return docs.join(common.small_side(out, out.count()), F.col("doc_id") == F.col("granary_gone"), "left_anti")
+    """The rows of docs that stand for their component: of every group of near-duplicates one text, with the smallest id.
+
+    Rows are told apart by id and text, so of a repeated id only the rows whose own text has to go do. Of texts with the
+    smallest id, or of texts without any id, that with the least set identity stays. Rows alike in id and text are one
+    document and stay or go together. Null and empty texts and texts of white space stay. Extra columns stay, whatever
+    their names; a very long text is compared as a whole; an empty table gives no rows.
+    """
+    seen, final = _final(docs, percent)
+    leaves = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("cls") == F.col("keeper")))
+    gone = place(seen.where("kind = 0 AND cls IS NOT NULL"), final).where(leaves).select(F.col("doc_id").alias("granary_id"), F.col("is").alias("granary_is")).distinct()
+    out = common.written(gone, "jaccard-gone")
+    common.drop_written(seen, final)
+    side = common.small_side(out, out.count())
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["granary_id"]) & (F.xxhash64(docs["text"]) == side["granary_is"]), "left_anti")

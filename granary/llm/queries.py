@@ -83,12 +83,13 @@ q AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITI
 SELECT doc_id, size, source_size, target, CAST(least(2 * size, greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before))) AS BIGINT) AS taken,
   CASE WHEN target > 0 THEN CAST(before + size AS DOUBLE) / target END AS finish FROM q""",
     "op3_decontamination": """
-WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
-w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM t),
-s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
-  ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM w),
-n AS (SELECT id, count(*) AS n_shingles FROM s WHERE kind = 1 GROUP BY id),
-m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_found FROM s d JOIN s b ON d.kind = 0 AND b.kind = 1 AND d.g = b.g GROUP BY ALL)
+WITH i AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM benchmark),
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM documents),
+r AS (SELECT DISTINCT least(len(t), 5) AS k FROM i WHERE len(t) > 0),
+b AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(t) - least(len(t), 5) + 2), lambda j: array_to_string(t[j:j + least(len(t), 5) - 1], ' '))) AS g FROM i WHERE len(t) > 0),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(t) - k + 2), lambda j: array_to_string(t[j:j + k - 1], ' '))) AS g FROM d, r WHERE len(t) >= k),
+n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id),
+m AS (SELECT s.id AS doc_id, b.id AS item_id, count(*) AS n_found FROM s JOIN b ON s.g = b.g GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM m JOIN n ON n.id = item_id WHERE n_found / n_shingles >= 0.75""",
     "op5_jaccard": """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),

@@ -105,3 +105,18 @@ def test_near_copies_without_ids(spark):
     docs = [(None, " ".join(words)), (None, near(30)), (None, near(0, far)), (4, near(119, far)), (9, near(60, far)), (11, "alone here")]
     got = sorted(map(tuple, J.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()), key=str)
     assert got == sorted([(None, 116, None), (None, 116, None), (None, 116, 4), (4, 116, 4), (9, 116, 4), (11, 1, 11)], key=str)
+
+
+def test_one_of_each_goes_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "x")
+    other = " ".join(f"v{i}" for i in range(60))
+    far = other.replace("v5 ", "y ")
+    kept = lambda rows: sorted(map(tuple, J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert kept([(3, text), (11, text), (11, "a text of its own")]) == sorted([(3, text), (11, "a text of its own")], key=str)
+    assert kept([(3, text), (11, near), (11, other), (12, far)]) == sorted([(3, text), (11, other)], key=str)
+    assert kept([(None, text), (3, near), (4, None), (None, ""), (None, None)]) == sorted([(3, near), (4, None), (None, ""), (None, None)], key=str)
+    alone = kept([(None, text), (None, near), (None, other)])
+    assert len(alone) == 2 and (None, other) in alone
+    same = kept([(3, text), (3, near), (9, far), (9, far)])
+    assert len(same) == 3 and same.count((9, far)) == 2
