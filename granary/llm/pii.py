@@ -2,7 +2,8 @@
 permutation of their own format, so that equal values stay equal across documents and every format stays valid.
 
 Card numbers keep their first digit and a right check digit, account numbers their country and check digits, phone
-numbers their country code and layout, dates their layout and a real day, network addresses their octets. Ten-digit
+numbers their country code and layout, network addresses their layout. A date becomes a real day that is written in
+the same layout and read in the same order, by cycle walking, so it comes back too. Ten-digit
 numbers outside the American numbering plan become others outside of it. A card that stands next to other numbers is
 found among the spans of whole digit groups. Whoever has the key can undo each permutation; without it a pseudonym
 tells the format alone. To undo a whole text can misread a card that another replaced number follows directly.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 import string
 
@@ -20,19 +22,23 @@ from pyspark.sql import DataFrame
 from . import common
 
 ROUNDS = 10
-KEY = b"granary-development-key"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-_MONTHS = "january february march april may june july august september october november december".split()
+# English month names.
+MONTHS = "January February March April May June July August September October November December".split()
+_SHORT = [m[:3] for m in MONTHS]
+_MONTH = "|".join(dict.fromkeys([*MONTHS, *_SHORT]))
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<aws>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
     r"|(?P<secret>(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_\-]{6,}))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<iban>\b(?:[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?:[ ]?[a-z0-9]{4}){2,7}(?:[ ]?[a-z0-9]{1,3})?)\b)"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))"
     r"|(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<iso>(?<![\w-])\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}(?![\w-]))"
-    r"|(?P<day>(?<![\w./-])\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}(?![\w-]))"
+    r"|(?P<iso>(?<![\w-])\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}(?:(?![\w-])|(?=T\d{2}(?!\d))))"
+    r"|(?P<day>(?<![\w./-])(?:\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}|\d{1,2}/\d{1,2}/\d{2})(?![\w/-]))"
+    rf"|(?P<named>(?<![\w./-])(?:(?i:\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_MONTH})\.?,?\s+\d{{4}})|(?i:(?:{_MONTH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}))(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){11,18}(?![\w-]))"
     r"|(?P<hex>\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b)"
@@ -146,12 +152,30 @@ def _iban_rest(country: str, bban: str) -> str:
 
 
 def _iban(key: bytes, text: str, back: bool) -> str | None:
-    d = text.replace(" ", "")
+    d = text.replace(" ", "").upper()
     if not 15 <= len(d) <= 34 or _iban_rest(d[:2], d[4:]) != d[2:4]:
         return None
     bban = permuted_text(key, "iban" + d[:2], d[4:], back)
     new = iter(d[:2] + _iban_rest(d[:2], bban) + bban)
-    return "".join(c if c == " " else next(new) for c in text)
+    laid = "".join(c if c == " " else next(new) for c in text)
+    return laid.lower() if text[0].islower() else laid
+
+
+def _ipv6(key: bytes, text: str, back: bool) -> str | None:
+    """Hexadecimal digits in their places; letters are all small or all capital."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    digits = text.replace(":", "")
+    if len([g for g in text.split(":") if g]) < 3 or any(c.islower() for c in digits) and any(c.isupper() for c in digits):
+        return None
+    capital = any(c.isupper() for c in digits)
+    laid = lambda x: f"{x:0{len(digits)}X}" if capital else f"{x:0{len(digits)}x}"
+    # capital letters show only where there is one, and the pattern asks for a digit
+    good = lambda x: any(c.isdigit() for c in laid(x)) and (not capital or any(c.isupper() for c in laid(x)))
+    new = iter(laid(permuted(key, f"ipv6{capital}", int(digits, 16), 16 ** len(digits), good, back)))
+    return "".join(c if c == ":" else next(new) for c in text)
 
 
 def _ipv4(key: bytes, text: str, back: bool) -> str | None:
@@ -171,33 +195,85 @@ def _ssn(key: bytes, text: str, back: bool) -> str | None:
     return _laid(text, str(permuted(key, "ssn", x, 10**9, valid, back)).zfill(9)) if valid(x) else None
 
 
-def _day(key: bytes, year: int, month: int, day: int, back: bool) -> datetime.date | None:
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 20 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def _read_date(text: str) -> tuple[tuple, datetime.date] | None:
+    """(layout, day) of a written date; None if it is no day of FIRST_DAY to LAST_DAY.
+
+    Three numbers, year last: month first with slashes unless it can't be one, day first with dots and hyphens unless it
+    can't. Years of two digits are those from 2000 on. A layout is what a date has besides its day: the order, what stands
+    between the parts, the width of each and whether it is filled with a zero, and how a month's name is written.
+    """
+    parts = re.findall(r"\d+|[^\W\d_]+|[\W_]+", text)
+    values, where, shape = {}, [], []
+    numbers = [p for p in parts if p.isdigit()]
+    name = next((p for p in parts if p[:3].title() in _SHORT), None)
+    if name is not None:
+        order = iter(("day", "year"))
+    elif len(numbers[0]) == 4:
+        order = iter(("year", "month", "day"))
+    else:
+        month_first = int(numbers[1]) > 12 or "/" in text and int(numbers[0]) <= 12
+        order = iter(("month", "day", "year") if month_first else ("day", "month", "year"))
+    for p in parts:
+        if p.isdigit():
+            kind = next(order)
+            values[kind] = int(p) + (2000 if kind == "year" and len(p) == 2 else 0)
+            # among days of two places those filled with a zero and those with two digits of their own differ where another part shows that it isn't filled
+            where.append((kind, len(p)))
+            shape.append((kind, len(p)))
+        elif p is name:
+            values["month"] = _SHORT.index(p[:3].title()) + 1
+            style = "full" if p.title() in MONTHS else "short"
+            case = "upper" if p.isupper() else "title" if p.istitle() else "lower" if p.islower() else None
+            if case is None:
+                return None
+            shape.append(("name", style, case))
+        elif p.lower() in ("st", "nd", "rd", "th"):
+            if p != _ordinal(values["day"]):
+                return None
+            shape.append("ordinal")
+        else:
+            shape.append(p)
+    widths = [n for kind, n in where if kind != "year"]
+    filled = tuple(values[kind] < 10 for kind, n in where if kind != "year" and n == 2) if name is not None or 1 in widths else ()
     try:
-        at = datetime.date(year, month, day).toordinal()
+        day = datetime.date(values["year"], values["month"], values["day"])
     except ValueError:
         return None
-    if not FIRST_DAY <= at <= LAST_DAY:
-        return None
-    return datetime.date.fromordinal(FIRST_DAY + permuted(key, "date", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, back=back))
+    return ((*shape, filled), day) if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
+
+
+def _write_date(layout: tuple, day: datetime.date) -> str:
+    """A day in a layout; it may be read as another where the layout doesn't suit it."""
+    out = []
+    for p in layout[:-1]:
+        if p == "ordinal":
+            out.append(_ordinal(day.day))
+        elif isinstance(p, str):
+            out.append(p)
+        elif p[0] == "name":
+            out.append(getattr((MONTHS if p[1] == "full" else _SHORT)[day.month - 1], p[2])())
+        else:
+            value = getattr(day, p[0])
+            out.append(str(value % 100 if p == ("year", 2) else value).zfill(p[1]))
+    return "".join(out)
 
 
 def _date(key: bytes, text: str, back: bool) -> str | None:
-    """Days in three numbers. Year last: month first with slashes unless it can't be one, day first with dots and hyphens unless it can't."""
-    sep = re.search(r"\D", text)[0]
-    n = text.split(sep)
-    if len(n[0]) == 4:
-        order = (0, 1, 2)
-    else:
-        month_first = int(n[1]) > 12 or sep == "/" and int(n[0]) <= 12
-        order = (2, 0, 1) if month_first else (2, 1, 0)
-    new = _day(key, *(int(n[i]) for i in order), back)
-    if new is None:
+    """Permutes the days that the text's layout can show and that are read from it again in the same layout."""
+    read = _read_date(text)
+    if read is None:
+        return None
+    layout, day = read
+    of = lambda x: datetime.date.fromordinal(FIRST_DAY + x)
+    suits = lambda x: _read_date(_write_date(layout, of(x))) == (layout, of(x))
+    if not suits(day.toordinal() - FIRST_DAY):
         return None
-    out = [""] * 3
-    for i, v in zip(order, (new.year, new.month, new.day), strict=True):
-        # The layout stays: two places are filled if the value's other parts have leading zeros or it had two places.
-        out[i] = str(v).zfill(len(n[i]) if len(n[i]) != 1 else 1)
-    return sep.join(out)
+    new = permuted(key, f"date{layout}", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, suits, back)
+    return _write_date(layout, of(new))
 
 
 def _phone(key: bytes, text: str, back: bool) -> str | None:
@@ -221,7 +297,7 @@ def _email(key: bytes, text: str, back: bool) -> str:
     return f"{permuted_text(key, 'email', local, back)}@{domain}"
 
 
-def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
     """A value's pseudonym, or None if it isn't a valid value of its kind. back: the value of a pseudonym."""
     if kind == "email":
         return _email(key, text, back)
@@ -229,12 +305,12 @@ def pseudonym(kind: str, text: str, key: bytes = KEY, back: bool = False) -> str
         return text[:4] + permuted_text(key, "aws", text[4:], back)
     if kind == "hex":
         return f"{permuted(key, 'hex', int(text, 16), 16 ** len(text), back=back):0{len(text)}x}"
-    if kind in ("iso", "day"):
+    if kind in ("iso", "day", "named"):
         return _date(key, text, back)
-    return {"card": _card, "iban": _iban, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone}[kind](key, text, back)
+    return {"card": _card, "iban": _iban, "ipv4": _ipv4, "ipv6": _ipv6, "ssn": _ssn, "phone": _phone}[kind](key, text, back)
 
 
-def pseudonymized(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymized(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms in place of values, and the number of values by kind."""
     found: dict[str, int] = {}
     if not _MAYBE.search(text):
@@ -247,7 +323,7 @@ def pseudonymized(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
             at = m.start("value") - m.start()
             new = m[0][:at] + permuted_text(key, "secret", value, back) + m[0][at + len(value) :]
         else:
-            kind = next(k for k in ("email", "aws", "iban", "ipv4", "ssn", "iso", "day", "phone", "card", "hex") if m[k] is not None)
+            kind = next(k for k in ("email", "aws", "iban", "ipv6", "ipv4", "ssn", "iso", "day", "named", "phone", "card", "hex") if m[k] is not None)
             new = pseudonym(kind, m[0], key, back)
             if new is None and kind in ("phone", "iban") and (as_card := _card(key, m[0], back)) is not None:
                 kind, new = "card", as_card
@@ -270,11 +346,13 @@ def pseudonymized(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     return "".join((*out, text[at:])), found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_values (long) and kinds (kind:count, by kind) of every row of docs(doc_id, text, ...).
 
-    A null text stays null and an empty one empty, both with no values; texts without values stay as they are; repeated
-    rows give repeated results; extra columns are ignored. Rows are independent, so nothing is shuffled.
+    The key is the caller's; values are linked across all tables that are treated with the same one. A null text stays null
+    and an empty one empty, both with no values; texts without values stay as they are; a very long text is searched
+    whole; repeated rows give repeated results; extra columns are ignored; an empty table gives no rows. Rows are
+    independent, so nothing is shuffled.
     """
 
     def write(batches):
