@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from granary.catalog import sql as S
+from granary.catalog import checks, sql as S
 from granary.functions import text as T
 from granary.operators import evaluation as E, retrieval as R
 from granary.registry import query
@@ -311,14 +311,28 @@ def agent_vs_baseline(spark, sf_dir):
     return a.agg(F.count("*").alias("cases"), F.round(F.avg("agent"), 4).alias("agent"), F.round(F.avg("baseline"), 4).alias("baseline"), F.count_if(F.col("agent") > F.col("baseline")).alias("agent_wins"), F.count_if(F.col("agent") < F.col("baseline")).alias("baseline_wins"))
 
 
-@query("devdocs_case_score", f"""{_IR}, s AS (SELECT b.item_id AS query_id, coalesce(recall, 0) AS retrieval_score, CASE WHEN b.item_id % 4 = 0 THEN 1.0::DOUBLE WHEN b.item_id % 4 = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS answer_score, b.item_id % 7 = 3 AS violates FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id)
-SELECT query_id, retrieval_score, answer_score, (retrieval_score + answer_score) / 2 AS combined_score, CASE WHEN (retrieval_score + answer_score) / 2 = 1 AND NOT violates THEN 'passed' ELSE 'failed' END AS status FROM s""")
+_ENDPOINTS = f"SELECT DISTINCT query_id FROM (SELECT query_id, unnest(regexp_extract_all(answer, '/[A-Za-z][A-Za-z0-9_\\-{{}}]*(?:/[A-Za-z0-9_\\-{{}}]+)*')) AS endpoint FROM ans) WHERE endpoint NOT IN ({S.quoted(checks.TEMPLATES)}) AND len(list_filter({checks._RX}, lambda r: regexp_matches(endpoint, r))) = 0"
+_CASE_SCORE = f"""{_IR}, ans AS (SELECT query_id, text AS answer FROM bm JOIN documents ON doc_id = chunk_id WHERE rank = 1),
+viol AS ({_ENDPOINTS} UNION SELECT query_id FROM ans, {checks._DEP} WHERE regexp_matches(lower(answer), p) AND len(list_filter(w, lambda x: contains(lower(answer), x))) = 0),
+kw AS (SELECT item_id AS query_id, list_slice({S.words('text')}, 1, 3) AS k FROM benchmark),
+s AS (SELECT b.item_id AS query_id, coalesce(recall, 0) AS retrieval_score, CASE WHEN b.item_id % 4 = 0 THEN CASE WHEN b.item_id % 8 = 0 THEN 1.0::DOUBLE ELSE 0.0 END
+  ELSE round(CASE WHEN len(k) = 0 THEN 1 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(answer, '')), lower(x)))) / len(k) END, 6) END AS answer_score, v.query_id IS NOT NULL AS violates
+  FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id LEFT JOIN ans a ON a.query_id = b.item_id LEFT JOIN viol v ON v.query_id = b.item_id JOIN kw ON kw.query_id = b.item_id)
+SELECT query_id, retrieval_score, answer_score, round((retrieval_score + answer_score) / 2, 6) AS combined_score, CASE WHEN (retrieval_score + answer_score) / 2 = 1 AND NOT violates THEN 'passed' ELSE 'failed' END AS status FROM s"""
+
+
+@query("devdocs_case_score", _CASE_SCORE)
 def devdocs_case_score(spark, sf_dir):
-    """Retrieval and answer scores of a case, their mean, and whether it passes without violations."""
-    q = A.questions(spark, sf_dir).join(_metrics(spark, sf_dir).select("query_id", F.col("recall").alias("retrieval_score")), "query_id", "left").fillna(0.0, ["retrieval_score"])
-    q = q.withColumn("answer_score", F.when(F.col("query_id") % 4 == 1, 0.5).otherwise(1.0)).withColumn("combined_score", (F.col("retrieval_score") + F.col("answer_score")) / 2)
-    passed = (F.col("combined_score") == 1) & (F.col("query_id") % 7 != 3)
-    return q.select("query_id", "retrieval_score", "answer_score", "combined_score", F.when(passed, "passed").otherwise("failed").alias("status"))
+    """Cases scored by their parts: the share of expected sources that were found, a judge's verdict or else the share of keywords
+    in the answer, and the checks of endpoints and deprecations. The first chunk found stands for the answer; every fourth case has a verdict."""
+    q = A.questions(spark, sf_dir)
+    first = R.bm25_search(q, A.chunks(spark, sf_dir), 1).join(A.chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("answer")), "chunk_id").select("query_id", "answer")
+    i = F.col("query_id")
+    cases = q.select("query_id", F.slice(T.space_words(F.col("query")), 1, 3).alias("keywords"), F.when(i % 4 == 0, i % 8 == 0).alias("verdict")).join(first, "query_id", "left")
+    answers = first.select(F.col("query_id").alias("case_id"), "answer")
+    hits = checks.C.unknown_endpoints(answers, spark.createDataFrame([(t,) for t in checks.TEMPLATES], "path string")).select("case_id")
+    old = checks.C.deprecation_violations(answers, spark.createDataFrame(checks.DEPRECATIONS, "entry int, symbols array<string>, note string")).select("case_id")
+    return E.case_scores(cases, _metrics(spark, sf_dir).select("query_id", "recall"), hits.union(old).select(F.col("case_id").alias("query_id")))
 
 
 # --- trajectories --------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from granary.catalog import sql as S
 from granary.functions import text as T
 from granary.operators import ingest as I
 from granary.registry import query
-from granary.session import table
+from granary.session import table, text_table
 
 # Lines that the tables don't have: printed headers, headings, bullets, endpoints and the like.
 LINES = [
@@ -21,7 +21,7 @@ _ITEMS = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ITEMS) + ") t(id, li
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return text_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
 
 
 def _lines(spark, rows=LINES):
@@ -110,8 +110,8 @@ def chunk_text_no_overlap(spark, sf_dir):
 
 @query("ingest_chunks")
 def ingest_chunks(spark, sf_dir):
-    """The whole way from documents to chunks; compared with a plain model in the tests."""
-    return I.ingest_chunks(docs(spark, sf_dir))
+    """The whole way from documents to chunks, each line a page; compared with a plain model in the tests."""
+    return I.ingest_chunks(docs(spark, sf_dir).withColumn("pages", F.split("content", "\n")))
 
 
 @query("ingest_doc_summary")

@@ -238,6 +238,17 @@ def context_union_all(spark, sf_dir):
     return side(v, 1).unionByName(side(b, 2))
 
 
+_REWRITTEN = "SELECT item_id AS query_id, text || ' deprecated changelog v2' AS query FROM benchmark"
+
+
+@query("fixed_workflow", f"SELECT query_id, chunk_id, 1 AS part, rank FROM (WITH {S.bm25_ctes(5)} SELECT * FROM bm) UNION ALL SELECT query_id, chunk_id, 2, rank FROM (WITH {S.bm25_ctes(5, query_sql=_REWRITTEN)} SELECT * FROM bm)")
+def fixed_workflow(spark, sf_dir):
+    """The whole fixed workflow: the context of the question, and after it that of the question about deprecation, repeats kept."""
+    q, c = A.questions(spark, sf_dir), A.chunks(spark, sf_dir, embedded=True)
+    own = pipeline.retrieve(q, A.question_vectors(spark, sf_dir), c, C.default_config("bm25", 5))
+    return P.fixed_workflow(own, query_rewrite(spark, sf_dir))
+
+
 @query("cache_key", "SELECT item_id AS query_id, sha256(text || '|hybrid|src1') AS cache_key FROM benchmark")
 def cache_key(spark, sf_dir):
     return A.questions(spark, sf_dir).select("query_id", F.sha2(F.concat_ws("|", "query", F.lit("hybrid"), F.lit("src1")), 256).alias("cache_key"))

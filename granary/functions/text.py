@@ -60,9 +60,11 @@ def let(value: Column, make) -> Column:
 
 
 def tokens(text: Column, kind: str = "standard") -> Column:
-    """Lower-case tokens; kind 'standard' takes words, 'whitespace' what stands between white space, 'porter' falls back to standard."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    return space_words(lower) if kind == "whitespace" else F.regexp_extract_all(lower, F.lit(WORD), 1)
+    """Lower-case tokens by a registered tokenizer: 'standard' takes words, 'whitespace' what stands between white space,
+    'porter' stems where a stemmer has been registered under its name and else takes words."""
+    if kind not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {kind!r}; known: {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[kind](F.lower(F.coalesce(text, F.lit(""))))
 
 
 def space_words(text: Column) -> Column:
@@ -70,6 +72,14 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+#: Tokenizers by name, of a lower-case text column; a stemmer, say, takes the place of 'porter'.
+TOKENIZERS = {
+    "standard": lambda lower: F.regexp_extract_all(lower, F.lit(WORD), 1),
+    "whitespace": lambda lower: space_words(lower),
+    "porter": lambda lower: F.regexp_extract_all(lower, F.lit(WORD), 1),
+}
+
+
 def query_terms(text: Column, kind: str = "standard") -> Column:
     """Tokens without stopwords; all tokens if nothing else is left. Repeats stay."""
     return let(tokens(text, kind), lambda t: let(F.filter(t, lambda w: ~w.isin(QUERY_STOPWORDS)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(t)))

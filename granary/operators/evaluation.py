@@ -163,3 +163,17 @@ def judge_agreement(rows: DataFrame) -> DataFrame:
 def previous_run(runs: DataFrame, key: str, *order: Column) -> DataFrame:
     """Adds prev_score of the run before of the same key."""
     return runs.withColumn("prev_score", F.lag("score").over(Window.partitionBy(key).orderBy(*order)))
+
+
+def case_scores(cases: DataFrame, recalls: DataFrame, violations: DataFrame) -> DataFrame:
+    """query_id, retrieval_score, answer_score, combined_score, status of cases(query_id, keywords, verdict, answer).
+
+    The answer score is a judge's verdict where there is one, else the share of keywords in the answer; a case passes if the
+    mean of both scores is 1 and violations(query_id) doesn't name it.
+    """
+    bad = violations.distinct().withColumn("bad", F.lit(True))
+    joined = cases.join(recalls, "query_id", "left").join(bad, "query_id", "left")
+    by_words = F.round(T.keyword_share(F.coalesce("answer", F.lit("")), F.col("keywords")), 6)
+    scored = joined.withColumns({"retrieval_score": F.coalesce("recall", F.lit(0.0)), "answer_score": F.when(F.col("verdict").isNotNull(), F.col("verdict").cast("double")).otherwise(by_words)})
+    mean = (F.col("retrieval_score") + F.col("answer_score")) / 2
+    return scored.select("query_id", "retrieval_score", "answer_score", F.round(mean, 6).alias("combined_score"), F.when((mean == 1) & F.col("bad").isNull(), "passed").otherwise("failed").alias("status"))

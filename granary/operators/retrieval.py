@@ -12,6 +12,12 @@ from granary.functions import text as T, vectors as V
 from granary.session import bounded_broadcast
 
 K1, B, KEYWORD_BOOST = 1.5, 0.75, 3
+#: Scores by name, of (query vector, chunk vector, their norms); greater is nearer. More may be registered.
+SIMILARITIES = {
+    "cosine": lambda q, c, qn, cn: V.cosine(q, c, qn, cn),
+    "dot": lambda q, c, qn, cn: V.dot(q, c),
+    "l2": lambda q, c, qn, cn: -V.l2(q, c),
+}
 
 
 def ranked(scored: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -29,13 +35,10 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, similarity: str
     """
     q = bounded_broadcast(queries.select("query_id", F.col("embedding").alias("qv")).where(V.usable(F.col("qv"))).withColumn("qn", V.norm(F.col("qv"))))
     c = chunks.select("chunk_id", "pos", F.col("embedding").alias("cv")).where(V.usable(F.col("cv")))
-    if similarity == "l2":
-        score = -V.l2(F.col("qv"), F.col("cv"))
-    elif similarity == "dot":
-        score = V.dot(F.col("qv"), F.col("cv"))
-    else:
-        c = c.withColumn("cn", V.norm(F.col("cv")))
-        score = V.cosine(F.col("qv"), F.col("cv"), F.col("qn"), F.col("cn"))
+    if similarity not in SIMILARITIES:
+        raise ValueError(f"unknown similarity {similarity!r}; known: {', '.join(SIMILARITIES)}")
+    c = c.withColumn("cn", V.norm(F.col("cv")))
+    score = SIMILARITIES[similarity](F.col("qv"), F.col("cv"), F.col("qn"), F.col("cn"))
     pairs = c.crossJoin(q).select("query_id", "chunk_id", "pos", F.round(score, 6).alias("score"))
     if similarity != "l2":
         pairs = pairs.where(F.col("score") >= threshold)
@@ -53,9 +56,14 @@ def indexed_tokens(chunks: DataFrame, kind: str = "standard") -> DataFrame:
     return chunks.withColumn("tokens", F.concat(own, F.flatten(F.array_repeat(key, KEYWORD_BOOST))))
 
 
-def postings(indexed: DataFrame) -> DataFrame:
-    """chunk_id, pos, dl, tok of every token; the tokens of a row are computed once, as a second use would run the pattern again."""
-    each = T.let(F.col("tokens"), lambda t: F.transform(t, lambda x: F.struct(x.alias("tok"), F.size(t).alias("dl"))))
+#: A posting that each document has besides those of its tokens, which are never empty; it carries the length of documents without any asked token.
+LENGTH = ""
+
+
+def postings(indexed: DataFrame, lengths: bool = False) -> DataFrame:
+    """chunk_id, pos, dl, tok of every token, and of LENGTH if asked for; the tokens of a row are computed once, as a second use would run the pattern again."""
+    extra = lambda t: F.concat(t, F.array(F.lit(LENGTH))) if lengths else t
+    each = T.let(F.col("tokens"), lambda t: F.transform(extra(t), lambda x: F.struct(x.alias("tok"), F.size(t).alias("dl"))))
     return indexed.select("chunk_id", "pos", F.explode(each).alias("p")).select("chunk_id", "pos", "p.dl", "p.tok")
 
 
@@ -77,19 +85,19 @@ def document_frequencies(indexed: DataFrame) -> DataFrame:
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str = "standard") -> DataFrame:
     """BM25 of queries(query_id, query) over chunks(chunk_id, pos, content[, keywords]); a term that a query repeats counts as often.
 
-    Tokens that no query asks for are dropped by a semi-join before they are counted, so only asked terms are shuffled.
+    The corpus is read and cut into tokens once. Tokens that no query asks for are dropped by a semi-join before they are
+    counted, so only asked terms and one row for each document's length are shuffled; document frequencies and corpus
+    statistics come from the same exchange. Nothing filters one of its uses alone, which would keep Spark from sharing it.
     """
     asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"), kind)).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
     asked = bounded_broadcast(asked)
     index = indexed_tokens(chunks.select("chunk_id", "pos", "content", *(["keywords"] if "keywords" in chunks.columns else [])), kind)
-    tf = (
-        postings(index)
-        .join(asked.select("tok").distinct(), "tok", "left_semi")
-        .groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
-    )
+    wanted = bounded_broadcast(asked.select("tok").union(queries.sparkSession.range(1).select(F.lit(LENGTH))).distinct())
+    tf = postings(index, lengths=True).where("tok IS NOT NULL").join(wanted, "tok", "left_semi").groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(index))  # one row
-    weighted = tf.join(df, "tok").join(asked, "tok").crossJoin(stats)
+    own = F.col("tok") == LENGTH
+    stats = F.broadcast(tf.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl")))  # one row
+    weighted = tf.join(df, "tok").join(asked, "tok").crossJoin(stats)  # no query asks for LENGTH
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.groupBy("query_id", "chunk_id", "pos").agg(F.round(F.sum(F.col("qtf") * idf * part), 6).alias("score")).where("score > 0")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import functions as F
+
 STRATEGIES = ("vector", "bm25", "hybrid", "hybrid-rrf", "hybrid-rerank", "hybrid-rerank-mmr")
 STAGES = ("vector", "bm25", "rrf", "rerank", "mmr")
 _RUNS = {
@@ -82,3 +84,8 @@ def default_config(strategy: str, top_k: int = 5) -> RetrievalConfig:
         strategy, VectorConfig(top_k=width), Bm25Config(top_k=width), RrfConfig(top_n=top_k),
         RerankConfig(enabled="rerank" in _RUNS[strategy], candidate_count=width, top_n=rerank_n), MmrConfig(enabled=with_mmr, candidate_count=rerank_n, final_count=top_k),
     )
+
+
+def clamped(top_k, most: int = 100):
+    """How many results a search gives at most: 1 to `most`. Takes a number or a Column."""
+    return max(1, min(top_k, most)) if isinstance(top_k, int) else F.greatest(F.lit(1), F.least(top_k, F.lit(most)))

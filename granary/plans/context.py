@@ -33,3 +33,9 @@ def build_prompt(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, syste
     out = out.withColumn("context", T.truncate_tokens(F.col("raw"), F.greatest(F.lit(LEAST_TOKENS), F.lit(MAX_TOKENS) - F.col("system_tokens") - F.col("user_tokens"))))
     out = out.withColumn("context_tokens", T.token_estimate(F.col("context")))
     return out.select("query_id", "context", "system_tokens", "user_tokens", "context_tokens", (F.col("system_tokens") + F.col("context_tokens") + F.col("user_tokens")).alias("total_tokens"))
+
+
+def fixed_workflow(own: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """query_id, chunk_id, part, rank: the context of each question (1) and of its rewritten form (2), one after the other."""
+    side = lambda df, n: df.select("query_id", "chunk_id", F.lit(n).alias("part"), "rank")
+    return side(own, 1).unionByName(side(rewritten, 2))

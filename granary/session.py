@@ -20,3 +20,13 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts. One that is a single file below a core's share of splits is dealt over all cores, as a file
+    of one row group is read by one task; larger tables and folders are read as they are."""
+    df = table(spark, sf_dir, name)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if status.isFile() and 1 << 22 < status.getLen() < cores << 27 else df

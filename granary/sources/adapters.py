@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from granary.functions import text as T
-from granary.session import table
+from granary.session import bounded_broadcast, table, text_table
 
 
 def chunks(spark: SparkSession, sf_dir: str, embedded: bool = False, keywords: bool = False) -> DataFrame:
     """chunk_id, document_id, document_name, content, page, section, kb, pos, and embedding or keywords if asked for."""
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents")
     out = docs.select(
         F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".md")).alias("document_name"), F.col("text").alias("content"),
         (F.col("doc_id") % 10 + 1).alias("page"), F.col("lang").alias("section"), F.col("source").alias("kb"), F.col("doc_id").alias("pos"),
@@ -31,14 +31,29 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, embedding of the questions that have a vector."""
     ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return table(spark, sf_dir, "embeddings").join(F.broadcast(ids), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
+    return table(spark, sf_dir, "embeddings").join(bounded_broadcast(ids), F.col("vec_id") == F.col("query_id")).select("query_id", "embedding")
 
 
 def expected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, chunk_id: documents that hold a question's text word for word."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    q = questions(spark, sf_dir)
-    return docs.join(F.broadcast(q), F.contains(F.col("text"), F.col("query"))).select("query_id", "chunk_id")
+    docs = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return holders(docs, questions(spark, sf_dir))
+
+
+def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id of docs(chunk_id, text) whose text contains the query of queries(query_id, query).
+
+    A text that contains a query has the query's inner words as words of its own, so documents are looked up by the
+    longest of these and verified; queries of fewer than three words, which have none, are searched for one by one.
+    """
+    words = F.split("query", r"\s+")
+    key = F.array_max(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = queries.select("query_id", "query", F.nullif(key, F.lit("")).alias("key"))
+    known = bounded_broadcast(keyed.where("key IS NOT NULL"))
+    met = docs.select("chunk_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(known, "key").select("query_id", "query", F.col("chunk_id").alias("at"))
+    found = docs.join(met, F.col("chunk_id") == F.col("at")).where(F.contains(F.col("text"), F.col("query"))).select("query_id", "chunk_id")
+    short = docs.join(bounded_broadcast(keyed.where("key IS NULL"), 1000), F.contains(F.col("text"), F.col("query"))).select("query_id", "chunk_id")
+    return found.unionByName(short)
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

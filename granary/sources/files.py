@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from granary.functions import text as T
+
 #: Files read as text; others are refused or read leniently.
 TEXT_ENDINGS = r"\.(txt|md)$"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path that driver and executors share: below spark.checkpoint.dir, or below a temporary folder where that is unset."""
+    """A path that driver and executors share: below spark.checkpoint.dir, or, in local mode alone, below a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="granary-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = "file://" + folder
@@ -47,6 +52,82 @@ def document_type(name, strict: bool = True):
     return F.when(lower.endswith(".pdf"), "pdf").when(lower.rlike(TEXT_ENDINGS), "text").otherwise(rest)
 
 
+def read_pages(spark: SparkSession, path: str, extract, suffix: str = "*") -> DataFrame:
+    """path, pages (array of cleaned page texts), content (pages joined by line ends) of the files below a path.
+
+    extract(bytes) gives a file's page texts, with None for a page without text; any PDF library's reader will do, and
+    none is needed here. A file is read whole by one task, a batch of Arrow rows at a time.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            pages = [[p or "" for p in extract(x)] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.list_(pa.string()))], names=["path", "raw"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    cleaned = files.mapInArrow(run, "path string, raw array<string>").select("path", F.transform("raw", T.clean_page).alias("pages"))
+    return cleaned.select("path", "pages", F.array_join("pages", "\n").alias("content"))
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Adds rows to a JSON lines table; the commit protocol shows all of them or none."""
+    df.write.mode("append").json(path)
+
+
+def migrate_json(spark: SparkSession, path: str, target: str, schema: str) -> DataFrame:
+    """Writes a file with one JSON array as JSON lines, keeps the old file beside it as .bak, and reads the lines."""
+    read_json_table(spark, path, schema).write.json(target)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(path + ".bak"))
+    return read_jsonl(spark, target, schema)
+
+
+def put_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file so that readers see the old text or the new one, never a part."""
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fresh = fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    at = fs_path(path)
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(fresh, at):
+        raise OSError(f"could not replace {path}")
+
+
+def write_pair(spark: SparkSession, folder: str, baseline: str, improved: str) -> None:
+    """Names the two reports of the last pair of runs."""
+    put_atomic(spark, f"{folder}/latest_pair.json", json.dumps({"baseline": baseline, "improved": improved}))
+
+
+def read_pair(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    """role and the columns of the reports that the pointer names; None if it or one of them can't be read, so that the caller falls back."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/latest_pair.json")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    named = spark.read.schema("baseline string, improved string").json(f"{folder}/latest_pair.json").first()
+    out = None
+    for role in ("baseline", "improved"):
+        name = named and named[role]
+        if not name:
+            continue
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")):
+            return None
+        part = spark.read.schema(schema).json(f"{folder}/{name}", mode="DROPMALFORMED").select(F.lit(role).alias("role"), "*")
+        if part.isEmpty():
+            return None
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file with one JSON array; a broken file is empty."""
     return spark.read.schema(schema).json(path, multiLine=True, mode="DROPMALFORMED")
