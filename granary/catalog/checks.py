@@ -8,7 +8,7 @@ from granary.catalog import sql as S
 from granary.functions import text as T
 from granary.operators import checks as C
 from granary.registry import query
-from granary.session import table
+from granary.session import table, text_table
 from granary.sources import adapters as A
 from granary.sources.adapters import ANSWERS_SQL
 
@@ -109,15 +109,15 @@ def endpoint_tokens(spark, sf_dir):
 _RX = "[" + S.quoted([f"^{__import__('re').sub(r'{[^}]+}', '[^/\\\\s]+', t.replace('.', chr(92) + '.'))}$" for t in TEMPLATES]) + "]"
 
 
-@query("unknown_endpoints_anti", f"SELECT DISTINCT case_id, endpoint FROM (SELECT page_id AS case_id, unnest(regexp_extract_all(url, '/[A-Za-z][A-Za-z0-9_\\-{{}}]*(?:/[A-Za-z0-9_\\-{{}}]+)*')) AS endpoint FROM pages) WHERE endpoint NOT IN ({S.quoted(TEMPLATES)}) AND len(list_filter({_RX}, lambda r: regexp_matches(endpoint, r))) = 0")
+@query("unknown_endpoints_anti", f"SELECT DISTINCT case_id, endpoint FROM (SELECT page_id AS case_id, unnest(regexp_extract_all(url || ' ' || html, '/[A-Za-z][A-Za-z0-9_\\-{{}}]*(?:/[A-Za-z0-9_\\-{{}}]+)*')) AS endpoint FROM pages) WHERE endpoint NOT IN ({S.quoted(TEMPLATES)}) AND len(list_filter({_RX}, lambda r: regexp_matches(endpoint, r))) = 0")
 def unknown_endpoints_anti(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("case_id"), F.col("url").alias("answer"))
+    pages = text_table(spark, sf_dir, "pages").select(F.col("page_id").alias("case_id"), F.concat("url", F.lit(" "), "html").alias("answer"))
     return C.unknown_endpoints(pages, spark.createDataFrame([(t,) for t in TEMPLATES], "path string"))
 
 
-@query("significant_words", f"SELECT page_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(url, '[`*_]', '', 'g')), '[a-z][a-z0-9_.\\-]{{3,}}'), lambda w: w NOT IN ({S.quoted(T.NOTE_STOPWORDS)})), ' ') AS words FROM pages")
+@query("significant_words", f"SELECT page_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(url || ' ' || html, '[`*_]', '', 'g')), '[a-z][a-z0-9_.\\-]{{3,}}'), lambda w: w NOT IN ({S.quoted(T.NOTE_STOPWORDS)})), ' ') AS words FROM pages")
 def significant_words(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.significant_words(F.col("url")), " ").alias("words"))
+    return text_table(spark, sf_dir, "pages").select("page_id", F.array_join(T.significant_words(F.concat("url", F.lit(" "), "html")), " ").alias("words"))
 
 
 _DEP = "(VALUES (1, '(^|[^\\p{L}\\p{N}_])(the|onndre)($|[^\\p{L}\\p{N}_])', ['heation']), (2, '(^|[^\\p{L}\\p{N}_])idiot($|[^\\p{L}\\p{N}_])', []), (3, '(^|[^\\p{L}\\p{N}_])nicht($|[^\\p{L}\\p{N}_])', ['enver']), (4, '(^|[^\\p{L}\\p{N}_])a\\.b($|[^\\p{L}\\p{N}_])', [])) d(entry, p, w)"
@@ -154,10 +154,10 @@ def md_table_scan(spark, sf_dir):
     return rows.select((F.col("i") + 1).alias("row_no"), F.array_join("r.symbols", ",").alias("symbols"), "r.endpoint", "r.note")
 
 
-@query("disclosure_flag", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND regexp_matches(lower(t), 'deprecated|version|removed|migrated') THEN t || chr(10) || chr(10) || 'Note: version check was unavailable.' ELSE t END AS answer FROM (SELECT doc_id, substr(text, 1, 50) || CASE WHEN doc_id % 3 = 0 THEN ' Removed' ELSE '' END AS t FROM documents)")
+@query("disclosure_flag", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND regexp_matches(lower(t), 'deprecated|version|removed|migrated') THEN t || chr(10) || chr(10) || 'Note: version check was unavailable.' ELSE t END AS answer FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' Removed' ELSE '' END AS t FROM documents)")
 def disclosure_flag(spark, sf_dir):
     """A note after answers that speak of versions when these could not be checked."""
     i = F.col("doc_id")
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 50), F.when(i % 3 == 0, " Removed").otherwise("")).alias("t"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(i % 3 == 0, " Removed").otherwise("")).alias("t"))
     speaks = (i % 2 == 1) & F.lower("t").rlike("deprecated|version|removed|migrated")
     return t.select("doc_id", F.when(speaks, F.concat("t", F.lit("\n\nNote: version check was unavailable."))).otherwise(F.col("t")).alias("answer"))

@@ -218,11 +218,10 @@ def judge_agreement(spark, sf_dir):
     return E.judge_agreement(table(spark, sf_dir, "labels").select(F.col("quality").alias("human"), F.when(i % 6 != 0, 1 - F.col("toxic")).alias("judge"), (i % 4 != 0).alias("keyworded")))
 
 
-@query("label_join", f"SELECT doc_id AS case_id, quality AS label, status FROM labels JOIN {CASES_SQL} c ON c.case_id = doc_id WHERE doc_id % 2 = 1")
+@query("label_join", f"SELECT doc_id AS case_id, quality AS label, status FROM labels JOIN {CASES_SQL} c ON c.case_id = doc_id")
 def label_join(spark, sf_dir):
     """Labels with their cases; those without one are dropped."""
-    odd = A.case_results(spark, sf_dir).where("case_id % 2 = 1").select("case_id", "status")
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").alias("label")).join(odd, "case_id")
+    return E.labelled(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.col("quality").alias("label")), A.case_results(spark, sf_dir).select("case_id", "status"))
 
 
 _SIDES = f"(SELECT * FROM {CASES_SQL} WHERE case_id % 2 = 0 AND mode <> 'es') b"

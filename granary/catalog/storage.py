@@ -14,12 +14,13 @@ from granary.sources import adapters as A, files
 # --- scans and sinks -----------------------------------------------------------------------------------------------
 @query("scan_text", "SELECT page_id, html AS content FROM pages")
 def scan_text(spark, sf_dir):
-    """Pages written as one text file each, by way of a partitioned write, and read whole again."""
+    """Pages written as text files, a line for each in as many files as there are tasks, and the files read whole again."""
     path = files.shared_path(spark, "pages")
-    p = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
-    p.select("page_id", F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"\s", "").alias("value")).write.partitionBy("page_id").text(path)
-    whole = spark.read.text(path, wholetext=True).select("page_id", F.decode(F.unbase64(F.regexp_replace("value", r"\s", "")), "UTF-8").alias("content"))
-    return whole.withColumn("page_id", F.col("page_id").cast("long"))
+    p = table(spark, sf_dir, "pages")
+    coded = F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"\s", "")
+    p.select(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(coded, F.lit("-"))).alias("value")).write.text(path)
+    lines = files.read_whole(spark, path).select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''").select(F.split("line", " ").alias("x"))
+    return lines.select(F.col("x")[0].try_cast("long").alias("page_id"), F.when(F.col("x")[1] != "-", F.decode(F.unbase64(F.col("x")[1]), "UTF-8")).alias("content"))
 
 
 @query("scan_dispatch", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 IN (1, 2) THEN 'text' END AS strict, CASE WHEN page_id % 4 = 0 THEN 'pdf' ELSE 'text' END AS lax FROM pages")
@@ -71,11 +72,11 @@ def report_scan(spark, sf_dir):
     return reports.where("created_at IS NOT NULL AND summary IS NOT NULL").select("id")
 
 
-@query("byte_range", "SELECT doc_id, substr(text, 11, 20) AS part FROM documents WHERE strlen(text) = length(text)")
+@query("byte_range", "SELECT doc_id, lower(substr(hex(encode(text)), 21, 40)) AS part FROM documents")
 def byte_range(spark, sf_dir):
-    """A range of bytes of contents; of texts of one-byte characters, so that the range is text again."""
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", F.decode(files.byte_slice(F.encode("text", "UTF-8"), 10, 20), "UTF-8").alias("part"))
+    """A range of bytes of all contents, in hexadecimal, as it may begin or end within a character."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lower(F.hex(files.byte_slice(F.encode("text", "UTF-8"), 10, 20))).alias("part"))
 
 
 PICKED = [12, 3, 77, 45, 5, 8, 1, 30, 22, 19]

@@ -26,20 +26,19 @@ def client_id(spark, sf_dir):
 
 @query("event_counts", "SELECT event_type AS stage, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
 def event_counts(spark, sf_dir):
-    """Counts by stage and hour of a file stream, run over all that is there."""
+    """Counts by stage and hour of a file stream, run over all that is there; each batch replaces the table of counts."""
     out, mark = files.shared_path(spark, "counts"), files.shared_path(spark, "mark")
     e = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*").select("ts", F.col("event_type").alias("stage"))
-    q = SS.event_counts(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("granary_counts_" + mark.split("/")[-2]).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    q = SS.event_counts(stream, "1 hour").writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).option("checkpointLocation", mark).trigger(availableNow=True).start()
     q.awaitTermination()
-    spark.table("granary_counts_" + mark.split("/")[-2]).write.parquet(out)
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("events_to_steps", "SELECT conv_id AS run, turn AS step, 'because ' || role AS reason, role AS tool, length(text) AS latency_ms, substr(text, 1, 20) AS observation FROM conversations")
+@query("events_to_steps", "SELECT conv_id AS run, turn AS step, 'because ' || role AS reason, role AS tool, length(text) AS latency_ms, text AS observation FROM conversations")
 def events_to_steps(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    kinds = {"reason": F.concat(F.lit("because "), "role"), "action.start": F.col("role"), "action.done": F.length("text").cast("string"), "observation": F.substring("text", 1, 20)}
+    kinds = {"reason": F.concat(F.lit("because "), "role"), "action.start": F.col("role"), "action.done": F.length("text").cast("string"), "observation": F.col("text")}
     events = c.select(F.col("conv_id").alias("run"), F.col("turn").alias("step"), F.explode(F.array(*(F.struct(F.lit(k).alias("type"), v.alias("data")) for k, v in kinds.items()))).alias("e")).select("run", "step", "e.*")
     return SS.fold_steps(events)
 

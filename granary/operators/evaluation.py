@@ -95,9 +95,16 @@ def nearest_rank(column: str, percent: float) -> Column:
 
 
 def upper_median(column: str) -> Column:
-    """Of n sorted values that at position n // 2, from 0."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    """Of n sorted values that at position n // 2, from 0: by counts of distinct values, not by a list of them all.
+
+    percentile_disc(0.5) is the lower one of two middle values; of the negated values it is the negated upper one.
+    """
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{column})")
+
+
+def labelled(labels: DataFrame, cases: DataFrame) -> DataFrame:
+    """labels(case_id, label) with their cases(case_id, ...); labels without a case are dropped."""
+    return labels.join(cases, "case_id")
 
 
 def arm_summary(cases: DataFrame) -> DataFrame:

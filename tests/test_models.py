@@ -225,3 +225,70 @@ def test_text_helpers(spark):
         T.document_key(F.lit(" Guide.PDF ")).alias("key"), T.clean_keyword(F.lit("'a'")).alias("short"), checks.path_pattern(F.lit("/a/{b}/c.d")).alias("path"),
     ).first()
     assert (row.none, row.three, row.dot, row.stem, row.key, row.short, row.path) == (0, 4, ".hidden", "x.tar", "guide", None, r"^/a/[^/\s]+/c\.d$")
+
+
+def test_labels_without_a_case_are_dropped(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1)], "case_id int, label int")
+    cases = spark.createDataFrame([(1, "passed"), (2, "failed"), (3, "passed")], "case_id int, status string")
+    assert sorted(map(tuple, E.labelled(labels, cases).collect())) == [(1, 1, "passed"), (2, 0, "failed")]
+
+
+def test_upper_median_by_position(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 3, 10, 11):
+        values = [rng.randint(0, 5) + rng.random() for _ in range(n)]
+        got = spark.createDataFrame([(v,) for v in values], "v double").agg(E.upper_median("v").alias("m")).first().m
+        assert got == sorted(values)[n // 2]
+
+
+def test_chunks_of_a_page_are_on_it(spark):
+    pages = [f"Page {i} " + f"word{i} " * 40 for i in range(6)]
+    df = spark.createDataFrame([(1, "\n".join(pages), pages)], "doc_id int, content string, pages array<string>")
+    for r in I.ingest_chunks(df, 120, 0).collect():
+        at = [sum(len(p) + 1 for p in pages[:i]) for i in range(6)]
+        overlap = [min(r.end, at[i] + len(pages[i])) - max(r.start, at[i]) for i in range(6)]
+        assert r.page == 1 + overlap.index(max(overlap))
+
+
+def test_offsets_of_parts(spark):
+    rows = [(1, ["ab", "", "cde"]), (2, []), (3, None), (4, ["x"])]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, p array<string>").select("i", I.starts(F.col("p"), 2).alias("s")).collect()}
+    assert got == {1: [0, 4, 6], 2: [], 3: None, 4: [0]}
+
+
+def test_long_texts_are_chunked_in_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    chunks = I.chunks_of("ab " * 400_000 + "x" * 200_000, 512, 64)
+    assert time.perf_counter() - began < 20 and chunks[-1]["end"] == 1_400_000
+
+
+def test_documents_that_hold_a_query(spark):
+    from granary.sources import adapters
+
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "x"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(80)]
+    queries = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for i in range(30)] + [(90, "pha beta gam"), (91, "ta"), (92, "beta  gamma")]
+    got = {(r.query_id, r.chunk_id) for r in adapters.holders(spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, query string")).collect()}
+    assert got == {(q, d) for q, s in queries for d, t in docs if s in t}
+
+
+def test_unknown_names_are_refused(spark):
+    with pytest.raises(ValueError):
+        T.tokens(F.lit("x"), "unheard of")
+    vectors = spark.createDataFrame([(1, 1, [1.0])], "chunk_id int, pos int, embedding array<double>")
+    with pytest.raises(ValueError):
+        R.vector_search(vectors.select(F.col("chunk_id").alias("query_id"), "embedding"), vectors, 1, "unheard of")
+
+
+def test_corpus_is_read_once_for_bm25(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    q = spark.createDataFrame([(1, "the and")], "query_id int, query string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.bm25_search(q, docs, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1 and plan.count("ReusedExchange") >= 1
