@@ -22,9 +22,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (local tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a fresh temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="granary-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = "file://" + base

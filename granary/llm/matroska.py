@@ -191,7 +191,11 @@ def parse(data) -> dict:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (binary) of docs(doc_id, text, ...)."""
+    """doc_id, n_bytes and media (binary) of docs(doc_id, text, ...).
+
+    A null text is empty; an empty one is padded like any other, a very long one is stored whole in as many clusters as it
+    needs; equal texts and repeated rows get equal media; extra columns are ignored; an empty table gives no rows.
+    """
 
     def write(batches):
         import pyarrow as pa
@@ -220,7 +224,7 @@ def packet_table(media: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests of media(doc_id, n_bytes, media) computed from the packets that the parser finds in the stored bytes."""
+    """Digests of media(doc_id, n_bytes, media) computed from the packets that the parser finds in the stored bytes; a null media has none, and its row stays."""
 
     def read(batches):
         import pyarrow as pa
@@ -229,6 +233,9 @@ def media_features(media: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i in range(b.num_rows):
                 m = b.column(2)[i].as_py()
+                if m is None:
+                    out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), *[None] * 6))
+                    continue
                 found = parse(m)
                 payload = b"".join(m[o : o + n] for _, _, o, n, _ in found["packets"])
                 marks = {at for _, _, at in found["cues"]}

@@ -22,6 +22,8 @@ FIT_ROWS = 20_000
 HIDDEN = 32
 PIECE = 1 << 17
 SEED = 7
+#: A name that no column of docs has.
+SCORE = "granary quality score \u2022"
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM) -> np.ndarray:
@@ -185,7 +187,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
 
     # at most fit_rows ids
     pairs = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted(pairs.mapInArrow(hashing.forgetting(read), "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    # an id that many rows repeat counts as one row, that of the least features, so the driver gets fit_rows rows at most
+    each = pairs.mapInArrow(hashing.forgetting(read), "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    rows = sorted(each.collect(), key=lambda r: r.doc_id)
     common.drop_written(ids)
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, 2 * DIM + 1), np.float32)
     y = np.array([r.quality for r in rows])
@@ -193,9 +197,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
-    """Adds granary_score (double, 0 to 1) to docs, which must have text; other columns stay."""
+    """Adds SCORE (double, 0 to 1) to docs, which must have text; other columns stay."""
     vectors, network = model
-    names = [*docs.columns, "granary_score"]
+    names = [*docs.columns, SCORE]
     at = docs.columns.index("text")
 
     def score(batches):
@@ -205,7 +209,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.score(features(b.column(at).to_pylist(), vectors)), pa.float64())], names=names)
 
     common.small_batches(docs.sparkSession)
-    return docs.mapInArrow(hashing.forgetting(score), StructType([*docs.schema.fields, StructField("granary_score", DoubleType())]))
+    return docs.mapInArrow(hashing.forgetting(score), StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -215,11 +219,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     rows get equal scores; extra columns of either table are ignored; an empty docs gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    score = F.col("granary_score")
+    score = F.col(SCORE)
     return scored(own, fitted(own, labels, fit_rows)).select("doc_id", held_out().alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs that the classifier, fitted on docs and labels, doesn't reject, with docs' own columns."""
+    """The rows of docs that the classifier, fitted on docs and labels, doesn't reject, with docs' own columns.
+
+    Rows are decided one by one, by their text alone: null, empty and very long texts by their features, repeated rows
+    alike. Extra columns stay, whatever their names; an empty table gives no rows.
+    """
     model = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows)
-    return scored(docs, model).where(F.col("granary_score") >= threshold).drop("granary_score")
+    return scored(docs, model).where(F.col(SCORE) >= threshold).drop(SCORE)

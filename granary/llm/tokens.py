@@ -27,6 +27,10 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pieces whose ids a worker remembers.
 CACHE = 400_000
+#: Ids after which a shard is closed and the next one begun, so that a task holds no more than a shard; a longer document has a shard of its own.
+SHARD_IDS = 8_000_000
+#: Shards of one partition that keep their order.
+SHARDS = 1 << 30
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -80,13 +84,40 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), dtype="<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class WholeTexts:
+    """Ids of whole texts, straight from the library: for tokenizers that Encoder's cutting doesn't suit."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def suits(path: str) -> bool:
+    """Whether a tokenizer file has the steps that Encoder relies on: composing, white space as one blank, lower case, pieces cut
+    at white space with the blanks dropped, bytes as letters, and a BPE model with word ends."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda part: [s["type"] for s in (part or {}).get("normalizers" if "normalizers" in (part or {}) else "pretokenizers", [])]
+    split = next((s for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if s["type"] == "Split"), {})
+    return (
+        spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and steps(spec["normalizer"]) == ["NFC", "Replace", "Lowercase"]
+        and steps(spec["pre_tokenizer"]) == ["Split", "ByteLevel"] and split.get("behavior") == "Removed" and bool(split.get("invert"))
+    )
 
 
-def encoder(path: str) -> Encoder:
+_ENCODERS: dict[str, Encoder | WholeTexts] = {}
+
+
+def encoder(path: str) -> Encoder | WholeTexts:
     """This worker's encoder, kept between its tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path) if suits(path) else WholeTexts(path)
     return _ENCODERS[path]
 
 
@@ -182,9 +213,10 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encodes docs(doc_id, text) into shards below path; returns the written manifest: file, first (order), n_docs, n_ids.
 
-    A null text is empty: its document has the end id alone. Repeated doc_ids stay repeated, next to each other.
-    Shards follow a range partitioning by doc_id; a file counts only if the manifest names it, so files of lost or
-    repeated attempts do no harm. An empty table gives an empty manifest.
+    A null text is empty: its document has the end id alone. Repeated doc_ids stay repeated, next to each other; rows of one
+    id are dealt over several ranges by their place in the table. A very long text is encoded whole. Extra columns are
+    ignored. Shards follow a range partitioning by doc_id; a file counts only if the manifest names it, so files of lost
+    or repeated attempts do no harm. An empty table gives an empty manifest.
     """
     tokenizer = tokenizer or tokenizer_path()
     spark = docs.sparkSession
@@ -193,25 +225,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def write(batches):
         import pyarrow as pa
 
-        ids, doc_ids, ends, total, end = [], [], [], 0, np.array([end_id], np.uint32)
+        fs, root = common.filesystem(path)
+        fs.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId()
+        end = np.array([end_id], np.uint32)
+        ids, doc_ids, ends, total, files = [], [], [], 0, 0
+
+        def closed():
+            nonlocal ids, doc_ids, ends, total, files
+            name = f"shard-{part:06d}-{files:06d}-{uuid.uuid4().hex}.dac"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                f.write(shard_bytes(doc_ids, np.array(ends), np.concatenate(ids)))
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part * SHARDS + files], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())], names=["file", "part", "n_docs", "n_ids"])
+            ids, doc_ids, ends, total, files = [], [], [], 0, files + 1
+            return row
+
         for b in batches:
-            doc_ids += b.column(0).to_pylist()
-            for text in b.column(1).to_pylist():
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = encoder(tokenizer).ids(text or "")
+                if doc_ids and total + len(x) >= SHARD_IDS:
+                    yield closed()
+                doc_ids.append(doc_id)
                 ids += [x, end]
                 total += len(x) + 1
                 ends.append(total)
-        if not doc_ids:
-            return
-        fs, root = common.filesystem(path)
-        fs.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        name = f"shard-{part:06d}-{uuid.uuid4().hex}.dac"
-        with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
-            f.write(shard_bytes(doc_ids, np.array(ends), np.concatenate(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())], names=["file", "part", "n_docs", "n_ids"])
+        if doc_ids:
+            yield closed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     return common.written(ordered.mapInArrow(write, "file string, part long, n_docs long, n_ids long"), "token-manifest")
 
 

@@ -60,3 +60,9 @@ def test_features(spark):
     packets = M.packet_table(media).where("doc_id = 5").orderBy("packet").collect()
     assert sum(p["size"] for p in packets) == len(M.pad(odd.LONG.encode())) and [p.timestamp_ms for p in packets] == [72 * i for i in range(len(packets))]
     assert M.media_features(M.media_column(odd.none(spark))).count() == 0
+
+
+def test_missing_media(spark):
+    media = spark.createDataFrame([(1, 3, bytearray(M.encode(M.pad(b"abc")))), (2, 0, None)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in M.media_features(media).collect()}
+    assert rows[1].payload_bytes == 576 and rows[2].payload_sha256 is None and rows[2].n_bytes == 0 and M.packet_table(media).where("doc_id = 2").count() == 0

@@ -58,3 +58,12 @@ def test_odd_rows(spark):
         kept = Q.accepted(odd.docs(spark), some)
         assert kept.columns == odd.docs(spark).columns and kept.count() <= len(rows)
         assert Q.quality_scores(odd.none(spark), some).count() == 0
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "other words here"), (7, "more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1)], "doc_id long, quality int")
+    _, network = Q.fitted(docs, labels)
+    assert len(network.mean) == 2 * Q.DIM + 1
+    clash = docs.withColumn("granary_score", Q.F.lit("kept")).withColumn("score", Q.F.lit(1))
+    assert Q.accepted(clash, labels, 0.0).columns == clash.columns and Q.accepted(clash, labels, 0.0).count() == 52

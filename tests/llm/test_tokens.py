@@ -53,3 +53,29 @@ def test_files_hold_every_document(spark):
         assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
         at += r.n_tokens
     assert K.token_table(odd.none(spark)).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = K.tokenizer_path("byte_bpe_50k.json")
+    assert K.suits(K.tokenizer_path()) and not K.suits(path)
+    rows = [(1, "It's  a\n\n TEST, Ünï  x "), (2, None), (3, "<|endoftext|> x")]
+    out = {r.doc_id: r for r in K.token_table(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    library = K.WholeTexts(path).tokenizer
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (out[i].n_tokens, out[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_shards_are_rolled(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_IDS", 50)
+    rows = [(None if i % 3 == 0 else i, f"word {i} " * (i % 40)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from granary.llm import common
+
+    path = common.new_path(spark, "tokens")
+    manifest = K.write_tokens(docs, path)
+    assert manifest.count() > 20 and manifest.agg({"n_ids": "min"}).first()[0] > 0
+    out = K.read_tokens(manifest, path).orderBy("start").collect()
+    assert [r.doc_id for r in out] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0)) and sum(r.n_tokens for r in out) == out[-1].start + out[-1].n_tokens
+    want = sorted(zlib.crc32(np.array([*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in out) == want
