@@ -170,6 +170,6 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         side = common.small_side(repeated, n_again)
         alike = known.join(side, match(known, side), "left_semi")
         once = known.join(side, match(known, side), "left_anti").union(alike.dropDuplicates(["doc_id", same]))
-    side = common.small_side(places, places.count())
-    out = once.join(side, match(once, side))
+    # places grow with the documents, so they are never broadcast, and the plan is the same at every size
+    out = once.join(places.hint("merge"), match(once, places))
     return out.repartitionByRange("granary_finish", "doc_id").sortWithinPartitions("granary_finish", "doc_id").select(*docs.columns)
