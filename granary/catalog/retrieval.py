@@ -9,7 +9,7 @@ from granary.functions import text as T, vectors as V
 from granary.operators import retrieval as R
 from granary.plans import config as C, context as P, pipeline
 from granary.registry import query
-from granary.session import table
+from granary.session import bounded_broadcast, table
 from granary.sources import adapters as A
 
 RANKED = "query_id, chunk_id, pos, score, rank"
@@ -25,7 +25,7 @@ _PAIRS = f"FROM {S.QUESTION_VECTORS} q, (SELECT vec_id AS chunk_id, embedding::D
 
 def _pairs(spark, sf_dir):
     q = A.question_vectors(spark, sf_dir).withColumnRenamed("embedding", "qv")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").crossJoin(F.broadcast(q))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").crossJoin(bounded_broadcast(q))
 
 
 @query("vec_cosine", f"SELECT query_id, chunk_id, round(list_cosine_similarity(qv, v), 6) AS score {_PAIRS}")
@@ -130,7 +130,7 @@ def matched_keywords(spark, sf_dir):
     """Keywords of a chunk that meet a question, in their order; found by way of the keywords' own tokens."""
     kw = A.chunks(spark, sf_dir, keywords=True).select("chunk_id", F.posexplode("keywords").alias("i", "kw"))
     asked = A.questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(T.query_terms(F.col("query")))).alias("tok"))
-    met = kw.withColumn("tok", F.explode(T.tokens(F.col("kw")))).join(F.broadcast(asked), "tok").select("query_id", "chunk_id", "i", "kw").distinct()
+    met = kw.withColumn("tok", F.explode(T.tokens(F.col("kw")))).join(bounded_broadcast(asked), "tok").select("query_id", "chunk_id", "i", "kw").distinct()
     listed = met.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("i", "kw"))).alias("m"))
     return listed.select("query_id", "chunk_id", F.array_join(F.transform("m", lambda s: s["kw"]), " ").alias("matched"))
 
