@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
-def admit(times: Column, limit: int, seconds: float) -> Column:
-    """For an ordered array of seconds, which requests a sliding-window limiter admits; denied ones don't count later.
+def rate_limit(requests: DataFrame, limit: int, seconds: float = 60) -> DataFrame:
+    """request_id, client, admitted of requests(request_id, client, ts) under a sliding window; denied ones don't count later.
 
-    A request is denied if `limit` admitted ones lie within the last `seconds`. A fold over the array.
+    A request is denied if `limit` admitted ones lie within the last `seconds`; one without a time is denied only if the
+    limit is 0. A client's requests are read in the order of time and request_id; a task holds the times of at most
+    `limit` of them, however many there are. A null client is a client of its own.
     """
-    zero = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(a: Column, t: Column) -> Column:
-        live = F.filter(a["kept"], lambda k: k > t - seconds)
-        free = F.size(live) < limit
-        return F.struct(F.when(free, F.array_append(live, t)).otherwise(live).alias("kept"), F.array_append(a["ok"], free).alias("ok"))
-
-    return F.aggregate(times, zero, step, lambda a: a["ok"])
-
-
-def rate_limit(requests: DataFrame, limit: int, seconds: float = 60) -> DataFrame:
-    """request_id, client, admitted of requests(request_id, client, ts)."""
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    listed = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col("request_id")))).alias("r"))
-    ok = admit(F.transform("r", lambda r: r["t"]), limit, seconds)
-    rows = listed.select("client", F.explode(F.arrays_zip(F.col("r"), ok.alias("ok"))).alias("x"))
-    return rows.select(F.col("x.r.request_id").alias("request_id"), "client", F.col("x.ok").alias("admitted"))
+    timed = requests.select("request_id", "client", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    out = StructType([*timed.schema.fields[:2], StructField("admitted", BooleanType())])
+
+    def decide(batches):
+        import pyarrow as pa
+
+        client, kept = None, deque()
+        for b in batches:
+            ok = []
+            for c, t in zip(b.column("client").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if c != client:
+                    client = c
+                    kept.clear()
+                while t is not None and kept and kept[0] <= t - seconds:
+                    kept.popleft()
+                ok.append(limit > 0 if t is None else len(kept) < limit)
+                if ok[-1] and t is not None:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([b.column("request_id"), b.column("client"), pa.array(ok, pa.bool_())], names=out.names)
+
+    return timed.repartition("client").sortWithinPartitions("client", "t", "request_id").mapInArrow(decide, out)
 
 
 def _admit_group(limit: int, seconds: float):

@@ -132,6 +132,10 @@ def test_rate_limit_equals_the_model_and_the_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     SS.run_available(SS.rate_limit_stream(stream, 2, 60), str(tmp_path / "out"), str(tmp_path / "mark"))
     assert {r.request_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == got
+    odd = [(1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 00:00:01"), (3, None, "2024-01-01 00:01:00"), (4, "a", None), (5, "a", None), (6, "a", "2024-01-01 00:00:00")]
+    rows = spark.createDataFrame(odd, "request_id long, client string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(map(tuple, SS.rate_limit(rows, 1, 60).collect())) == [(1, None, True), (2, None, False), (3, None, True), (4, "a", True), (5, "a", True), (6, "a", True)]
+    assert SS.rate_limit(rows.limit(0), 1).count() == 0 and not any(r.admitted for r in SS.rate_limit(rows, 0).collect())
 
 
 def ranked(spark, rows):
