@@ -10,7 +10,9 @@ and drops pairs whose sizes or counts exclude t.
 A column longer than SHORT gives each class a neighbour in an order of the column's own; its rows are kept. What those pairs leave
 unconnected is multiplied in full in a second round, but only between different components, so a group of thousands
 of copies costs its size and not its square, and no link between different texts is lost. Every pair is verified
-against the whole sets. N-grams are compared as 64-bit hashes, in which two differ with odds of 2^-64 not.
+against the whole sets. N-grams are compared as 64-bit hashes, in which two differ with odds of 2^-64 not. Sets are
+equal if 128 bits of theirs are: a class has 64 of them as its number, and classes whose other 64 bits differ are told apart
+by both.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ REMEMBERED = 150_000
 BLOCK_ROWS = 400_000
 #: Members of a candidate group that one task verifies together; larger groups are cut into pairs of chunks.
 CHUNK = 256
+#: N-grams of such members together, about.
+CHUNK_GRAMS = 4_000_000
 #: Rows of a long column that are multiplied at once in the second round, from either side; a few arrays of the square of it are held.
 LONG_CHUNK = 1024
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -78,11 +82,22 @@ def gram_set(text: bytes | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def class_id(grams: np.ndarray) -> int | None:
-    """Signed 64-bit identity of a set; None for the empty set, which links with nothing."""
+def class_id(grams: np.ndarray, split: frozenset[int] = frozenset(), bits: int = 64) -> tuple[int, int] | tuple[None, None]:
+    """Signed 64-bit number of a set, and 64 more bits of its hash; None for the empty set, which links with nothing.
+
+    Numbers in split are those of different sets, which get a number from all of the bits. Fewer bits of the number
+    than 64 are for tests.
+    """
     import xxhash
 
-    return int.from_bytes(xxhash.xxh3_64_digest(grams.tobytes()), "big", signed=True) if len(grams) else None
+    if not len(grams):
+        return None, None
+    whole = xxhash.xxh3_128_digest(grams.tobytes())
+    number, rest = (int.from_bytes(x, "big", signed=True) for x in (whole[8:], whole[:8]))
+    number >>= 64 - bits
+    if number in split:
+        number = int.from_bytes(xxhash.xxh3_64_digest(whole), "big", signed=True)
+    return number, rest
 
 
 def _sets(batches):
@@ -94,23 +109,24 @@ def _sets(batches):
         _WORDS.clear()
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """Written table of a single pass: rows of kind 0 are documents (doc_id, is: hash of the text, cls, n), of kind 1 common n-grams (cls: its hash, n: classes of a piece that hold it)."""
+def profile(docs: DataFrame, split: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
+    """Written table of a single pass: rows of kind 0 are documents (doc_id, is: hash of the text, cls, rest: of the class' hash, n), of kind 1 common n-grams (cls: its hash, n: classes of a piece that hold it)."""
 
     def scan(batches):
         import pyarrow as pa
 
-        seen, held, size = set(), [], 0
+        seen, held, size, names = set(), [], 0, ["kind", "doc_id", "is", "cls", "rest", "n"]
 
         def common_rows():
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             at = counts >= COMMON
             n = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(grams[at].view(np.int64)), pa.array(counts[at], pa.int64())], names=["kind", "doc_id", "is", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(grams[at].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(counts[at], pa.int64())], names=names)
 
         for b, sets in _sets(batches):
-            classes = [class_id(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), b.column(0), b.column(2), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["kind", "doc_id", "is", "cls", "n"])
+            numbers = [class_id(s, split, bits) for s in sets]
+            classes, rest = [c for c, _ in numbers], [r for _, r in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), b.column(0), b.column(2), pa.array(classes, pa.int64()), pa.array(rest, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=names)
             for c, s in zip(classes, sets, strict=True):
                 if c is not None and c not in seen:
                     seen.add(c)
@@ -121,7 +137,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 seen, held, size = set(), [], 0
         yield common_rows()
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("is")).mapInArrow(scan, "kind int, doc_id long, is long, cls long, n long")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("is")).mapInArrow(scan, "kind int, doc_id long, is long, cls long, rest long, n long")
     return common.written(rows, "grams-profile")
 
 
@@ -131,7 +147,7 @@ def _shares(t: float, n: int) -> tuple[int, int]:
     return n - math.ceil(2 * t / (1 + t) * n - eps) + 1, n - math.ceil(t * n - eps) + 1
 
 
-def incidence(docs: DataFrame, known: np.ndarray, counts: np.ndarray, blocks: int, t: float) -> DataFrame:
+def incidence(docs: DataFrame, known: np.ndarray, counts: np.ndarray, blocks: int, t: float, split: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """Rows of packed incidence: block, keys (hashes), flags (1: of the smaller set's share, 2: of a dealt n-gram), local class numbers, classes, sizes.
 
     known is sorted. An n-gram of over BLOCK_ROWS classes is dealt over several blocks by class.
@@ -168,7 +184,7 @@ def incidence(docs: DataFrame, known: np.ndarray, counts: np.ndarray, blocks: in
         size = 0
         for _, sets in _sets(batches):
             for s in sets:
-                c = class_id(s)
+                c, _ = class_id(s, split, bits)
                 if c is None or c in seen:
                     continue
                 seen.add(c)
@@ -277,14 +293,16 @@ def bounded_pairs(made: DataFrame, long: DataFrame, t: float) -> DataFrame:
     return marked.where(most >= _shortfall(F.col("na"), F.col("nb"), t)).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, split: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
     """Written links (a, b) among pairs(a, b) whose whole sets reach the similarity; of links that close a circle within one task's group some are left out.
 
     Pairs are gathered by their candidate component, so a set is sent once for each group it is in. A component of
-    over CHUNK members is cut into chunks, and each pair of chunks that has pairs is a group of its own.
+    over CHUNK members or CHUNK_GRAMS n-grams is cut into chunks, and each pair of chunks that has pairs is a group of its own.
     """
     comps = graphs.connected_components(pairs)
-    large = common.written(comps.groupBy("comp").count().where(F.col("count") > CHUNK).select(F.col("comp"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "jaccard-large")
+    sized = comps.join(classes.select(F.col("cls").alias("node"), "n"), "node")
+    chunks = F.ceil(F.greatest(F.col("members") / CHUNK, F.col("grams") / CHUNK_GRAMS))
+    large = common.written(sized.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).select("comp", chunks.alias("chunks")).where("chunks > 1"), "jaccard-large")
     members = comps.join(common.small_side(large, large.count()), "comp", "left").select("node", "comp", F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).alias("chunk"))
     members = common.written(members, "jaccard-members")
     side = lambda c: members.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("chunk").alias(f"chunk_{c}"))
@@ -298,7 +316,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
 
         for _, sets in _sets(batches):
             # a doc_id may have several texts; the set's own identity tells whose it is
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_id(s, split, bits)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     wanted = texts.join(common.small_side(needed.select("doc_id").distinct(), needed.count()), "doc_id", "left_semi")
@@ -414,7 +432,7 @@ def common_grams(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c for c, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
 
 
-def components(docs: DataFrame, percent: int = 75) -> DataFrame:
+def components(docs: DataFrame, percent: int = 75, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text, ...).
 
     Rows link when 100 * shared >= percent * union of their sets; component_id is the smallest doc_id reachable. Null
@@ -423,29 +441,44 @@ def components(docs: DataFrame, percent: int = 75) -> DataFrame:
     other row of its component has one. A very long text is compared by its
     whole set. Extra columns are ignored; an empty table gives no rows.
     """
-    seen, final = _final(docs, percent)
+    seen, final = _final(docs, percent, bits)
     return place(seen.where("kind = 0"), final).select("doc_id", "n_shingles", "component_id")
 
 
-def _final(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def told_apart(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(profile, written table cls, rep, n, copies of all classes, numbers that different sets had).
+
+    Of n sets about n^2 / 2^65 numbers are those of two, 270 of 1e11; then the pass is done again with these known.
+    """
+    split: frozenset[int] = frozenset()
+    while True:
+        seen = profile(docs, split, bits)
+        sets = seen.where("kind = 0 AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), (F.min("rest") != F.max("rest")).alias("several"))
+        classes = common.written(sets, "jaccard-classes")
+        shared = frozenset(r.cls for r in classes.where("several").select("cls").collect())
+        if not shared:
+            return seen, classes, split
+        split |= shared
+        common.drop_written(seen, classes)
+
+
+def _final(docs: DataFrame, percent: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(profile, written table cls, component_id, keeper, copies): of every class its component's name and the component's class that holds it."""
     spark, t = docs.sparkSession, percent / 100
     common.small_batches(spark)
-    seen = profile(docs)
-    rows = seen.where("kind = 0")
+    seen, classes, split = told_apart(docs, bits)
     grams, counts = common_grams(seen)
-    classes = common.written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - t) / BLOCK_ROWS))
-    packed = incidence(docs, grams, counts, blocks, t)
+    packed = incidence(docs, grams, counts, blocks, t, split, bits)
     made = common.written(packed.groupBy("block").applyInPandas(lambda pdf: _product(pdf, t), PRODUCT), "jaccard-product")
     long = long_rows(made)
     pairs = common.written(bounded_pairs(made, long, t), "jaccard-candidates")
-    links = verified(pairs, classes, docs, percent)
+    links = verified(pairs, classes, docs, percent, split, bits)
     comps = graphs.connected_components(links)
     more = common.written(second_pairs(made, long, comps, t), "jaccard-second")
     if not more.isEmpty():
-        added = verified(more, classes, docs, percent)
+        added = verified(more, classes, docs, percent, split, bits)
         after = graphs.connected_components(links.union(added))
         common.drop_written(comps, added)
         comps = after
@@ -453,7 +486,7 @@ def _final(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     named = comps.join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     # of each component the least id, and the first of the classes that hold it
     least = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("m")).select("comp", F.col("m.rep").alias("component_id"), F.col("m.node").alias("keeper"))
-    linked = comps.join(least, "comp").select(F.col("node").alias("cls"), "component_id", "keeper")
+    linked = graphs.by_label(comps, comps.count(), least).select(F.col("node").alias("cls"), "component_id", "keeper")
     final = common.written(reps.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("keeper", "cls").alias("keeper"), "copies"), "jaccard-final")
     common.drop_written(made, long, pairs, links, comps, more, classes)
     return seen, final

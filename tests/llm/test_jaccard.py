@@ -72,10 +72,21 @@ def test_words_are_cut_at_six_characters():
     assert J.gram_set("ÄB c".encode()).tolist() != J.gram_set("äb c".encode()).tolist() and J.gram_set(b"AB C").tolist() == J.gram_set(b"ab c").tolist()
 
 
+def test_different_sets_of_one_number_are_told_apart(spark):
+    docs = corpus(4, groups=3, size=20)
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for bits in (3, 8):
+        seen, classes, split = J.told_apart(rows, bits)
+        assert split and classes.count() == len({frozenset(g) for _, t in docs if (g := grams(t))})
+        assert sorted(map(tuple, J.components(rows, bits=bits).collect())) == sorted(model(docs))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 60)] + [(5, 5), (61, 62), (61, 62)]
     random.Random(1).shuffle(chain)
-    got = {r.node: r.comp for r in graphs.connected_components(spark.createDataFrame(chain, "a long, b long").repartition(6)).collect()}
+    links = spark.createDataFrame(chain, "a long, b long").repartition(6)
+    got = {r.node: r.comp for r in graphs.connected_components(links).collect()}
+    assert got == {r.node: r.comp for r in graphs.connected_components(links, hot_rows=10).collect()}
     assert got == {**dict.fromkeys(range(100, 161), 100), **dict.fromkeys(range(7, 60), 7), 61: 61, 62: 61}
 
 
