@@ -37,6 +37,8 @@ PROFILED = 2_000_000
 REMEMBERED = 150_000
 #: Rows of the incidence in a block, about.
 BLOCK_ROWS = 400_000
+#: Pairs of a block that are counted at once, about, as often as they meet.
+PIECE_PAIRS = 2_000_000
 #: Members of a candidate group that one task verifies together; larger groups are cut into pairs of chunks.
 CHUNK = 256
 #: N-grams of such members together, about.
@@ -227,39 +229,54 @@ def _product(pdf, t: float):
     lengths = np.diff(np.append(starts, len(keys)))
     dealt = np.add.reduceat((flags >> 1).astype(np.int64), starts) > 0 if len(starts) else np.zeros(0, bool)
     long = (lengths > SHORT) | dealt
-    # all pairs of the short columns, a step of the distance within a column at a time
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    # classes by their rank, so that a pair is one number; n is the same in all rows of a class
+    classes, rank = np.unique(cls, return_inverse=True)
+    m, size = len(classes), np.zeros(len(classes), np.int64)
+    size[rank] = n
     short_row = np.repeat(~long, lengths)
     column = np.repeat(np.arange(len(starts)), lengths)
     alike = lambda x, y: np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y]) - 1e-9
-    for step in range(1, min(SHORT, len(keys))):
-        x = np.flatnonzero(short_row[:-step] & (column[:-step] == column[step:]))
-        if not len(x):
-            break
-        x = x[alike(x, x + step)]
-        found.append((x, x + step))
-    plain = sum(len(x) for x, _ in found)
-    # of a long column: neighbours in an order that is its own, so that a class meets another in every column
+
+    def short_pairs(lo: int, hi: int) -> np.ndarray:
+        """Pairs of the short columns that rows lo to hi hold, as often as they meet, a step of the distance within a column at a time."""
+        out = [np.zeros(0, np.int64)]
+        for step in range(1, min(SHORT, hi - lo)):
+            x = lo + np.flatnonzero(short_row[lo : hi - step] & (column[lo : hi - step] == column[lo + step : hi]))
+            if not len(x):
+                break
+            x = x[alike(x, x + step)]
+            out.append(rank[x] * m + rank[x + step])  # a column's classes are in order
+        return np.concatenate(out)
+
+    # whole columns with about PIECE_PAIRS pairs at a time, so that memory doesn't follow the pairs as often as they meet
+    pieces = np.cumsum(np.where(long, 0, lengths * (lengths - 1) // 2)) // PIECE_PAIRS
+    cuts = starts[np.flatnonzero(np.diff(pieces, prepend=-1))] if len(starts) else starts
+    found, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        pairs, times = np.unique(short_pairs(lo, hi), return_counts=True)
+        found.append(pairs)
+        met.append(times)
+    # of a long column: neighbours in an order that is its own, so that a class meets another in every column; they come along uncounted
     rows = np.flatnonzero(np.repeat(long, lengths))
     if len(rows):
         mixed = rows[np.lexsort((_mixed(cls[rows].view(np.uint64) ^ keys[rows]), column[rows]))]
         x, y = mixed[:-1], mixed[1:]
         ok = (column[x] == column[y]) & alike(x, y)
-        found.append((x[ok], y[ok]))
-    x, y = (np.concatenate(z) if found else np.zeros(0, int) for z in (zip(*found, strict=True) if found else ((), ())))
-    swap = cls[x] > cls[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    counted = np.arange(len(x)) < plain  # pairs of long columns come along uncounted
-    order = np.lexsort((cls[y], cls[x]))
-    x, y, counted = x[order], y[order], counted[order]
-    begin = np.flatnonzero(np.append(True, (cls[x[1:]] != cls[x[:-1]]) | (cls[y[1:]] != cls[y[:-1]]))) if len(x) else np.zeros(0, int)
-    shared = np.add.reduceat(counted.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    x, y, none = x[begin], y[begin], np.zeros(len(rows), np.int64)
+        x, y = rank[x[ok]], rank[y[ok]]
+        found.append(np.minimum(x, y) * m + np.maximum(x, y))
+        met.append(np.zeros(len(x), np.int64))
+    pairs, times = np.concatenate(found), np.concatenate(met)
+    order = np.argsort(pairs, kind="stable")
+    pairs, times = pairs[order], times[order]
+    begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, int)
+    shared = np.add.reduceat(times, begin) if len(begin) else times
+    x, y = np.divmod(pairs[begin], m) if len(begin) else (begin, begin)
+    none = np.zeros(len(rows), np.int64)
     return pd.DataFrame({
         "kind": np.concatenate([np.zeros(len(x), np.int32), np.ones(len(rows), np.int32)]),
-        "a": np.concatenate([cls[x], cls[rows]]), "b": np.concatenate([cls[y], keys[rows].view(np.int64)]),
+        "a": np.concatenate([classes[x], cls[rows]]), "b": np.concatenate([classes[y], keys[rows].view(np.int64)]),
         "n": np.concatenate([shared, n[rows].astype(np.int64)]), "flag": np.concatenate([np.zeros(len(x), np.int32), (flags[rows] & 3).astype(np.int32)]),
-        "na": np.concatenate([n[x].astype(np.int64), none]), "nb": np.concatenate([n[y].astype(np.int64), none]),
+        "na": np.concatenate([size[x], none]), "nb": np.concatenate([size[y], none]),
     })
 
 

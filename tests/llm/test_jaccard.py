@@ -131,3 +131,31 @@ def test_one_of_each_goes_by_row(spark):
     assert len(alone) == 2 and (None, other) in alone
     same = kept([(3, text), (3, near), (9, far), (9, far)])
     assert len(same) == 3 and same.count((9, far)) == 2
+
+
+def test_product_of_a_block(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(J, "PIECE_PAIRS", 50)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        classes, sizes = rng.integers(-(2**62), 2**62, rng.integers(1, 60)), rng.integers(1, 12, 60)
+        rows = int(rng.integers(1, 900))
+        keys, which = rng.choice(rng.integers(0, 2**63, max(1, rows // 6), dtype=np.uint64), rows), rng.integers(0, len(classes), rows)
+        packed = []
+        for lo, hi in ((0, rows // 2), (rows // 2, rows)):
+            used, local = np.unique(which[lo:hi], return_inverse=True)
+            packed.append((keys[lo:hi].tobytes(), bytes(hi - lo), local.astype("<u2").tobytes(), classes[used].tobytes(), sizes[used].astype("<i4").tobytes()))
+        made = J._product(pd.DataFrame(packed, columns=["keys", "flags", "local", "classes", "sizes"]), 0.75)
+        columns, want, size = {}, {}, dict(zip(classes.tolist(), sizes.tolist()))
+        for k, c in set(zip(keys.tolist(), classes[which].tolist())):
+            columns.setdefault(k, []).append(c)
+        for cs in columns.values():
+            for a in cs if len(cs) <= J.SHORT else ():
+                for b in cs:
+                    if a < b and min(size[a], size[b]) >= 0.75 * max(size[a], size[b]):
+                        want[a, b] = want.get((a, b), 0) + 1
+        pairs = made[made.kind == 0]
+        assert {(a, b): n for a, b, n in zip(pairs.a, pairs.b, pairs.n) if n} == want and not pairs.duplicated(["a", "b"]).any()
+        assert all((size[a], size[b]) == (x, y) for a, b, x, y in zip(pairs.a, pairs.b, pairs.na, pairs.nb))
