@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from . import common
+
 #: Runs of word characters, and runs of marks.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Distinct tokens that a task remembers.
@@ -46,6 +48,7 @@ def forget() -> None:
     """Empties this worker's memories of tokens."""
     for known in _KNOWN.values():
         known.clear()
+    common.release()
 
 
 def forgetting(f):

@@ -109,6 +109,7 @@ def _sets(batches):
             yield b, [gram_set(x) for x in b.column(1).to_pylist()]
     finally:
         _WORDS.clear()
+        common.release()
 
 
 def profile(docs: DataFrame, split: frozenset[int] = frozenset(), bits: int = 64) -> DataFrame:
