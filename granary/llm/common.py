@@ -89,6 +89,29 @@ def words(text: str) -> list[str]:
     return out
 
 
+_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
+_NO_TERM = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
+
+
+def term_pieces(text: bytes | None, size: int = 1 << 20):
+    """The terms of one UTF-8 text, in lists: runs of digits, letters a-z and characters beyond ASCII, A-Z lower-cased. A
+    text of over `size` bytes comes in pieces that are cut between terms, so a very long one needs no more memory; null has no terms."""
+    text, at = text or b"", 0
+    while len(text) - at > size:
+        cut = _NO_TERM.search(text, at + size)
+        end = cut.end() if cut else len(text)
+        yield _TERM.findall(text[at:end].lower())
+        at = end
+    yield _TERM.findall(text[at:].lower() if at else text.lower())
+
+
+def byte_texts(column) -> list:
+    """The UTF-8 bytes of an Arrow string column, row by row."""
+    import pyarrow as pa
+
+    return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+
+
 def word_count(col):
     """Number of words of a text column as long; null counts 0. RE2 and Java read the class alike."""
     return F.when(col.isNull() | col.rlike(r"^[\x20\x09-\x0D]*$"), F.lit(0)).otherwise(

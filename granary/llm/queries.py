@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, jaccard, matroska, mixing, pii, quality, scoring, tokens, warc, wrappers
+from . import common, decontaminate, jaccard, matroska, mixing, pii, quality, scoring, tokens, toxicity, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_scoring": op1_scoring,
     "op2_mixing": op2_mixing,
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_toxicity": op11_toxicity,
 }
 
 #: base32 of a hex SHA-1: each five hex digits are four letters.
