@@ -90,6 +90,7 @@ def words(text: str) -> list[str]:
 
 
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
+_ANY_TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _NO_TERM = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 
 

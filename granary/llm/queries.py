@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, jaccard, matroska, mixing, pii, quality, scoring, tokens, toxicity, warc, wrappers
+from . import common, decontaminate, jaccard, matroska, mixing, pii, quality, resample, scoring, tokens, toxicity, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_scoring": op1_scoring,
     "op2_mixing": op2_mixing,
@@ -69,12 +73,17 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
     "op11_toxicity": op11_toxicity,
+    "op12_resampling": op12_resampling,
 }
 
 #: base32 of a hex SHA-1: each five hex digits are four letters.
 _BASE32 = """list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([32768, 1024, 32, 1], lambda d:
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT) // d) % 32, 1)), 'string_agg', '')), 'string_agg', '')"""
 
+#: crc32 of a text's UTF-8 bytes, byte by byte through the table of its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(hex(f)) // 2), lambda i: CAST('0x' || substr(hex(f), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)])))"
+
 ORACLES: dict[str, str] = {
     "op2_mixing": """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -113,4 +122,18 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM f""",
+    "op12_resampling": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+e AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+a AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+c AS (SELECT f, {_CRC} % 10000 AS bucket FROM (SELECT f FROM e UNION SELECT f FROM a), (SELECT {_CRC_TABLE} AS t)),
+s AS (SELECT bucket, count(*) AS n FROM e JOIN c USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM a JOIN c USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE) / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM a) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM e JOIN c USING (f) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT d.r, doc_id, len(w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+y AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place FROM x)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN eligible AND place <= 25 * (SELECT count(*) FROM x WHERE eligible) // 100 THEN CAST(place AS BIGINT) END AS rank FROM y""",
 }
