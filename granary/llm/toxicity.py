@@ -116,25 +116,12 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Written table part, doc_id, toxic, x (int32 buckets) of at most fit_rows labelled documents that aren't held out. An id counts once: with its greatest label, and the least of its rows' features."""
+    """Written table part, doc_id, toxic, text of at most fit_rows labelled documents that aren't held out. An id counts once: with its greatest label, and the least of its rows' texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     chosen = common.written(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "toxic-fit")
-
-    def read(batches):
-        import pyarrow as pa
-
-        try:
-            for b in batches:
-                x = [features(t).astype("<i4").tobytes() for t in common.byte_texts(b.column(2))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["doc_id", "toxic", "x"])
-        finally:
-            _KNOWN.clear()
-            common.release()
-
-    common.small_batches(docs.sparkSession)
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most fit_rows ids
-    each = pairs.mapInArrow(read, "doc_id long, toxic int, x binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("x").alias("x"))
-    out = common.written(each.select(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), "doc_id", "toxic", "x"), "toxic-rows")
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
+    each = pairs.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    out = common.written(each.select(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"), "doc_id", "toxic", "text"), "toxic-rows")
     common.drop_written(chosen)
     return out
 
@@ -144,12 +131,22 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds:
     rows = sample(docs, labels, fit_rows)
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
-    dealt = rows.repartition(PARTS, "part").persist(StorageLevel.MEMORY_AND_DISK)  # a part is in one partition; what is lost is read again from the table
 
-    def one_round(z: np.ndarray, n: np.ndarray) -> DataFrame:
-        at = np.flatnonzero(n)
-        state = at, z[at], n[at]
+    def read(batches):
+        import pyarrow as pa
+
+        try:
+            for b in batches:
+                x = [features(t).astype("<i4").tobytes() for t in common.byte_texts(b.column(3))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(x, pa.binary())], names=["part", "doc_id", "toxic", "x"])
+        finally:
+            _KNOWN.clear()
 
+    common.small_batches(docs.sparkSession)
+    # a part is in one partition; what is lost is made again from the table
+    dealt = rows.repartition(PARTS, "part").select("part", "doc_id", "toxic", "text").mapInArrow(read, "part long, doc_id long, toxic int, x binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one_round(state) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
@@ -163,20 +160,25 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds:
                 for r in own:
                     count[r[2]] += 1
                 before_z, before_n = np.zeros(size), np.zeros(size)
-                before_z[state[0]], before_n[state[0]] = state[1:]
+                at, *known = state.value
+                before_z[at], before_n[at] = known
                 z, n = before_z.copy(), before_n.copy()
                 train([(r[2][count[r[2]] >= LEAST_ROWS], r[3]) for r in own], z, n)
                 new = np.flatnonzero(n != before_n)
-                cells = [new.astype("<i4"), (z - before_z)[new], (n - before_n)[new]]
+                cells = [new.astype("<i4"), (z - before_z)[new].astype("<f4"), (n - before_n)[new].astype("<f4")]
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["part", "at", "z", "n"])
+            common.release()
 
-        return dealt.select("part", "doc_id", "toxic", "x").mapInArrow(run, "part long, at binary, z binary, n binary")
+        return dealt.mapInArrow(run, "part long, at binary, z binary, n binary")
 
     for _ in range(rounds):
-        for r in sorted(one_round(z, n).collect(), key=lambda r: r.part):  # PARTS rows of at most 2^BITS cells
+        at = np.flatnonzero(n).astype("<i4")
+        state = docs.sparkSession.sparkContext.broadcast((at, z[at].astype("<f4"), n[at].astype("<f4")))  # 12 bytes for each of 2^BITS cells at most
+        for r in sorted(one_round(state).collect(), key=lambda r: r.part):  # PARTS rows of at most as much
             at = np.frombuffer(r.at, "<i4")
-            z[at] += np.frombuffer(r.z) / PARTS
-            n[at] += np.frombuffer(r.n) / PARTS
+            z[at] += np.frombuffer(r.z, "<f4") / PARTS
+            n[at] += np.frombuffer(r.n, "<f4") / PARTS
+        state.destroy()
     dealt.unpersist()
     common.drop_written(rows)
     return Model(z, n)
