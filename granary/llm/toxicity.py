@@ -4,7 +4,7 @@ A text's features are the buckets of its words, its pairs of neighbouring words,
 them, and the beginnings of its longer words, each counted once. Every coordinate has its own learning rate, from the sum
 of its squared gradients, and the L1 penalty keeps most weights at exactly zero, so the fitted model is a short list of
 weights that every task gets. It is fitted on a bounded sample of labelled rows (`fit_rows`), dealt by doc_id over PARTS
-parts: each of ROUNDS rounds trains every part from the common state in a task of its own and averages what they change.
+parts: each of ROUNDS rounds trains every part in a task of its own, from the mean of the states that all parts had after the round before.
 """
 
 from __future__ import annotations
@@ -91,11 +91,10 @@ def train(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> N
 class Model:
     """Nonzero weights by bucket, and the intercept."""
 
-    def __init__(self, z: np.ndarray, n: np.ndarray) -> None:
-        w = weights(z[:-1], n[:-1])
-        self.at = np.flatnonzero(w)
-        self.weight = w[self.at]
-        self.intercept = float(weights(z[-1:], n[-1:], 0.0, 0.0)[0])
+    def __init__(self, learnt: dict[int, float]) -> None:
+        self.intercept = learnt.pop(1 << BITS, 0.0)
+        self.at = np.array(sorted(learnt), np.int64)
+        self.weight = np.array([learnt[i] for i in self.at.tolist()])
 
     def scorer(self):
         """A function from a text's bytes to its score, with the weights laid out by bucket for this task."""
@@ -129,8 +128,6 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
     """The model fitted on docs' labelled rows that aren't held out. Without any it has no weights, and scores are one half."""
     rows = sample(docs, labels, fit_rows)
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
 
     def read(batches):
         import pyarrow as pa
@@ -146,42 +143,75 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds:
     # a part is in one partition; what is lost is made again from the table
     dealt = rows.repartition(PARTS, "part").select("part", "doc_id", "toxic", "text").mapInArrow(read, "part long, doc_id long, toxic int, x binary").persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one_round(state) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
-
-            parts: dict[int, list] = {}
-            for b in batches:
-                for part, i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    parts.setdefault(part, []).append((zlib.crc32(str(i).encode()), i, np.frombuffer(x, "<i4"), y))
-            for part in sorted(parts):
-                own = sorted(parts.pop(part), key=lambda r: r[:2])
-                count = np.zeros(size, np.int32)
-                for r in own:
-                    count[r[2]] += 1
-                before_z, before_n = np.zeros(size), np.zeros(size)
-                at, *known = state.value
-                before_z[at], before_n[at] = known
-                z, n = before_z.copy(), before_n.copy()
-                train([(r[2][count[r[2]] >= LEAST_ROWS], r[3]) for r in own], z, n)
-                new = np.flatnonzero(n != before_n)
-                cells = [new.astype("<i4"), (z - before_z)[new].astype("<f4"), (n - before_n)[new].astype("<f4")]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["part", "at", "z", "n"])
-            common.release()
-
-        return dealt.mapInArrow(run, "part long, at binary, z binary, n binary")
-
+    path = None
     for _ in range(rounds):
-        at = np.flatnonzero(n).astype("<i4")
-        state = docs.sparkSession.sparkContext.broadcast((at, z[at].astype("<f4"), n[at].astype("<f4")))  # 12 bytes for each of 2^BITS cells at most
-        for r in sorted(one_round(state).collect(), key=lambda r: r.part):  # PARTS rows of at most as much
-            at = np.frombuffer(r.at, "<i4")
-            z[at] += np.frombuffer(r.z, "<f4") / PARTS
-            n[at] += np.frombuffer(r.n, "<f4") / PARTS
-        state.destroy()
+        done = common.written(dealt.mapInArrow(one_round(path), "part long, at binary, z binary, n binary"), "toxic-state")
+        if path:
+            common.delete_path(docs.sparkSession, path)
+        path = done._granary_path
     dealt.unpersist()
     common.drop_written(rows)
-    return Model(z, n)
+    # the nonzero weights alone come to the driver, 2^BITS at most
+    learnt = docs.sparkSession.range(1).mapInArrow(read_weights(path), "at long, weight double").collect()
+    if path:
+        common.delete_path(docs.sparkSession, path)
+    return Model({r.at: r.weight for r in learnt})
+
+
+def common_state(path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(z, n) of all coordinates and the intercept: the mean over the parts of the last round's table, which a task reads from the shared folder; zeros before the first."""
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    if path:
+        import pyarrow.parquet as pq
+
+        fs, at = common.filesystem(path)
+        parts = sorted(pq.read_table(at, filesystem=fs).to_pylist(), key=lambda r: r["part"])
+        for r in parts:
+            x = np.frombuffer(r["at"], "<i4")
+            z[x] += np.frombuffer(r["z"], "<f4") / len(parts)
+            n[x] += np.frombuffer(r["n"], "<f4") / len(parts)
+    return z, n
+
+
+def one_round(path: str | None):
+    """A function over batches of a part's rows that trains each part from the common state and gives the part's own state."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts: dict[int, list] = {}
+        for b in batches:
+            for part, i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts.setdefault(part, []).append((zlib.crc32(str(i).encode()), i, np.frombuffer(x, "<i4"), y))
+        for part in sorted(parts):
+            own = sorted(parts.pop(part), key=lambda r: r[:2])
+            z, n = common_state(path)
+            count = np.zeros(len(z), np.int32)
+            for r in own:
+                count[r[2]] += 1
+            train([(r[2][count[r[2]] >= LEAST_ROWS], r[3]) for r in own], z, n)
+            at = np.flatnonzero(n)
+            cells = [at.astype("<i4"), z[at].astype("<f4"), n[at].astype("<f4")]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["part", "at", "z", "n"])
+        common.release()
+
+    return run
+
+
+def read_weights(path: str | None):
+    """A function over one batch that gives the nonzero weights of the common state; the intercept's place is 2^BITS."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            z, n = common_state(path)
+            w = np.append(weights(z[:-1], n[:-1]), weights(z[-1:], n[-1:], 0.0, 0.0))
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], names=["at", "weight"])
+        common.release()
+
+    return run
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
