@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.catalog import sql as S
 from granary.functions import text as T, vectors as V
-from granary.operators import retrieval as R
+from granary.operators import nearest as N, retrieval as R
 from granary.plans import config as C, context as P, pipeline
 from granary.registry import query
 from granary.session import bounded_broadcast, table
@@ -23,24 +23,25 @@ def _sql(ctes: str, last: str, recursive: bool = False) -> str:
 _PAIRS = f"FROM {S.QUESTION_VECTORS} q, (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings) e"
 
 
-def _pairs(spark, sf_dir):
-    q = A.question_vectors(spark, sf_dir).withColumnRenamed("embedding", "qv")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").crossJoin(bounded_broadcast(q))
+def _pairs(spark, sf_dir, kind):
+    """The score of every question's vector with every vector; the size of this output is the product of both tables' by its nature."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("pos"), "embedding")
+    return N.nearest(A.question_vectors(spark, sf_dir), vectors, None, kind).select("query_id", "chunk_id", "score")
 
 
 @query("vec_cosine", f"SELECT query_id, chunk_id, round(list_cosine_similarity(qv, v), 6) AS score {_PAIRS}")
 def vec_cosine(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("query_id", "chunk_id", F.round(V.cosine(F.col("qv"), F.col("embedding")), 6).alias("score"))
+    return _pairs(spark, sf_dir, "cosine")
 
 
 @query("vec_dot", f"SELECT query_id, chunk_id, round(list_dot_product(qv, v), 6) AS score {_PAIRS}")
 def vec_dot(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("query_id", "chunk_id", F.round(V.dot(F.col("qv"), F.col("embedding")), 6).alias("score"))
+    return _pairs(spark, sf_dir, "dot")
 
 
 @query("vec_l2", f"SELECT query_id, chunk_id, round(list_distance(qv, v), 6) AS score {_PAIRS}")
 def vec_l2(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("query_id", "chunk_id", F.round(V.l2(F.col("qv"), F.col("embedding")), 6).alias("score"))
+    return _pairs(spark, sf_dir, "l2").withColumn("score", -F.col("score"))
 
 
 def _vector(spark, sf_dir, **how):

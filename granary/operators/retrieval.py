@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import text as T, vectors as V
+from granary.operators import nearest as N
 from granary.session import bounded_broadcast
 
 K1, B, KEYWORD_BOOST = 1.5, 0.75, 3
-#: Scores by name, of (query vector, chunk vector, their norms); greater is nearer. More may be registered.
-SIMILARITIES = {
-    "cosine": lambda q, c, qn, cn: V.cosine(q, c, qn, cn),
-    "dot": lambda q, c, qn, cn: V.dot(q, c),
-    "l2": lambda q, c, qn, cn: -V.l2(q, c),
-}
+#: Further similarities by name: scores of (query vector, chunk vector, their norms); greater is nearer.
+SIMILARITIES: dict = {}
 
 
 def ranked(scored: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -30,21 +27,19 @@ def ranked(scored: DataFrame, k: int | None, *order: Column) -> DataFrame:
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int, similarity: str = "cosine", threshold: float = 0.0) -> DataFrame:
     """Exact nearest chunks of queries(query_id, embedding) among chunks(chunk_id, pos, embedding).
 
-    Chunks without a vector are left out; scores below the threshold too, except that a distance (negated as the
+    'cosine', 'dot' and 'l2' are blocked matrix products. Chunks without a vector are left out; scores below the threshold too, except that a distance (negated as the
     score) is only cut at a threshold other than 0, and then keeps scores at or below it.
     """
-    q = bounded_broadcast(queries.select("query_id", F.col("embedding").alias("qv")).where(V.usable(F.col("qv"))).withColumn("qn", V.norm(F.col("qv"))))
-    c = chunks.select("chunk_id", "pos", F.col("embedding").alias("cv")).where(V.usable(F.col("cv")))
+    if similarity in N.KINDS:
+        least = None if similarity == "l2" and not threshold else threshold
+        return ranked(N.nearest(queries, chunks, k, similarity, least), k)
     if similarity not in SIMILARITIES:
-        raise ValueError(f"unknown similarity {similarity!r}; known: {', '.join(SIMILARITIES)}")
-    c = c.withColumn("cn", V.norm(F.col("cv")))
+        raise ValueError(f"unknown similarity {similarity!r}; known: {', '.join([*N.KINDS, *SIMILARITIES])}")
+    # a registered expression has no matrix form and no bounds: it is computed pair by pair
+    q = bounded_broadcast(queries.select("query_id", F.col("embedding").alias("qv")).where(V.usable(F.col("qv"))).withColumn("qn", V.norm(F.col("qv"))))
+    c = chunks.select("chunk_id", "pos", F.col("embedding").alias("cv")).where(V.usable(F.col("cv"))).withColumn("cn", V.norm(F.col("cv")))
     score = SIMILARITIES[similarity](F.col("qv"), F.col("cv"), F.col("qn"), F.col("cn"))
-    pairs = c.crossJoin(q).select("query_id", "chunk_id", "pos", F.round(score, 6).alias("score"))
-    if similarity != "l2":
-        pairs = pairs.where(F.col("score") >= threshold)
-    elif threshold:
-        pairs = pairs.where(F.col("score") <= threshold)
-    return ranked(pairs, k)
+    return ranked(c.crossJoin(q).select("query_id", "chunk_id", "pos", F.round(score, 6).alias("score")).where(F.col("score") >= threshold), k)
 
 
 def indexed_tokens(chunks: DataFrame, kind: str = "standard") -> DataFrame:
