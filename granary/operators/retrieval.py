@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import text as T, vectors as V
-from granary.operators import nearest as N
+from granary.operators import nearest as N, postings as P
+from granary.operators.postings import indexed_tokens  # noqa: F401
 from granary.session import bounded_broadcast
 
-K1, B, KEYWORD_BOOST = 1.5, 0.75, 3
 #: Further similarities by name: scores of (query vector, chunk vector, their norms); greater is nearer.
 SIMILARITIES: dict = {}
 
@@ -42,26 +42,6 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, similarity: str
     return ranked(c.crossJoin(q).select("query_id", "chunk_id", "pos", F.round(score, 6).alias("score")).where(F.col("score") >= threshold), k)
 
 
-def indexed_tokens(chunks: DataFrame, kind: str = "standard") -> DataFrame:
-    """chunks with tokens: those of the content, and KEYWORD_BOOST times those of the keywords if there are any."""
-    own = T.tokens(F.col("content"), kind)
-    if "keywords" not in chunks.columns:
-        return chunks.withColumn("tokens", own)
-    key = T.tokens(F.array_join("keywords", " "), kind)
-    return chunks.withColumn("tokens", F.concat(own, F.flatten(F.array_repeat(key, KEYWORD_BOOST))))
-
-
-#: A posting that each document has besides those of its tokens, which are never empty; it carries the length of documents without any asked token.
-LENGTH = ""
-
-
-def postings(indexed: DataFrame, lengths: bool = False) -> DataFrame:
-    """chunk_id, pos, dl, tok of every token, and of LENGTH if asked for; the tokens of a row are computed once, as a second use would run the pattern again."""
-    extra = lambda t: F.concat(t, F.array(F.lit(LENGTH))) if lengths else t
-    each = T.let(F.col("tokens"), lambda t: F.transform(extra(t), lambda x: F.struct(x.alias("tok"), F.size(t).alias("dl"))))
-    return indexed.select("chunk_id", "pos", F.explode(each).alias("p")).select("chunk_id", "pos", "p.dl", "p.tok")
-
-
 def corpus_stats(indexed: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl, empty documents included."""
     return indexed.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -69,7 +49,7 @@ def corpus_stats(indexed: DataFrame) -> DataFrame:
 
 def term_frequencies(indexed: DataFrame) -> DataFrame:
     """chunk_id, pos, dl, tok, tf."""
-    return postings(indexed).groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
+    return P.counted(indexed).where("tok IS NOT NULL")
 
 
 def document_frequencies(indexed: DataFrame) -> DataFrame:
@@ -80,23 +60,15 @@ def document_frequencies(indexed: DataFrame) -> DataFrame:
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str = "standard") -> DataFrame:
     """BM25 of queries(query_id, query) over chunks(chunk_id, pos, content[, keywords]); a term that a query repeats counts as often.
 
-    The corpus is read and cut into tokens once. Tokens that no query asks for are dropped by a semi-join before they are
-    counted, so only asked terms and one row for each document's length are shuffled; document frequencies and corpus
-    statistics come from the same exchange. Nothing filters one of its uses alone, which would keep Spark from sharing it.
+    The corpus is read and cut into tokens once; asked tokens are counted where the documents are, into a written table.
+    Several sets of questions share that reading through postings.build() and bm25_indexed().
     """
-    asked = queries.select("query_id", F.explode(T.query_terms(F.col("query"), kind)).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qtf"))
-    asked = bounded_broadcast(asked)
-    index = indexed_tokens(chunks.select("chunk_id", "pos", "content", *(["keywords"] if "keywords" in chunks.columns else [])), kind)
-    wanted = bounded_broadcast(asked.select("tok").union(queries.sparkSession.range(1).select(F.lit(LENGTH))).distinct())
-    tf = postings(index, lengths=True).where("tok IS NOT NULL").join(wanted, "tok", "left_semi").groupBy("chunk_id", "pos", "dl", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    own = F.col("tok") == LENGTH
-    stats = F.broadcast(tf.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl")))  # one row
-    weighted = tf.join(df, "tok").join(asked, "tok").crossJoin(stats)  # no query asks for LENGTH
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighted.groupBy("query_id", "chunk_id", "pos").agg(F.round(F.sum(F.col("qtf") * idf * part), 6).alias("score")).where("score > 0")
-    return ranked(scored, k)
+    return ranked(P.scores(queries, chunks, kind), k)
+
+
+def bm25_indexed(queries: DataFrame, index: P.Index, k: int) -> DataFrame:
+    """bm25_search() from a written index, of which only the posting blocks that can hold a question's k best are read."""
+    return P.search(index, queries, k)
 
 
 def rrf_fusion(vector: DataFrame, keyword: DataFrame, k: int = 60, vector_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:

@@ -285,14 +285,3 @@ def test_unknown_names_are_refused(spark):
     vectors = spark.createDataFrame([(1, 1, [1.0])], "chunk_id int, pos int, embedding array<double>")
     with pytest.raises(ValueError):
         R.vector_search(vectors.select(F.col("chunk_id").alias("query_id"), "embedding"), vectors, 1, "unheard of")
-
-
-def test_corpus_is_read_once_for_bm25(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
-    q = spark.createDataFrame([(1, "the and")], "query_id int, query string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = R.bm25_search(q, docs, 10)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1 and plan.count("ReusedExchange") >= 1
