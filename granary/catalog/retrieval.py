@@ -254,10 +254,10 @@ _REWRITTEN = "SELECT item_id AS query_id, text || ' deprecated changelog v2' AS
 @query("fixed_workflow", f"SELECT query_id, chunk_id, 1 AS part, rank FROM (WITH {S.bm25_ctes(5)} SELECT * FROM bm) UNION ALL SELECT query_id, chunk_id, 2, rank FROM (WITH {S.bm25_ctes(5, query_sql=_REWRITTEN)} SELECT * FROM bm)")
 def fixed_workflow(spark, sf_dir):
     """The whole fixed workflow: the context of the question, and after it that of the question about deprecation, repeats kept."""
-    index = X.build(A.chunks(spark, sf_dir))  # both sets of questions are answered from one reading of the corpus
-    config = C.default_config("bm25", 5)
-    own = R.bm25_indexed(A.questions(spark, sf_dir), index, config.bm25.top_k)
-    return P.fixed_workflow(own, R.bm25_indexed(_rewritten(spark, sf_dir), index, config.bm25.top_k))
+    c, config = A.chunks(spark, sf_dir), C.default_config("bm25", 5).bm25
+    counts = X.counts_of(c, config.tokenizer)  # both sets of questions are answered from one reading of the corpus
+    own = R.bm25_search(A.questions(spark, sf_dir), c, config.top_k, config.tokenizer, counts)
+    return P.fixed_workflow(own, R.bm25_search(_rewritten(spark, sf_dir), c, config.top_k, config.tokenizer, counts))
 
 
 @query("cache_key", "SELECT item_id AS query_id, sha256(text || '|hybrid|src1') AS cache_key FROM benchmark")

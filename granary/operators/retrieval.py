@@ -57,13 +57,13 @@ def document_frequencies(indexed: DataFrame) -> DataFrame:
     return indexed.select(F.explode(F.array_distinct("tokens")).alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str = "standard") -> DataFrame:
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str = "standard", counts: DataFrame | None = None) -> DataFrame:
     """BM25 of queries(query_id, query) over chunks(chunk_id, pos, content[, keywords]); a term that a query repeats counts as often.
 
     The corpus is read and cut into tokens once; asked tokens are counted where the documents are, into a written table.
-    Several sets of questions share that reading through postings.build() and bm25_indexed().
+    Several sets of questions share that reading by counts, which postings.counts_of(chunks, kind) gives, or by an index.
     """
-    return ranked(P.scores(queries, chunks, kind), k)
+    return ranked(P.scores(queries, chunks, kind, counts), k)
 
 
 def bm25_indexed(queries: DataFrame, index: P.Index, k: int) -> DataFrame:
