@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs of characters other than these six ASCII white-space characters.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -67,6 +67,33 @@ def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= limit else df
 
 
+def frequent(counted: DataFrame, key: str, n: str, most: int) -> Column:
+    """A condition that holds for at most `most` rows of counted(key, n): those of the highest counts.
+
+    Counts are taken in whole steps, each its own up to 100,000 and a 256th of a doubling beyond, so that a histogram of a
+    bounded number of rows tells where to cut. Where the topmost step alone has too many rows, as many as fit are taken by
+    the hash of the key.
+    """
+    fine, slices = 100_000, 1 << 16
+    step = F.when(F.col(n) <= fine, F.col(n)).otherwise(F.floor(F.log2(F.col(n) / fine) * 256) + fine + 1).cast("long")
+    sizes = sorted(((r.step, r["count"]) for r in counted.groupBy(step.alias("step")).count().collect()), reverse=True)  # some 110,000 rows at most
+    least, kept = None, 0
+    for s, size in sizes:
+        if kept + size > most:
+            break
+        least, kept = s, kept + size
+    if least is not None or not sizes:
+        return step >= F.lit(0 if least is None else least)
+    top, slice_ = sizes[0][0], F.pmod(F.xxhash64(key), F.lit(slices))
+    within = sorted((r.slice, r["count"]) for r in counted.where(step == top).groupBy(slice_.alias("slice")).count().collect())
+    upto = -1
+    for s, size in within:
+        if kept + size > most:
+            break
+        upto, kept = s, kept + size
+    return (step == top) & (slice_ <= upto)
+
+
 def filesystem(uri: str):
     """pyarrow file system and path of a URI; works on executors without a session."""
     from pyarrow import fs

@@ -45,6 +45,8 @@ CHUNK = 256
 CHUNK_GRAMS = 4_000_000
 #: Rows of a long column that are multiplied at once in the second round, from either side; a few arrays of the square of it are held.
 LONG_CHUNK = 1024
+#: Rows of a part of one band of sizes of a large column, and pairs of rows that a task holds at a time.
+BAND_ROWS, WINDOW_PAIRS = 1 << 14, 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -371,17 +373,27 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return links
 
 
-def _cross(left: np.ndarray, right: np.ndarray, same: bool, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs of rows (class, component, size, flag, long rows) that join components and that the bounds allow.
+def _allowed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Whether two rows (class, component, size, flag, long rows) join components and the bounds allow them.
 
     A pair that also meets in a short column has been bounded there, so what long columns can give has to do.
     """
-    x, y = left[:, :, None], right[:, None, :]
-    ok = (x[0] < y[0]) if same else (x[0] != y[0])
-    ok = ok & (x[1] != y[1]) & (np.minimum(x[2], y[2]) >= t * np.maximum(x[2], y[2]) - 1e-9)
+    ok = (x[0] != y[0]) & (x[1] != y[1]) & (np.minimum(x[2], y[2]) >= t * np.maximum(x[2], y[2]) - 1e-9)
     ok &= np.where(x[2] < y[2], x[3] & 1, np.where(x[2] > y[2], y[3] & 1, x[3] & y[3] & 1)).astype(bool)
-    ok &= np.minimum(x[4], y[4]) >= _shortfall(x[2], y[2], t)
-    return np.nonzero(ok)
+    return ok & (np.minimum(x[4], y[4]) >= _shortfall(x[2], y[2], t))
+
+
+def _cross(e: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the allowed pairs of a moderate column's rows."""
+    x, y = e[:, :, None], e[:, None, :]
+    return np.nonzero(_allowed(x, y, t) & (x[0] < y[0]))
+
+
+def _partner_sizes(n, rows, t: float):
+    """(least, greatest) size of a set, not larger than one of n with so many long rows, that the bounds allow beside it. Takes columns or arrays."""
+    up, down, least = (F.ceil, F.floor, F.least) if isinstance(n, Column) else (np.ceil, np.floor, np.minimum)
+    low = up(n * t - 1e-9)
+    return low, least(n, down((rows - 1 + low) * ((1 + t) / t) - n + 1e-6))
 
 
 _ENTRY = ["a", "comp", "n", "flag", "rows"]
@@ -397,25 +409,35 @@ def _columns_pairs(pdf, t: float):
     out = []
     for lo, hi in zip(cuts, [*cuts[1:], len(column)], strict=True):
         e = entries[:, lo:hi]
-        p, q = _cross(e, e, True, t)
+        p, q = _cross(e, t)
         out.append(np.stack([e[0][p], e[0][q]]))
     pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
     return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
 
-def _chunk_pairs(pdf, t: float):
-    """Pairs between chunks i and j of one large column."""
+def _window_pairs(left, right, t: float):
+    """Pairs of a row of left and one of right, from rows of one large column, whose size is in the left one's window; pieces of them are held at a time."""
     import pandas as pd
 
-    i, j = pdf.i.iloc[0], pdf.j.iloc[0]
-    left, right = (pdf[pdf.part == k][_ENTRY].to_numpy().T for k in (i, j))
-    p, q = _cross(left, right, i == j, t)
-    a, b = left[0][p], right[0][q]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    x, y = left[_ENTRY].to_numpy().T, right.sort_values("of_n")[[f"of_{c}" for c in _ENTRY]].to_numpy().T
+    low, high = _partner_sizes(x[2], x[4], t)
+    begin, end = np.searchsorted(y[2], low, "left"), np.searchsorted(y[2], high, "right")
+    size = np.maximum(0, end - begin)
+    ends, at, out = np.cumsum(size), 0, []
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WINDOW_PAIRS, "right")))
+        s = size[at:upto]
+        p = np.repeat(np.arange(at, upto), s)
+        q = np.repeat(begin[at:upto] - (np.cumsum(s) - s), s) + np.arange(len(p))
+        ok = _allowed(x[:, p], y[:, q], t)
+        out.append(np.stack([x[0][p[ok]], y[0][q[ok]]]))
+        at = upto
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
 
 
 def second_pairs(made: DataFrame, long: DataFrame, comps: DataFrame, t: float) -> DataFrame:
-    """Distinct pairs (a, b) that long columns give between different components. Columns of over LONG_CHUNK classes are multiplied chunk by chunk."""
+    """Distinct pairs (a, b) that long columns give between different components. A column of over LONG_CHUNK classes isn't multiplied as a whole: its rows meet those in their windows of sizes."""
     entries = made.where("kind = 1").select("a", "b", "n", F.col("flag").cast("long").alias("flag")).distinct()
     entries = entries.join(common.small_side(long, long.count()).select(F.col("node").alias("a"), "rows"), "a")
     spread = entries.join(comps.select(F.col("node").alias("a"), "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
@@ -426,26 +448,30 @@ def second_pairs(made: DataFrame, long: DataFrame, comps: DataFrame, t: float) -
     fields = ["a", "b", "n", "flag", "comp", "rows"]
     small = open_.where(F.col("size") <= LONG_CHUNK).withColumn("g", F.pmod(F.xxhash64("b"), F.lit(groups))).select("g", *fields)
     moderate = small.groupBy("g").applyInPandas(lambda pdf: _columns_pairs(pdf, t), "a long, b long")
-    cut = open_.where(F.col("size") > LONG_CHUNK).withColumn("parts", F.ceil(F.col("size") / LONG_CHUNK)).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    both = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    dealt = cut.withColumn("ij", F.explode(both)).select(*fields, "part", "ij.i", "ij.j")
-    large = dealt.groupBy("b", "i", "j").applyInPandas(lambda pdf: _chunk_pairs(pdf, t), "a long, b long")
+    # in a large column the larger set of a pair looks up the sizes that the bounds allow beside it, in bands of a hundredth
+    cut = open_.where(F.col("size") > LONG_CHUNK)
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.01)).cast("int")
+    low, high = _partner_sizes(F.col("n"), F.col("rows"), t)
+    below = cut.select(*fields, band(F.col("n")).alias("band"))
+    sizes = below.groupBy("b", "band").agg(F.ceil(F.count("*") / BAND_ROWS).alias("parts"))
+    bands = common.written(sizes, "jaccard-bands")
+    n_bands = bands.count()
+    with_parts = lambda df: df.join(common.small_side(bands, n_bands), ["b", "band"])
+    smaller = with_parts(below).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).select(*(F.col(c).alias(f"of_{c}") for c in [*fields, "band", "part"]))
+    windows = cut.where(low <= high).select(*fields, F.explode(F.sequence(band(low), band(high))).alias("band"))
+    larger = with_parts(windows).select(*fields, "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    keys = ["b", "band", "part"]
+    large = larger.groupBy(*keys).cogroup(smaller.groupBy(*(f"of_{k}" for k in keys))).applyInPandas(lambda x, y: _window_pairs(x, y, t), "a long, b long")
     return moderate.union(large).distinct()
 
 
 def common_grams(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the most common n-grams of a profile, COMMON_KEPT at most.
 
-    The counts' own histogram tells the least count to keep, so the driver gets no more than it keeps.
+    The driver gets no more than it keeps.
     """
     counted = common.written(seen.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")), "grams-common")
-    sizes = {r.n: r.hashes for r in counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("hashes")).collect()}
-    least, kept = 10_001, 0
-    for n in sorted(sizes, reverse=True):
-        if kept + sizes[n] > COMMON_KEPT:
-            break
-        least, kept = n, kept + sizes[n]
-    top = sorted(((r.cls & 0xFFFFFFFFFFFFFFFF, r.n) for r in counted.where(F.col("n") >= least).collect()))
+    top = sorted(((r.cls & 0xFFFFFFFFFFFFFFFF, r.n) for r in counted.where(common.frequent(counted, "cls", "n", COMMON_KEPT)).collect()))
     common.drop_written(counted)
     return np.array([c for c, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, hashing
 
@@ -37,6 +37,8 @@ ROUNDS = 4
 #: UTF-8 bytes of texts that one part trains on, about. A part that gets OVERSIZE times this is cut up by row.
 PART_BYTES = 16 << 20
 OVERSIZE = 4
+#: Partitions that parts are dealt over, at most.
+PARTITIONS = 20_000
 #: Tokens whose counts every worker holds, at most.
 TOP = 1 << 18
 #: Bins, by hash, in which the network sees all others.
@@ -164,7 +166,8 @@ def dealt(docs: DataFrame) -> DataFrame:
         placed = placed.withColumn("sub", F.lit(0).cast("long"))
         common.drop_written(over)
     keyed = placed.withColumns({"round": (F.col("deal") % ROUNDS).cast("int"), "h": F.xxhash64("doc_id", "text")})
-    return keyed.repartition(parts, "deal", "sub").sortWithinPartitions("deal", "sub", "h", "doc_id")
+    # a partition may get several parts, one after the other, so their number is bounded whatever the input
+    return keyed.repartition(min(parts, PARTITIONS), "deal", "sub").sortWithinPartitions("deal", "sub", "h", "doc_id")
 
 
 PACKS = "round int, deal long, sub long, seq int, lead int, trail int, rows array<long>, ids array<long>, lengths array<int>, codes binary, vocab binary, hash long, n long"
@@ -256,21 +259,15 @@ class Vocabulary:
         return np.where(tail, self.tail_cells[bin_], self.cells[at]), np.where(tail, self.tail_share[bin_], self.share[at]), tail
 
 
-def vocabulary(made: DataFrame) -> tuple[DataFrame, Vocabulary, int]:
-    """(written table hash, n of all tokens, what workers hold of it, the least count that they hold).
+def vocabulary(made: DataFrame) -> tuple[DataFrame, Vocabulary, Column]:
+    """(written table hash, n of all tokens, what workers hold of it, the condition on its rows that they hold).
 
-    A histogram of the counts tells the least count, so the driver gets no more than TOP rows.
+    The driver gets no more than TOP rows, however many tokens are frequent.
     """
     table = common.written(made.where("round = -1").groupBy("hash").agg(F.sum("n").alias("n")), "scoring-vocabulary")
-    sizes = {r.c: (r.tokens, r.n) for r in table.groupBy(F.least("n", F.lit(100_000)).alias("c")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n")).collect()}  # at most 100,000 rows
-    least, kept = 100_001, 0
-    for c in sorted(sizes, reverse=True):
-        if kept + sizes[c][0] > TOP:
-            break
-        least, kept = c, kept + sizes[c][0]
-    top = table.where(F.col("n") >= least).toArrow()
-    known = Vocabulary(top.column("hash").to_numpy(), top.column("n").to_numpy(), sum(n for _, n in sizes.values()))
-    return table, known, least
+    held = common.frequent(table, "hash", "n", TOP)
+    top = table.where(held).toArrow()
+    return table, Vocabulary(top.column("hash").to_numpy(), top.column("n").to_numpy(), table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), held
 
 
 # --- network -------------------------------------------------------------------------------------------------------
@@ -473,7 +470,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     partitioned, unless so many rows share one doc_id that their part has to be cut up.
     """
     made = packs(docs)
-    table, known, least = vocabulary(made)
+    table, known, held = vocabulary(made)
     w = train(made, known)
 
     def score(batches):
@@ -487,8 +484,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pack["rows"], pa.int64()), pa.array(pack["ids"], pa.int64()), pa.array(n), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare))], names=["row", "doc_id", "n", "value", "tail"])
 
     rows = common.written(made.where("round >= 0").mapInArrow(score, "row long, doc_id long, n long, value double, tail array<long>"), "scoring-rows")
-    # a tail token has fewer than `least` of all tokens, so no key of this join is hot
-    rare = rows.select("row", F.explode("tail").alias("hash")).join(table.where(F.col("n") < least).select("hash", F.log(F.col("n").cast("double")).alias("value")), "hash")
+    # tokens that aren't held are rare ones, so no key of this join is hot
+    rare = rows.select("row", F.explode("tail").alias("hash")).join(table.where(~held).select("hash", F.log(F.col("n").cast("double")).alias("value")), "hash")
     parts = rows.select("row", "doc_id", "n", "value").unionByName(rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "value"))
     whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.round(F.sum("value"), 3).alias("log_likelihood"))
     out = common.written(whole.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token")), "scoring-scores")

@@ -159,3 +159,62 @@ def test_product_of_a_block(monkeypatch):
         pairs = made[made.kind == 0]
         assert {(a, b): n for a, b, n in zip(pairs.a, pairs.b, pairs.n) if n} == want and not pairs.duplicated(["a", "b"]).any()
         assert all((size[a], size[b]) == (x, y) for a, b, x, y in zip(pairs.a, pairs.b, pairs.na, pairs.nb))
+
+
+def _column(spark, rows, t=0.75):
+    """second_pairs() of rows (class, size, flag, long rows, component) that stand in one long column."""
+    made = spark.createDataFrame([(1, a, 77, n, flag, 0, 0) for a, n, flag, _, _ in rows], J.PRODUCT)
+    long = spark.createDataFrame([(a, r) for a, _, _, r, _ in rows], "node long, rows long")
+    comps = spark.createDataFrame([(a, c) for a, *_, c in rows], "node long, comp long")
+    return J.second_pairs(made, long, comps, t)
+
+
+def test_large_columns_give_the_pairs_that_the_bounds_allow(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    rows = [(a, rng.choice([1, 2, 3, 9, 10, 40, 41, 50, 200]) + rng.randint(0, 4), rng.randint(0, 3), rng.choice([1, 2, 5, 30]), rng.randint(0, 60)) for a in range(180)]
+    e = np.array([(a, c, n, f, r) for a, n, f, r, c in rows], np.int64).T
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if J._allowed(e[:, [i]], e[:, [j]], 0.75)[0]}
+    assert len(want) > 50
+    got = {}
+    for chunk, band, pairs in ((1024, 1 << 14, 1 << 20), (8, 1 << 14, 1 << 20), (8, 5, 7)):
+        monkeypatch.setattr(J, "LONG_CHUNK", chunk)
+        monkeypatch.setattr(J, "BAND_ROWS", band)
+        monkeypatch.setattr(J, "WINDOW_PAIRS", pairs)
+        got = {(r.a, r.b) for r in _column(spark, rows).collect()}
+        assert got == want
+
+
+def test_a_large_column_without_pairs_takes_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(n):
+        made = spark.range(n).select(F.lit(1).alias("kind"), F.col("id").alias("a"), F.lit(77).cast("long").alias("b"), F.lit(60).cast("long").alias("n"), F.lit(3).alias("flag"), F.lit(0).cast("long").alias("na"), F.lit(0).cast("long").alias("nb"))
+        made = J.common.written(made, "column")
+        long = J.common.written(made.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("rows")), "long")
+        comps = J.common.written(made.select(F.col("a").alias("node"), F.col("a").alias("comp")), "comps")
+        began = time.perf_counter()
+        assert J.second_pairs(made, long, comps, 0.75).count() == 0
+        return time.perf_counter() - began
+
+    took(1_000)
+    half, whole = took(250_000), took(500_000)
+    assert whole < 3 * half + 5 and whole < 60
+
+
+def test_common_grams_stay_within_their_limit(spark, monkeypatch):
+    """300 n-grams of 20,000 each: the topmost step alone is over the limit."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "COMMON_KEPT", 10)
+    for n in (5, 20_000, 5_000_000):
+        seen = spark.range(300).select(F.lit(1).alias("kind"), F.xxhash64("id").alias("cls"), F.lit(n).cast("long").alias("n"))
+        kept, counts = J.common_grams(seen)
+        assert 0 < len(kept) <= 10 and set(counts.tolist()) == {n}
+    mixed = spark.range(300).select(F.lit(1).alias("kind"), F.xxhash64("id").alias("cls"), F.when(F.col("id") < 4, 10**9 + F.col("id") * 10**8).otherwise(3).cast("long").alias("n"))
+    assert sorted(J.common_grams(mixed)[1].tolist()) == [10**9 + i * 10**8 for i in range(4)]

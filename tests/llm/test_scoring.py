@@ -219,3 +219,22 @@ def test_odd_rows(spark):
 
 def test_classes_are_as_many_as_before_the_cut():
     assert S.SIDE >= 48 and S.CELLS == S.SIDE**2 and S.start(np.ones(S.CELLS))[3].shape == (S.SIDE, S.SIDE, S.HIDDEN + 1)
+
+
+def test_held_tokens_stay_within_their_limit(spark, monkeypatch):
+    """300 tokens of 200,000 each: the topmost step of the histogram alone is over the limit."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "TOP", 10)
+    made = spark.range(300).select(F.lit(-1).alias("round"), F.xxhash64("id").alias("hash"), F.lit(200_000).cast("long").alias("n"))
+    table, known, held = S.vocabulary(made)
+    assert 0 < len(known.hashes) <= 10 and table.where(held).count() == len(known.hashes) and table.where(~held).count() == 300 - len(known.hashes)
+
+
+def test_parts_share_a_bounded_number_of_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and some other words of text {i}" * 3) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(S, "PART_BYTES", 200)
+    want = {r.doc_id: r.log_likelihood for r in S.pseudo_likelihood(docs).collect()}
+    monkeypatch.setattr(S, "PARTITIONS", 3)
+    assert S.dealt(docs).rdd.getNumPartitions() <= 3
+    assert {r.doc_id: r.log_likelihood for r in S.pseudo_likelihood(docs).collect()} == want
