@@ -128,6 +128,17 @@ def page_for_span(spark, sf_dir):
     return e.select("event_id", I.page_for_span(F.col("a"), F.col("b"), bounds).cast("long").alias("page"))
 
 
+@query("pages_of_spans", """WITH d AS (SELECT doc_id, length(text) AS n FROM documents), s AS (SELECT doc_id, unnest(range(0, n // 700 + 1)) AS k FROM d), p AS (SELECT doc_id, unnest(range(0, (n + 999) // 1000)) AS i FROM d WHERE doc_id % 7 <> 0),
+m AS (SELECT doc_id, k, arg_max(i + 1, o * 1000000 - i) AS page FROM (SELECT s.doc_id, k, i, greatest(-1, least(k * 700 + 640, i * 1000 + 999) - greatest(k * 700, i * 1000)) AS o FROM s JOIN p ON p.doc_id = s.doc_id) GROUP BY 1, 2)
+SELECT s.doc_id, s.k AS span_id, CAST(coalesce(page, 1) AS BIGINT) AS page FROM s LEFT JOIN m ON m.doc_id = s.doc_id AND m.k = s.k""")
+def pages_of_spans(spark, sf_dir):
+    """Windows of all documents by the page that they overlap most; some documents have no pages."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    s = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 700).cast("int"))).alias("span_id")).withColumns({"start": F.col("span_id") * 700, "end": F.col("span_id") * 700 + 640})
+    p = d.where((F.col("doc_id") % 7 != 0) & (F.col("n") > 0)).select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 1000).cast("int"))).alias("page"))
+    return I.pages_of_spans(s, p.withColumns({"start": F.col("page") * 1000 - 1000, "end": F.col("page") * 1000 - 1})).withColumn("span_id", F.col("span_id").cast("long"))
+
+
 _FIT = f"""WITH t AS (SELECT source AS doc_id, doc_id AS chunk_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}'), lambda w: w NOT IN ({S.quoted(I.KEYWORD_STOPWORDS)}))) AS tok FROM documents),
 tf AS (SELECT doc_id, chunk_id, tok, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT doc_id, tok, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL),
 k AS (SELECT * FROM df QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cf DESC, tok) <= 500), n AS (SELECT source AS doc_id, count(*) AS n FROM documents GROUP BY source),

@@ -67,6 +67,26 @@ def span_totals(spark, sf_dir):
     return TR.span_totals(A.spans(spark, sf_dir))
 
 
+_TREE = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ts, span_id) AS no FROM {SPANS_SQL}),
+s AS (SELECT n.trace_id, n.span_id, CASE WHEN n.span_id % 17 = 0 THEN NULL ELSE p.span_id END AS up, n.tokens, n.cost FROM n LEFT JOIN n p ON p.trace_id = n.trace_id AND p.no = CASE WHEN length(n.trace_id) % 2 = 0 THEN n.no - 1 ELSE n.no // 2 END),
+a(trace_id, span_id, anc, d) AS (SELECT trace_id, span_id, span_id, 0 FROM s UNION ALL SELECT a.trace_id, a.span_id, s.up, a.d + 1 FROM a JOIN s ON s.trace_id = a.trace_id AND s.span_id = a.anc WHERE s.up IS NOT NULL),
+t AS (SELECT a.trace_id, a.anc AS span_id, count(*) AS spans, CAST(sum(s.tokens) AS BIGINT) AS all_tokens, round(sum(s.cost), 6) AS all_cost FROM a JOIN s ON s.trace_id = a.trace_id AND s.span_id = a.span_id GROUP BY 1, 2),
+d AS (SELECT trace_id, span_id, CAST(max(d) AS BIGINT) AS depth FROM a GROUP BY 1, 2)
+SELECT s.trace_id, s.span_id, depth, s.tokens, round(s.cost, 6) AS cost, spans, all_tokens, all_cost FROM s JOIN t USING (trace_id, span_id) JOIN d USING (trace_id, span_id)"""
+
+
+@query("span_tree_totals", _TREE)
+def span_tree_totals(spark, sf_dir):
+    """Own and inclusive totals of spans whose parents are chains in some traces and trees in others; some parents are missing."""
+    from pyspark.sql import Window
+
+    n = A.spans(spark, sf_dir).withColumn("no", F.row_number().over(Window.partitionBy("trace_id").orderBy("start_ts", "span_id")))
+    above = n.select("trace_id", F.col("no").alias("up_no"), F.col("span_id").alias("parent"))
+    up = F.when(F.length("trace_id") % 2 == 0, F.col("no") - 1).otherwise(F.floor(F.col("no") / 2))
+    joined = n.withColumn("up_no", up.cast("int")).join(above, ["trace_id", "up_no"], "left")
+    return TR.span_tree_totals(joined.withColumn("parent_span_id", F.when(F.col("span_id") % 17 == 0, -F.col("span_id") - 1).otherwise(F.col("parent"))))
+
+
 @query("cost_by_stage", f"SELECT CASE WHEN stage IN ('view', 'click') THEN 'retrieval' WHEN stage = 'purchase' THEN 'generation' ELSE 'other' END AS category, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost FROM {SPANS_SQL} GROUP BY 1")
 def cost_by_stage(spark, sf_dir):
     return TR.cost_by_stage(A.spans(spark, sf_dir))
