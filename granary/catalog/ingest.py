@@ -181,6 +181,13 @@ def tokenize_standard(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
 
 
+@query("tokenize_porter")
+def tokenize_porter(spark, sf_dir):
+    """Stems of all words by their times; compared with the published algorithm's pairs in the tests."""
+    t = text_table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"), "porter")).alias("tok"))
+    return t.groupBy("tok").agg(F.count("*").alias("n"))
+
+
 @query("tokenize_whitespace", f"SELECT doc_id, array_to_string({S.words('lower(text)')}, ' ') AS tokens FROM documents")
 def tokenize_whitespace(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("content"), "whitespace"), " ").alias("tokens"))

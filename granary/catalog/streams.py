@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from granary.registry import query
 from granary.session import table
 from granary.sources import files
-from granary.streaming import stateful as SS
+from granary.streaming import delivery as D, stateful as SS
 
 
 @query("rate_limit_admit")
@@ -17,6 +17,29 @@ def rate_limit_admit(spark, sf_dir):
     return SS.rate_limit(e, 2, 3600)
 
 
+@query("rate_limit_stream")
+def rate_limit_stream(spark, sf_dir):
+    """The stream of all events through the limiter, whose clients' state expires; equal to rate_limit_admit, as the tests show."""
+    out, mark = files.shared_path(spark, "admitted"), files.shared_path(spark, "mark")
+    e = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*")
+    requests = stream.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    SS.run_available(SS.rate_limit_stream(requests, 2, 3600), out, mark)
+    return spark.read.parquet(out)
+
+
+@query("event_delivery", """SELECT user_id AS trace, event_id AS seq, event_type AS type, props AS data FROM events
+UNION ALL SELECT user_id, max(event_id) + 1, '[DONE]', NULL FROM events GROUP BY user_id""")
+def event_delivery(spark, sf_dir):
+    """All events as a stream into a table keyed by trace and number, with an end mark for every trace. Which event is a trace's last comes from a table."""
+    out, mark = files.shared_path(spark, "events"), files.shared_path(spark, "mark")
+    e = table(spark, sf_dir, "events")
+    ends = e.groupBy("user_id").agg(F.max("event_id").alias("event_id")).withColumn("last", F.lit(True))
+    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*").join(ends, ["user_id", "event_id"], "left")
+    D.deliver(stream.select(F.col("user_id").alias("trace"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("data"), F.coalesce("last", F.lit(False)).alias("last")), out, mark)
+    return D.delivered(spark, out)
+
+
 @query("client_id", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || (user_id % 250) WHEN event_id % 3 = 1 THEN 'peer' || user_id ELSE 'peer' || user_id END AS client FROM events")
 def client_id(spark, sf_dir):
     i = F.col("event_id") % 3

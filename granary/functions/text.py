@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from granary.functions.stemming import stems
+
 # Words that a query's terms leave out.
 QUERY_STOPWORDS = """
 a about above after again against all am an and any are aren't as at be because been before being below between both
@@ -61,7 +63,7 @@ def let(value: Column, make) -> Column:
 
 def tokens(text: Column, kind: str = "standard") -> Column:
     """Lower-case tokens by a registered tokenizer: 'standard' takes words, 'whitespace' what stands between white space,
-    'porter' stems where a stemmer has been registered under its name and else takes words."""
+    'porter' the stems of words."""
     if kind not in TOKENIZERS:
         raise ValueError(f"unknown tokenizer {kind!r}; known: {', '.join(TOKENIZERS)}")
     return TOKENIZERS[kind](F.lower(F.coalesce(text, F.lit(""))))
@@ -72,11 +74,11 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-#: Tokenizers by name, of a lower-case text column; a stemmer, say, takes the place of 'porter'.
+#: Tokenizers by name, of a lower-case text column; more may be registered.
 TOKENIZERS = {
     "standard": lambda lower: F.regexp_extract_all(lower, F.lit(WORD), 1),
     "whitespace": lambda lower: space_words(lower),
-    "porter": lambda lower: F.regexp_extract_all(lower, F.lit(WORD), 1),
+    "porter": lambda lower: stems(F.regexp_extract_all(lower, F.lit(WORD), 1)),
 }
 
 

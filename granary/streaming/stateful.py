@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
@@ -39,28 +39,59 @@ def rate_limit(requests: DataFrame, limit: int, seconds: float = 60) -> DataFram
     return timed.repartition("client").sortWithinPartitions("client", "t", "request_id").mapInArrow(decide, out)
 
 
-def _admit_group(limit: int, seconds: float):
-    def run(key, frames: Iterator, state) -> Iterator:
+#: The state store that list state and timers need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Admissions(StatefulProcessor):
+    """A client's state: the times of its admitted requests within the window, at most `limit`; a timer ends it when the last of them has left the window."""
+
+    def __init__(self, limit: int, seconds: float) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.admitted = handle.getListState("admitted", "t double")
+
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["t", "request_id"])
+        kept = deque(t for (t,) in self.admitted.get())
+        own = pd.concat(list(rows)).sort_values(["t", "request_id"], na_position="first")
         ok = []
-        for t in rows.t:
-            kept = [k for k in kept if k > t - seconds]
-            ok.append(len(kept) < limit)
-            if ok[-1]:
+        for t in own.t:
+            none = pd.isna(t)
+            while not none and kept and kept[0] <= t - self.seconds:
+                kept.popleft()
+            ok.append(self.limit > 0 if none else len(kept) < self.limit)
+            if ok[-1] and not none:
                 kept.append(t)
-        state.update((kept,))
-        yield pd.DataFrame({"request_id": rows.request_id, "client": key[0], "admitted": ok})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.admitted.put([(float(t),) for t in kept])
+            self.handle.registerTimer(int((kept[-1] + self.seconds) * 1000) + 1)
+        else:
+            self.admitted.clear()
+        yield pd.DataFrame({"request_id": own.request_id, "client": key[0], "admitted": ok})
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.admitted.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-def rate_limit_stream(requests: DataFrame, limit: int, seconds: float = 60) -> DataFrame:
-    """The streaming form of rate_limit: a client's state is the times of at most `limit` admitted requests."""
-    timed = requests.select("request_id", "client", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy("client").applyInPandasWithState(_admit_group(limit, seconds), "request_id long, client long, admitted boolean", "kept array<double>", "append", "NoTimeout")
+
+def rate_limit_stream(requests: DataFrame, limit: int, seconds: float = 60, late: str = "1 hour") -> DataFrame:
+    """The streaming form of rate_limit, of requests whose ts is a timestamp; those later than `late` behind the newest are dropped.
+
+    State expires: when the watermark has passed a client's window, nothing is kept of it. Needs the state store
+    STATE_STORE; run_available() starts streams with it.
+    """
+    timed = requests.withWatermark("ts", late).select("request_id", "client", "ts", (F.unix_micros("ts") / 1e6).alias("t"))
+    out = StructType([*(requests.schema[c] for c in ("request_id", "client")), StructField("admitted", BooleanType())])
+    return timed.groupBy("client").transformWithStateInPandas(Admissions(limit, seconds), out, "append", "eventTime")
 
 
 def event_counts(events: DataFrame, window: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -71,9 +102,15 @@ def event_counts(events: DataFrame, window: str = "1 minute", late: str = "2 min
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over all that is there into a Parquet table."""
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    """Runs a stream over all that is there into a Parquet table, with the state store that timers need; the session's own setting is put back."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, STATE_STORE)
+    try:
+        q = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def fold_steps(events: DataFrame) -> DataFrame:
