@@ -12,20 +12,21 @@ from granary.session import table, text_table
 
 # Lines that the tables don't have: printed headers, headings, bullets, endpoints and the like.
 LINES = [
-    (1, "1/2/2024, 3:04 PM Guide"), (2, "  Page 3 of 9 https://x"), (3, "Plain words here"), (4, "# Title"), (5, "###### Deep title"), (6, "Summary"), (7, "Job"), (8, "Getting Started"),
-    (9, "class Foo bar"), (10, "Ends with colon:"), (11, "lower case start"), (12, "A" + "b" * 70), (13, ""), (14, "  Two  words  "), (15, "Éclair Time"), (16, "#NoBlank"), (17, "Case closed"),
+    "1/2/2024, 3:04 PM Guide", "  Page 3 of 9 https://x", "Plain words here", "# Title", "###### Deep title", "Summary", "Job", "Getting Started", "class Foo bar",
+    "Ends with colon:", "lower case start", "A" + "b" * 70, "", "  Two  words  ", "Éclair Time", "#NoBlank", "Case closed",
 ]
-_LINES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LINES) + ") t(id, line)"
-ITEMS = [(1, "• one • two ▪ three"), (2, "no bullets"), (3, "lead ‣ a ∙ ∙ b "), (4, "●"), (5, "end ●")]
-_ITEMS = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ITEMS) + ") t(id, line)"
-
-
 def docs(spark, sf_dir):
     return text_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
 
 
-def _lines(spark, rows=LINES):
-    return spark.createDataFrame(rows, "id int, line string")
+def _lines(spark, sf_dir):
+    """doc_id, no, line of all documents, each with one of LINES after its text."""
+    planted = F.element_at(F.array(*(F.lit(t) for t in LINES)), (F.col("doc_id") % len(LINES) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.concat_ws("\n", "content", planted), "\n")).alias("no", "line"))
+
+
+#: _lines() in DuckDB.
+_LINES = "(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS no FROM (SELECT doc_id, string_split(text || chr(10) || list_extract([" + ", ".join(f"'{t}'" for t in LINES) + f"], CAST(doc_id % {len(LINES)} + 1 AS BIGINT)), chr(10)) AS l FROM documents))"
 
 
 _HEADING = """(regexp_matches(l, '^#{1,6}\\s+.') OR (length(l) BETWEEN 1 AND 60 AND regexp_matches(l, '^\\p{Lu}') AND NOT regexp_matches(l, '[.:,;]$') AND (regexp_matches(l, '\\s') OR lower(l) IN (""" + S.quoted(T.SECTION_WORDS) + """))
@@ -46,9 +47,10 @@ def norm_ws(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.normalize_space(F.col("content")).alias("text"))
 
 
-@query("heading_flag", f"SELECT id, {_HEADING} AS heading FROM (SELECT id, {_STRIP.format('line')} AS l FROM {_LINES})")
+@query("heading_flag", f"SELECT doc_id, CAST(no AS INT) AS no, {_HEADING} AS heading FROM (SELECT doc_id, no, {_STRIP.format('line')} AS l FROM {_LINES})")
 def heading_flag(spark, sf_dir):
-    return _lines(spark).select("id", T.looks_like_heading(F.col("line")).alias("heading"))
+    """Which lines are headings, of all documents and of lines planted among them."""
+    return _lines(spark, sf_dir).select("doc_id", "no", T.looks_like_heading(F.col("line")).alias("heading"))
 
 
 @query("headings", f"WITH {_HEADINGS} SELECT * FROM h")
@@ -73,9 +75,17 @@ def sections(spark, sf_dir):
     return I.sections(docs(spark, sf_dir))
 
 
-@query("bullet_items", f"SELECT id, CAST(start AS INT) AS start, item FROM (SELECT id, item, coalesce(sum(length(item) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, n FROM (SELECT id, unnest(regexp_split_to_array(line, '[•●▪‣∙]')) AS item, generate_subscripts(regexp_split_to_array(line, '[•●▪‣∙]'), 1) AS i, len(regexp_split_to_array(line, '[•●▪‣∙]')) AS n FROM {_ITEMS})) WHERE n = 1 OR NOT regexp_matches(item, '^\\s*$')")
+#: Documents hold no bullets, so some sentence ends and blanks become bullets.
+_ITEMS = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, '. ', ' • ') WHEN 2 THEN replace(text, ',', ' ‣ ∙ ') || ' ●' ELSE '▪' || replace(text, chr(10), '▪') END AS line FROM documents)"
+
+
+@query("bullet_items", f"SELECT doc_id, CAST(start AS INT) AS start, item FROM (SELECT doc_id, item, coalesce(sum(length(item) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, n FROM (SELECT doc_id, unnest(regexp_split_to_array(line, '[•●▪‣∙]')) AS item, generate_subscripts(regexp_split_to_array(line, '[•●▪‣∙]'), 1) AS i, len(regexp_split_to_array(line, '[•●▪‣∙]')) AS n FROM {_ITEMS})) WHERE n = 1 OR NOT regexp_matches(item, '^\\s*$')")
 def bullet_items(spark, sf_dir):
-    return _lines(spark, ITEMS).select("id", F.explode(I.bullet_items(F.col("line"))).alias("i")).select("id", "i.start", "i.item")
+    """Items of all documents, in whose texts bullets have been planted."""
+    i, t = F.col("doc_id") % 4, F.col("content")
+    put = lambda old, new: F.replace(t, F.lit(old), F.lit(new))
+    line = F.when(i == 0, t).when(i == 1, put(". ", " • ")).when(i == 2, F.concat(put(",", " ‣ ∙ "), F.lit(" ●"))).otherwise(F.concat(F.lit("▪"), put("\n", "▪")))
+    return docs(spark, sf_dir).select("doc_id", F.explode(I.bullet_items(line)).alias("i")).select("doc_id", "i.start", "i.item")
 
 
 def _pieces_sql() -> str:

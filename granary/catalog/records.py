@@ -77,13 +77,12 @@ def json_migrate(spark, sf_dir):
     return files.migrate_json(spark, files.put_text(spark, "traces.json", text), files.shared_path(spark, "traces.jsonl"), "id int, name string")
 
 
-OPENAPI = "openapi: 3.0.0\ninfo:\n  title: x\n  /not/a/path: 1\npaths:\n  /a/{id}:\n    get:\n      /deep: 1\n  # note\n\n  \"/b\":\n    post: {}\n  /c/d-e:\n    get: {}\ncomponents:\n  /late: 1\n"
-
-
-@query("openapi_paths", "SELECT * FROM (VALUES ('/a/{id}'), ('/b'), ('/c/d-e')) t(path)")
+@query("openapi_paths", """SELECT page_id, unnest(['/a/{id}', '/p' || page_id, '/c/' || replace(replace(replace(url, ':', ''), chr(39), ''), '"', '')]) AS path FROM pages""")
 def openapi_paths(spark, sf_dir):
-    """The path templates of a specification file."""
-    return files.read_whole(spark, files.put_text(spark, "openapi.yaml", OPENAPI)).select(F.explode(R.openapi_paths(F.col("content"))).alias("path"))
+    """The path templates of specifications, one for each page."""
+    name = F.translate("url", ":'\"", "")
+    spec = F.concat(F.lit("openapi: 3.0.0\ninfo:\n  title: x\n  /not/a/path: 1\npaths:\n  /a/{id}:\n    get:\n      /deep: 1\n  # note\n\n  \"/p"), "page_id", F.lit("\":\n    post: {}\n  /c/"), name, F.lit(":\n    get: {}\ncomponents:\n  /late: 1\n"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(R.openapi_paths(spec)).alias("path"))
 
 
 @query("pair_pointer", "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'baseline' ELSE 'improved' END AS role, o_orderpriority AS strategy, count(*) AS cases FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 2")
@@ -209,21 +208,29 @@ def retry_plan(spark, sf_dir):
 _K = (1, 3, 5, 20)
 
 
-@query("config_widths", f"""SELECT strategy, k, CASE WHEN fused THEN greatest(4 * k, 15) ELSE k END AS width, CASE WHEN strategy = 'hybrid-rerank-mmr' THEN greatest(3 * k, 10) ELSE k END AS rerank_n, k AS final, rr AS reranks
-FROM (VALUES ('vector', false, false), ('bm25', false, false), ('hybrid', false, false), ('hybrid-rrf', true, false), ('hybrid-rerank', true, true), ('hybrid-rerank-mmr', true, true)) s(strategy, fused, rr), (VALUES {", ".join(f"({k})" for k in _K)}) t(k)""")
+def _settings(spark, sf_dir, rows, schema, n):
+    """Each event with one of n settings, in turn."""
+    known = spark.createDataFrame(rows, f"no int, {schema}")  # a stated list
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % n).cast("int").alias("no")).join(F.broadcast(known), "no").drop("no")
+
+
+@query("config_widths", f"""SELECT event_id, strategy, k, CASE WHEN fused THEN greatest(4 * k, 15) ELSE k END AS width, CASE WHEN strategy = 'hybrid-rerank-mmr' THEN greatest(3 * k, 10) ELSE k END AS rerank_n, k AS final, rr AS reranks
+FROM events JOIN (VALUES (0, 'vector', false, false), (1, 'bm25', false, false), (2, 'hybrid', false, false), (3, 'hybrid-rrf', true, false), (4, 'hybrid-rerank', true, true), (5, 'hybrid-rerank-mmr', true, true)) s(i, strategy, fused, rr) ON i = (event_id % 24) // 4
+JOIN (VALUES {", ".join(f"({i}, {k})" for i, k in enumerate(_K))}) t(j, k) ON j = event_id % 4""")
 def config_widths(spark, sf_dir):
-    """How many rows each stage asks for, by strategy."""
-    rows = [(s, k, c.vector.top_k, c.reranker.top_n, c.mmr.final_count, c.reranker.enabled) for s in C.STRATEGIES for k in _K for c in [C.default_config(s, k)]]
-    return spark.createDataFrame(rows, "strategy string, k int, width int, rerank_n int, final int, reranks boolean")
+    """How many rows each stage asks for, by the strategy and the number that a request gives."""
+    made = [(s, k, C.default_config(s, k)) for s in C.STRATEGIES for k in _K]
+    rows = [(i, s, k, c.vector.top_k, c.reranker.top_n, c.mmr.final_count, c.reranker.enabled) for i, (s, k, c) in enumerate(made)]
+    return _settings(spark, sf_dir, rows, "strategy string, k int, width int, rerank_n int, final int, reranks boolean", len(rows))
 
 
-@query("config_overrides", "SELECT * FROM (VALUES ('default', 20, 'cosine', 0.0::DOUBLE, true), ('vector block', 7, 'cosine', 0.0::DOUBLE, true), ('reranker block', 20, 'cosine', 0.0::DOUBLE, false)) t(change, top_k, similarity, threshold, reranks)")
+@query("config_overrides", "SELECT event_id, change, top_k, similarity, threshold, reranks FROM events JOIN (VALUES (0, 'default', 20, 'cosine', 0.0::DOUBLE, true), (1, 'vector block', 7, 'cosine', 0.0::DOUBLE, true), (2, 'reranker block', 20, 'cosine', 0.0::DOUBLE, false)) t(i, change, top_k, similarity, threshold, reranks) ON i = event_id % 3")
 def config_overrides(spark, sf_dir):
-    """A block that is given replaces the whole block: what it doesn't say has its class default."""
+    """Requests with blocks of their own: a block that is given replaces the whole block, and what it doesn't say has its class default."""
     base = C.default_config("hybrid-rerank", 5)
     made = {"default": base, "vector block": base.overridden(vector=C.VectorConfig(top_k=7)), "reranker block": base.overridden(reranker=C.RerankConfig(top_n=3))}
-    rows = [(n, c.vector.top_k, c.vector.similarity, c.vector.similarity_threshold, c.runs("rerank")) for n, c in made.items()]
-    return spark.createDataFrame(rows, "change string, top_k int, similarity string, threshold double, reranks boolean")
+    rows = [(i, n, c.vector.top_k, c.vector.similarity, c.vector.similarity_threshold, c.runs("rerank")) for i, (n, c) in enumerate(made.items())]
+    return _settings(spark, sf_dir, rows, "change string, top_k int, similarity string, threshold double, reranks boolean", len(rows))
 
 
 @query("kb_search_clamp", "SELECT event_id, greatest(1, least(k, 100)) AS top_k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) * 3 - 20 AS k FROM events)")

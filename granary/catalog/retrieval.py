@@ -195,10 +195,12 @@ def mmr_rejected(spark, sf_dir):
     return R.mmr(_vector(spark, sf_dir, k=15), c).where("NOT selected").select("query_id", "chunk_id", "score", "rank", "relevance")
 
 
-@query("strategy_matrix", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', " + ", ".join(str(C.default_config(s).runs(x)).lower() for x in C.STAGES) + ")" for s in C.STRATEGIES) + ") t(strategy, vector, bm25, rrf, rerank, mmr)")
+@query("strategy_matrix", "SELECT event_id, strategy, vector, bm25, rrf, rerank, mmr FROM events JOIN (VALUES " + ", ".join(f"({i}, '{s}', " + ", ".join(str(C.default_config(s).runs(x)).lower() for x in C.STAGES) + ")" for i, s in enumerate(C.STRATEGIES)) + ") t(i, strategy, vector, bm25, rrf, rerank, mmr) ON i = event_id % 6")
 def strategy_matrix(spark, sf_dir):
-    rows = [(s, *(C.default_config(s).runs(x) for x in C.STAGES)) for s in C.STRATEGIES]
-    return spark.createDataFrame(rows, "strategy string, vector boolean, bm25 boolean, rrf boolean, rerank boolean, mmr boolean")
+    """Which stages run for each request, by its strategy."""
+    rows = [(i, s, *(C.default_config(s).runs(x) for x in C.STAGES)) for i, s in enumerate(C.STRATEGIES)]
+    known = spark.createDataFrame(rows, "no int, strategy string, vector boolean, bm25 boolean, rrf boolean, rerank boolean, mmr boolean")  # a stated list
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(rows)).cast("int").alias("no")).join(F.broadcast(known), "no").drop("no")
 
 
 # --- whole runs ----------------------------------------------------------------------------------------------------
