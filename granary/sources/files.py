@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -86,19 +88,26 @@ def migrate_json(spark: SparkSession, path: str, target: str, schema: str) -> Da
 
 
 def put_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Replaces a small file so that readers see the old text or the new one, never a part."""
+    """Replaces a small file so that readers see the old text or the new one, never a part and never nothing: a fresh file is
+    renamed over it in one step, by the operating system for local paths and else by the file system's own overwriting rename."""
     jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fresh = fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(fresh)
+    fresh = f"{path}.{uuid.uuid4().hex}.tmp"
+    at = jvm.org.apache.hadoop.fs.Path(fresh)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        here, there = (jvm.org.apache.hadoop.fs.Path(p).toUri().getPath() for p in (path, fresh))
+        Path(there).parent.mkdir(parents=True, exist_ok=True)
+        Path(there).write_text(text, encoding="utf-8")
+        Path(here).with_name(f".{Path(here).name}.crc").unlink(missing_ok=True)  # the old text's; without one readers don't check
+        os.replace(there, here)
+        return
+    out = fs.create(at)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    at = fs_path(path)
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(fresh, at):
-        raise OSError(f"could not replace {path}")
+    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.java.lang.Enum.valueOf(rename, "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(path), over)
 
 
 def write_pair(spark: SparkSession, folder: str, baseline: str, improved: str) -> None:
