@@ -185,7 +185,10 @@ class WarcReader(DataSourceReader):
             with fs.open_input_stream(listed) as f:
                 names = json.loads(f.read())
         else:
-            names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc.gz",)))
+            found = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
+            if plain := [x for x in found if x.endswith(".warc")]:
+                raise ValueError(f"{len(plain)} archives of {self.path} aren't compressed, such as {plain[0]}: they have to be gzip files with a member for each record")
+            names = found
         return [FilePartition(f"{base}/{x}") for x in names]
 
     def read(self, partition: FilePartition):

@@ -79,3 +79,13 @@ def test_many_copies(spark):
     got = {r.page_id: r for r in W.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all((r.record_type == "revisit") == (i % 3 != 0 and i != 1) and r.refers_to == (1 if i % 3 and i != 1 else None) for i, r in got.items())
     assert len(got) == 600 and hashlib.sha1(b"copy").digest() and got[2].payload_bytes == 4
+
+
+def test_plain_archives_are_refused_instead_of_left_out(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    with pytest.raises(Exception, match="aren't compressed"):
+        W.read_warc(spark, f"file://{tmp_path}").collect()
+    (tmp_path / "a.warc").unlink()
+    assert W.read_warc(spark, f"file://{tmp_path}").count() == 0
