@@ -213,7 +213,7 @@ def packs(docs: DataFrame) -> DataFrame:
                 yield counted(held)
 
     common.small_batches(docs.sparkSession)
-    rows = dealt(docs).select("doc_id", "text", "deal", "sub", "round").mapInArrow(tokenise, PACKS)
+    rows = dealt(docs).select("doc_id", "text", "deal", "sub", "round").mapInArrow(hashing.forgetting(tokenise), PACKS)
     return common.written(rows, "scoring-packs", "round")
 
 
@@ -427,7 +427,7 @@ def _round(rows: DataFrame, known: Vocabulary, w: list[np.ndarray]) -> list[np.n
 
     fields = [f"c{c}" for c in range(COLUMNS)]
     # a part is far smaller than a row group, so one task reads it whole
-    sums = rows.sortWithinPartitions("deal", "sub", "seq").mapInArrow(fit, ", ".join(["i long", "n long", *(f"{c} long" for c in fields)])).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in fields))
+    sums = rows.sortWithinPartitions("deal", "sub", "seq").mapInArrow(hashing.forgetting(fit), ", ".join(["i long", "n long", *(f"{c} long" for c in fields)])).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in fields))
     found = sums.collect()  # height rows
     if not found:
         return w
@@ -483,7 +483,7 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(tails)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pack["rows"], pa.int64()), pa.array(pack["ids"], pa.int64()), pa.array(n), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(rare))], names=["row", "doc_id", "n", "value", "tail"])
 
-    rows = common.written(made.where("round >= 0").mapInArrow(score, "row long, doc_id long, n long, value double, tail array<long>"), "scoring-rows")
+    rows = common.written(made.where("round >= 0").mapInArrow(hashing.forgetting(score), "row long, doc_id long, n long, value double, tail array<long>"), "scoring-rows")
     # tokens that aren't held are rare ones, so no key of this join is hot
     rare = rows.select("row", F.explode("tail").alias("hash")).join(table.where(~held).select("hash", F.log(F.col("n").cast("double")).alias("value")), "hash")
     parts = rows.select("row", "doc_id", "n", "value").unionByName(rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), "value"))
