@@ -1,11 +1,13 @@
-"""Tokens as hash buckets, remembered by each worker, for the numpy models of this subpackage."""
+"""Tokens as numbers, remembered by each task, for the numpy models of this subpackage."""
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -15,50 +17,61 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 REMEMBERED = 200_000
 
 
-class Buckets(dict):
-    """Two-byte bucket numbers by token."""
+def number(token: str) -> int:
+    """64 bits of a token, which stand for it in tables."""
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-    def __init__(self, buckets: int) -> None:
-        if not 0 < buckets <= 65536:
-            raise ValueError("bucket numbers have two bytes")
-        self.buckets = buckets
+
+class Words(dict):
+    """Two-byte rows by token: tokens that are held have a row each, all others share the rows after those."""
+
+    def __init__(self, held: np.ndarray, shared: int) -> None:
+        if shared < 1 or len(held) + shared > 65536:
+            raise ValueError("row numbers have two bytes")
+        self.row = {h: i for i, h in enumerate(held.tolist())}
+        self.shared = shared
 
     def __missing__(self, token: str) -> bytes:
-        out = self[token] = (zlib.crc32(token.encode("utf-8", "surrogatepass")) % self.buckets).to_bytes(2, "little")
+        n = number(token)
+        out = self[token] = self.row.get(n, len(self.row) + n % self.shared).to_bytes(2, "little")
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        """Buckets of a text's tokens in order; null and empty texts have none."""
+        """Rows of a text's tokens in order; null and empty texts have none."""
         if len(self) > REMEMBERED:
             self.clear()
         return np.frombuffer(b"".join(map(self.__getitem__, TOKEN.findall(text or ""))), dtype="<u2")
 
 
-_KNOWN: dict[int, Buckets] = {}
+def token_counts(docs):
+    """(hash, n) of the distinct tokens of docs(text), counted where the documents are and then summed."""
 
+    def count(batches):
+        import pyarrow as pa
 
-def buckets(n: int) -> Buckets:
-    """This worker's buckets."""
-    if n not in _KNOWN:
-        _KNOWN[n] = Buckets(n)
-    return _KNOWN[n]
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(map(number, known), pa.int64()), pa.array(known.values(), pa.int64())], names=["hash", "n"])
 
+        known = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                known.update(TOKEN.findall(t or ""))
+                if len(known) > REMEMBERED:
+                    yield sent()
+                    known.clear()
+        yield sent()
 
-def forget() -> None:
-    """Empties this worker's memories of tokens."""
-    for known in _KNOWN.values():
-        known.clear()
-    common.release()
+    return docs.select("text").mapInArrow(forgetting(count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def forgetting(f):
-    """A function over batches that leaves no remembered tokens behind, so that an idle worker holds little memory."""
+    """A function over batches after which the worker gives its free memory back, so that an idle one holds little."""
 
     def run(batches):
         try:
             yield from f(batches)
         finally:
-            forget()
+            common.release()
 
     return run
 

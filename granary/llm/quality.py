@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network with
 temperature-calibrated probabilities.
 
-Every token bucket has a fixed sparse ternary index vector; a bucket's word vector is the sum of the index vectors of
-its neighbours over the whole corpus. A document is the mean of its word vectors, the mean absolute difference between
-neighbours and the logarithm of its length. The network is fitted on a bounded sample of labelled rows (`fit_rows`).
+A token's index vector is sparse, ternary and follows from the token alone; its word vector is the sum of the index
+vectors of its neighbours, two on each side, over the whole corpus. All tokens are counted into a written table; the HELD
+most frequent ones have a vector each, rarer ones share SHARED vectors by their hashes. A document is the mean of its
+word vectors, the mean absolute difference between neighbours and the logarithm of its length. The network is fitted on a
+bounded sample of labelled rows (`fit_rows`).
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common, hashing
 
-BUCKETS = 4096
+#: Tokens with a vector each, and vectors that all rarer tokens share; together they are what a task holds.
+HELD = 61_440
+SHARED = 4096
+#: Neighbours on each side that a token's vector is made of.
+WINDOW = 2
 DIM = 32
 NONZERO = 4
 #: Labelled rows that the network is fitted on, at most; those with the smallest hashes of doc_id.
@@ -26,39 +32,60 @@ SEED = 7
 SCORE = "granary quality score \u2022"
 
 
-def index_vectors(buckets: int = BUCKETS, dim: int = DIM) -> np.ndarray:
-    """(buckets, NONZERO) places in which a bucket's index vector is +1 (first half) or -1."""
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(dim)[:NONZERO] for _ in range(buckets)]).astype(np.int64)
+def index_vectors(hashes: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """(hashes, NONZERO) places in which the index vector of each hash is +1 (first half) or -1: those of the least mixed values."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.int64).view(np.uint64)[:, None] + (np.arange(dim, dtype=np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.argsort(x ^ (x >> np.uint64(31)), axis=1, kind="stable")[:, :NONZERO].astype(np.int64)
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS, DIM) unit word vectors of docs(text). Each task sends one row for each bucket; sums are whole numbers, so reruns agree."""
-    places = index_vectors()
+class WordVectors:
+    """Hashes of the held tokens in ascending order, and the unit vectors of their rows and of the shared ones."""
+
+    def __init__(self, held: np.ndarray, vectors: np.ndarray) -> None:
+        self.held, self.vectors = held, vectors
+
+    def words(self) -> hashing.Words:
+        return hashing.Words(self.held, SHARED)
+
+
+def frequent_tokens(docs: DataFrame) -> np.ndarray:
+    """Hashes of the HELD most frequent tokens of docs(text) at most, ascending; all are counted into a written table."""
+    table = common.written(hashing.token_counts(docs), "quality-tokens")
+    top = table.where(common.frequent(table, "hash", "n", HELD)).select("hash").toArrow()
+    common.drop_written(table)
+    return np.sort(top.column("hash").to_numpy())
+
+
+def word_vectors(docs: DataFrame) -> WordVectors:
+    """Word vectors of docs(text). Each task sends one row for each vector; sums are whole numbers, so reruns agree."""
+    common.small_batches(docs.sparkSession)
+    held = frequent_tokens(docs)
+    rows = len(held) + SHARED
+    places = index_vectors(np.concatenate([held, np.arange(SHARED)]))
 
     def gather(batches):
         import pyarrow as pa
 
-        total = np.zeros(BUCKETS * DIM, np.float64)
+        total, known = np.zeros(rows * DIM, np.int64), hashing.Words(held, SHARED)
         for b in batches:
-            _sum_batch(b.column(0).to_pylist(), total, places)
-        rows = total.reshape(BUCKETS, DIM)
-        keep = np.flatnonzero(np.abs(rows).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), *(pa.array(rows[keep, d], pa.float64()) for d in range(DIM))], names=["bucket", *(f"c{d}" for d in range(DIM))])
-
-    fields = ", ".join(f"c{d} double" for d in range(DIM))
-    common.small_batches(docs.sparkSession)
-    sums = docs.select("text").mapInArrow(hashing.forgetting(gather), f"bucket long, {fields}").groupBy("bucket").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM)))
-    out = np.zeros((BUCKETS, DIM))
-    for r in sums.collect():  # at most one row for each bucket
-        out[r[0]] = r[1:]
+            _sum_batch(b.column(0).to_pylist(), total, places, known)
+        sums = total.reshape(rows, DIM)
+        keep = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), *(pa.array(sums[keep, d], pa.int64()) for d in range(DIM))], names=["row", *(f"c{d}" for d in range(DIM))])
+
+    fields = ", ".join(f"c{d} long" for d in range(DIM))
+    sums = docs.select("text").mapInArrow(hashing.forgetting(gather), f"row long, {fields}").groupBy("row").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM))).toArrow()
+    out = np.zeros((rows, DIM))  # at most one row for each vector
+    out[sums.column("row").to_numpy()] = np.stack([sums.column(f"c{d}").to_numpy() for d in range(DIM)], axis=1)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return WordVectors(held, (out / np.where(norm > 0, norm, 1)).astype(np.float32))
 
 
-def _sum_batch(texts, total: np.ndarray, places: np.ndarray) -> None:
-    """Adds to total (BUCKETS * DIM) the index vectors of both neighbours of every token; texts are laid end to end, without the pairs across two texts."""
-    known, dim = hashing.buckets(BUCKETS), DIM
+def _sum_batch(texts, total: np.ndarray, places: np.ndarray, known: hashing.Words) -> None:
+    """Adds to total (rows * DIM) the index vectors of the neighbours of every token; texts are laid end to end, without the pairs across two texts."""
     own = [x for t in texts if len(x := known.ids(t)) > 1]
     at = 0
     while at < len(own):
@@ -68,24 +95,20 @@ def _sum_batch(texts, total: np.ndarray, places: np.ndarray) -> None:
             n += len(own[at])
             at += 1
         ids = np.concatenate(group).astype(np.int64)
-        joint = np.zeros(len(ids), bool)
-        joint[np.cumsum([len(x) for x in group])[:-1]] = True
+        of = np.repeat(np.arange(len(group)), [len(x) for x in group])
         for lo, hi in hashing.pieces(ids, PIECE):
-            x, cut = ids[lo : hi + 1], joint[lo : hi + 1]
-            a, b = x[:-1][~cut[1:]], x[1:][~cut[1:]]
-            if not len(a):
-                continue
-            for j in range(NONZERO):
-                sums = np.bincount(np.concatenate([a * dim + places[b, j], b * dim + places[a, j]]), minlength=len(total))
-                if j < NONZERO // 2:
-                    total += sums
-                else:
-                    total -= sums
-
-
-def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+            pairs = []
+            for k in range(1, WINDOW + 1):
+                x, t = ids[lo : hi + k], of[lo : hi + k]
+                same = t[:-k] == t[k:]
+                a, b = x[:-k][same], x[k:][same]
+                pairs += [(a, b), (b, a)]
+            for half, sign in ((range(NONZERO // 2), 1), (range(NONZERO // 2, NONZERO), -1)):
+                total += sign * np.bincount(np.concatenate([a * DIM + places[b, j] for a, b in pairs for j in half]), minlength=len(total))
+
+
+def features(texts: list[str | None], vectors: np.ndarray, known: hashing.Words) -> np.ndarray:
     """(texts, 2 * DIM + 1) features; an empty text has zeros."""
-    known = hashing.buckets(BUCKETS)
     ids = [known.ids(t) for t in texts]
     out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
     at = 0
@@ -167,7 +190,7 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, Network]:
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[WordVectors, Network]:
     """Word vectors of all documents, and the network fitted on labelled ones that aren't held out.
 
     A document's label is its smallest non-null quality; a fifth of the sample sets the temperature. Without any
@@ -181,8 +204,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
     def read(batches):
         import pyarrow as pa
 
+        known = vectors.words()
         for b in batches:
-            x = features(b.column(2).to_pylist(), vectors)
+            x = features(b.column(2).to_pylist(), vectors.vectors, known)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     # at most fit_rows ids
@@ -196,7 +220,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tupl
     return vectors, Network(x, y, np.array([r.doc_id % 5 == 4 for r in rows], bool))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[WordVectors, Network]) -> DataFrame:
     """Adds SCORE (double, 0 to 1) to docs, which must have text; other columns stay."""
     vectors, network = model
     names = [*docs.columns, SCORE]
@@ -205,8 +229,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
     def score(batches):
         import pyarrow as pa
 
+        known = vectors.words()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.score(features(b.column(at).to_pylist(), vectors)), pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.score(features(b.column(at).to_pylist(), vectors.vectors, known)), pa.float64())], names=names)
 
     common.small_batches(docs.sparkSession)
     return docs.mapInArrow(hashing.forgetting(score), StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))

@@ -24,29 +24,43 @@ def test_scores_need_no_held_out_label(spark):
 
 
 def test_features_against_a_plain_model():
+    held = np.sort([Q.hashing.number(w) for w in ("a", "b", "x", ".")])
     rng = np.random.default_rng(0)
-    vectors = rng.normal(size=(Q.BUCKETS, Q.DIM)).astype(np.float32)
+    vectors = rng.normal(size=(len(held) + Q.SHARED, Q.DIM)).astype(np.float32)
     texts = [None, "", "one", "a b c. d!! " * 50, "x y " * 90_000, "z q r"]
-    got = Q.features(texts, vectors)
+    got = Q.features(texts, vectors, Q.hashing.Words(held, Q.SHARED))
     for t, x in zip(texts, got, strict=True):
-        ids = [zlib.crc32(w.encode()) % Q.BUCKETS for w in Q.hashing.TOKEN.findall(t or "")]
+        ids = [row(w, held.tolist()) for w in Q.hashing.TOKEN.findall(t or "")]
         v = vectors[ids].astype(float) if ids else np.zeros((0, Q.DIM))
         want = np.concatenate([v.mean(axis=0) if ids else np.zeros(Q.DIM), np.abs(np.diff(v, axis=0)).sum(axis=0) / max(1, len(ids) - 1) if ids else np.zeros(Q.DIM), [np.log1p(len(ids)) / 10]])
         assert np.allclose(x, want, atol=1e-3)
 
 
-def test_word_vectors_against_a_plain_model(spark):
-    texts = ["a b a c", "", "d", "b c " * 70_000, "a  b"]
-    got = Q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
-    places, want = Q.index_vectors(), np.zeros((Q.BUCKETS, Q.DIM))
-    for t in texts:
-        ids = [zlib.crc32(w.encode()) % Q.BUCKETS for w in t.split()]
-        for x, y in zip(ids, ids[1:]):
-            for p, q in ((x, y), (y, x)):
-                for j, at in enumerate(places[q]):
-                    want[p, at] += 1 if j < Q.NONZERO // 2 else -1
-    norm = np.linalg.norm(want, axis=1, keepdims=True)
-    assert np.allclose(got, want / np.where(norm > 0, norm, 1), atol=1e-6)
+def row(word, held):
+    n = Q.hashing.number(word)
+    return held.index(n) if n in held else len(held) + n % Q.SHARED
+
+
+def test_word_vectors_against_a_plain_model(spark, monkeypatch):
+    texts = ["a b a c", "", "d", "b c " * 70_000, "a  b", "e b", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = {r.hash: r.n for r in Q.hashing.token_counts(docs).collect()}
+    assert counts == {Q.hashing.number(w): n for w, n in {"a": 3, "b": 70_003, "c": 70_001, "d": 1, "e": 1}.items()}
+    for most, tokens in ((Q.HELD, "abcde"), (3, "abc"), (1, "b")):  # rarer tokens share vectors
+        monkeypatch.setattr(Q, "HELD", most)
+        got = Q.word_vectors(docs)
+        held = sorted(Q.hashing.number(w) for w in tokens)
+        assert got.held.tolist() == held
+        places, want = Q.index_vectors(np.array([*held, *range(Q.SHARED)])), np.zeros((len(held) + Q.SHARED, Q.DIM))
+        assert all(len(set(p)) == Q.NONZERO for p in places.tolist())
+        for t in texts:
+            ids = [row(w, held) for w in (t or "").split()]
+            for i, x in enumerate(ids):
+                for y in ids[max(0, i - Q.WINDOW) : i] + ids[i + 1 : i + 1 + Q.WINDOW]:
+                    for j, at in enumerate(places[y]):
+                        want[x, at] += 1 if j < Q.NONZERO // 2 else -1
+        norm = np.linalg.norm(want, axis=1, keepdims=True)
+        assert np.allclose(got.vectors, want / np.where(norm > 0, norm, 1), atol=1e-6)
 
 
 def test_odd_rows(spark):
