@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,15 +19,16 @@ REMEMBERED = 200_000
 
 def number(token: str) -> int:
     """64 bits of a token, which stand for it in tables."""
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    n = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+    return n - (n >> 63 << 64)
 
 
 class Words(dict):
     """Two-byte rows by token: tokens that are held have a row each, all others share the rows after those."""
 
     def __init__(self, held: np.ndarray, shared: int) -> None:
-        if shared < 1 or len(held) + shared > 65536:
-            raise ValueError("row numbers have two bytes")
+        if shared < 1 or len(held) + shared >= 65536:
+            raise ValueError("row numbers have two bytes, and one number is kept free")
         self.row = {h: i for i, h in enumerate(held.tolist())}
         self.shared = shared
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import common, hashing
 
 #: Tokens with a vector each, and vectors that all rarer tokens share; together they are what a task holds.
-HELD = 61_440
+HELD = 61_439
 SHARED = 4096
 #: Neighbours on each side that a token's vector is made of.
 WINDOW = 2
@@ -27,6 +27,8 @@ NONZERO = 4
 FIT_ROWS = 20_000
 HIDDEN = 32
 PIECE = 1 << 17
+#: Tokens whose vectors are looked at together, few enough for a core's cache.
+LOOK = 1 << 13
 SEED = 7
 #: A name that no column of docs has.
 SCORE = "granary quality score \u2022"
@@ -41,8 +43,17 @@ def index_vectors(hashes: np.ndarray, dim: int = DIM) -> np.ndarray:
     return np.argsort(x ^ (x >> np.uint64(31)), axis=1, kind="stable")[:, :NONZERO].astype(np.int64)
 
 
+def index_signs(held: np.ndarray) -> np.ndarray:
+    """(rows + 1, DIM) index vectors of the held tokens, of the shared rows by their number, and zeros for what stands between two texts."""
+    places = index_vectors(np.concatenate([held, np.arange(SHARED)]))
+    out = np.zeros((len(places) + 1, DIM), np.int8)
+    for j in range(NONZERO):
+        out[np.arange(len(places)), places[:, j]] = 1 if j < NONZERO // 2 else -1
+    return out
+
+
 class WordVectors:
-    """Hashes of the held tokens in ascending order, and the unit vectors of their rows and of the shared ones."""
+    """Hashes of the held tokens, the most frequent first, and the unit vectors of their rows and of the shared ones."""
 
     def __init__(self, held: np.ndarray, vectors: np.ndarray) -> None:
         self.held, self.vectors = held, vectors
@@ -52,11 +63,12 @@ class WordVectors:
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Hashes of the HELD most frequent tokens of docs(text) at most, ascending; all are counted into a written table."""
+    """Hashes of the HELD most frequent tokens of docs(text) at most, by falling counts; all are counted into a written table."""
     table = common.written(hashing.token_counts(docs), "quality-tokens")
-    top = table.where(common.frequent(table, "hash", "n", HELD)).select("hash").toArrow()
+    top = table.where(common.frequent(table, "hash", "n", HELD)).toArrow()
     common.drop_written(table)
-    return np.sort(top.column("hash").to_numpy())
+    hashes, n = top.column("hash").to_numpy(), top.column("n").to_numpy()
+    return hashes[np.lexsort((hashes, -n))]
 
 
 def word_vectors(docs: DataFrame) -> WordVectors:
@@ -64,16 +76,15 @@ def word_vectors(docs: DataFrame) -> WordVectors:
     common.small_batches(docs.sparkSession)
     held = frequent_tokens(docs)
     rows = len(held) + SHARED
-    places = index_vectors(np.concatenate([held, np.arange(SHARED)]))
+    signs = index_signs(held)
 
     def gather(batches):
         import pyarrow as pa
 
-        total, known = np.zeros(rows * DIM, np.int64), hashing.Words(held, SHARED)
+        sums, known = np.zeros((rows + 1, DIM), np.int64), hashing.Words(held, SHARED)
         for b in batches:
-            _sum_batch(b.column(0).to_pylist(), total, places, known)
-        sums = total.reshape(rows, DIM)
-        keep = np.flatnonzero(sums.any(axis=1))
+            _sum_batch(b.column(0).to_pylist(), sums, signs, known)
+        keep = np.flatnonzero(sums[:rows].any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), *(pa.array(sums[keep, d], pa.int64()) for d in range(DIM))], names=["row", *(f"c{d}" for d in range(DIM))])
 
     fields = ", ".join(f"c{d} long" for d in range(DIM))
@@ -84,27 +95,35 @@ def word_vectors(docs: DataFrame) -> WordVectors:
     return WordVectors(held, (out / np.where(norm > 0, norm, 1)).astype(np.float32))
 
 
-def _sum_batch(texts, total: np.ndarray, places: np.ndarray, known: hashing.Words) -> None:
-    """Adds to total (rows * DIM) the index vectors of the neighbours of every token; texts are laid end to end, without the pairs across two texts."""
-    own = [x for t in texts if len(x := known.ids(t)) > 1]
-    at = 0
-    while at < len(own):
-        group, n = [], 0
-        while at < len(own) and (not group or n + len(own[at]) <= PIECE):
-            group.append(own[at])
-            n += len(own[at])
-            at += 1
-        ids = np.concatenate(group).astype(np.int64)
-        of = np.repeat(np.arange(len(group)), [len(x) for x in group])
-        for lo, hi in hashing.pieces(ids, PIECE):
-            pairs = []
-            for k in range(1, WINDOW + 1):
-                x, t = ids[lo : hi + k], of[lo : hi + k]
-                same = t[:-k] == t[k:]
-                a, b = x[:-k][same], x[k:][same]
-                pairs += [(a, b), (b, a)]
-            for half, sign in ((range(NONZERO // 2), 1), (range(NONZERO // 2, NONZERO), -1)):
-                total += sign * np.bincount(np.concatenate([a * DIM + places[b, j] for a, b in pairs for j in half]), minlength=len(total))
+def _sum_batch(texts, total: np.ndarray, signs: np.ndarray, known: hashing.Words) -> None:
+    """Adds to total (rows + 1, DIM) the index vectors of the neighbours of every token; texts are laid end to end with WINDOW places between them."""
+    edge = np.full(WINDOW, len(signs) - 1)
+    own, n = [edge], 0
+    for t in texts:
+        x = known.ids(t)
+        if len(x) > 1:
+            own += [x, edge]
+            n += len(x)
+        if n >= PIECE:
+            _sum_line(np.concatenate(own), total, signs)
+            own, n = [edge], 0
+    if n:
+        _sum_line(np.concatenate(own), total, signs)
+
+
+def _sum_line(line: np.ndarray, total: np.ndarray, signs: np.ndarray) -> None:
+    """The sums of one line, whose first and last WINDOW places are empty, in pieces of LOOK tokens."""
+    for lo, hi in hashing.pieces(line[WINDOW:-WINDOW], LOOK):
+        e = np.take(signs, line[lo : hi + 2 * WINDOW], axis=0)
+        n = hi - lo
+        near = np.zeros((n, DIM), np.int8)  # 2 * WINDOW at most
+        for k in (*range(WINDOW), *range(WINDOW + 1, 2 * WINDOW + 1)):
+            near += e[k : k + n]
+        x = line[lo + WINDOW : hi + WINDOW].astype(np.uint16)
+        order = np.argsort(x, kind="stable")  # two-byte keys are sorted by radix
+        x = np.take(x, order)
+        begin = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        total[x[begin]] += np.add.reduceat(np.take(near, order, axis=0), begin, axis=0, dtype=np.int32)
 
 
 def features(texts: list[str | None], vectors: np.ndarray, known: hashing.Words) -> np.ndarray:
@@ -114,14 +133,14 @@ def features(texts: list[str | None], vectors: np.ndarray, known: hashing.Words)
     at = 0
     while at < len(ids):
         group, n = [], 0
-        while at < len(ids) and (not group or n + len(ids[at]) <= PIECE):
+        while at < len(ids) and (not group or n + len(ids[at]) <= LOOK):
             group.append(at)
             n += len(ids[at])
             at += 1
         if len(group) == 1:
             x, k = ids[group[0]], group[0]
             mean, diff = np.zeros(DIM, np.float64), np.zeros(DIM, np.float64)
-            for lo, hi in hashing.pieces(x, PIECE):
+            for lo, hi in hashing.pieces(x, LOOK):
                 v = vectors[x[lo : hi + 1]]
                 mean += v[: hi - lo].sum(axis=0, dtype=np.float64)
                 diff += np.abs(np.diff(v, axis=0)).sum(axis=0, dtype=np.float64)

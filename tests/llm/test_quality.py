@@ -49,7 +49,7 @@ def test_word_vectors_against_a_plain_model(spark, monkeypatch):
     for most, tokens in ((Q.HELD, "abcde"), (3, "abc"), (1, "b")):  # rarer tokens share vectors
         monkeypatch.setattr(Q, "HELD", most)
         got = Q.word_vectors(docs)
-        held = sorted(Q.hashing.number(w) for w in tokens)
+        held = sorted((Q.hashing.number(w) for w in tokens), key=lambda h: (-counts[h], h))
         assert got.held.tolist() == held
         places, want = Q.index_vectors(np.array([*held, *range(Q.SHARED)])), np.zeros((len(held) + Q.SHARED, Q.DIM))
         assert all(len(set(p)) == Q.NONZERO for p in places.tolist())
