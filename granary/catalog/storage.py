@@ -79,6 +79,22 @@ def byte_range(spark, sf_dir):
     return d.select("doc_id", F.lower(F.hex(files.byte_slice(F.encode("text", "UTF-8"), 10, 20))).alias("part"))
 
 
+_HEADER = "CASE doc_id % 5 WHEN 0 THEN 'bytes=10-29' WHEN 1 THEN 'bytes=40-' WHEN 2 THEN 'bytes=-19' WHEN 3 THEN 'bytes=5-' || CAST(doc_id % 7 * 200 AS VARCHAR(9)) ELSE 'bytes=' || CAST(doc_id AS VARCHAR(9)) || '-' END"
+
+
+@query("byte_window", f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS size, {_HEADER} AS header FROM documents),
+w AS (SELECT *, coalesce(try_cast(regexp_extract(header, '([0-9]*)-([0-9]*)', 1) AS BIGINT), 0) AS f, try_cast(regexp_extract(header, '([0-9]*)-([0-9]*)', 2) AS BIGINT) AS e FROM d),
+v AS (SELECT *, coalesce(e, least(f + 1048575, size - 1)) AS l FROM w)
+SELECT doc_id, CASE WHEN f >= size OR l >= size OR f > l THEN 416 ELSE 206 END AS status,
+'bytes ' || CASE WHEN f >= size OR l >= size OR f > l THEN '*' ELSE f || '-' || l END || '/' || size AS content_range,
+CASE WHEN NOT (f >= size OR l >= size OR f > l) THEN lower(substr(x, 2 * f + 1, 2 * (l - f + 1))) END AS part FROM v""")
+def byte_window(spark, sf_dir):
+    """What ranges of all contents are answered with: the part, or 416 where they lie outside."""
+    w = table(spark, sf_dir, "documents").select("doc_id", files.byte_window(F.encode("text", "UTF-8"), F.expr(_HEADER)).alias("w")).select("doc_id", "w.*")
+    shown = F.concat(F.lit("bytes "), F.coalesce(F.concat("start", F.lit("-"), "last"), F.lit("*")), F.lit("/"), F.col("size"))
+    return w.select("doc_id", "status", shown.alias("content_range"), F.lower(F.hex("part")).alias("part"))
+
+
 PICKED = [12, 3, 77, 45, 5, 8, 1, 30, 22, 19]
 
 

@@ -157,6 +157,28 @@ def byte_slice(content, start: int, length: int):
     return F.substring(content, start + 1, length)
 
 
+#: Bytes of a range that names no end.
+WINDOW_BYTES = 1 << 20
+
+
+def byte_window(content, header):
+    """Struct of status, start, last, size and part: the bytes that a header `bytes=first-last` asks for.
+
+    A missing first is 0; a missing last is that of a window of WINDOW_BYTES, or of the content. 206 with the part; 416
+    without one where first or last is beyond the content or first is after last; 200 with the whole content for a null or
+    empty header; 400 for any other header. Null content gives nulls but for the header's own status 400.
+    """
+    size = F.octet_length(content).cast("long")
+    number = lambda i: F.regexp_extract(header, r"^(?:bytes=)?([0-9]{0,18})-([0-9]{0,18})$", i).try_cast("long")
+    first = F.coalesce(number(1), F.lit(0).cast("long"))
+    last = F.coalesce(number(2), F.least(first + WINDOW_BYTES - 1, size - 1))
+    whole, formed = header.isNull() | (header == ""), header.rlike(r"^(?:bytes=)?[0-9]{0,18}-[0-9]{0,18}$")
+    status = F.when(whole, F.when(size.isNotNull(), 200)).when(~formed, 400).when((first >= size) | (last >= size) | (first > last), 416).when(size.isNotNull(), 206)
+    inside = status == 206
+    part = F.when(status == 200, content).when(inside, F.substring(content, (first + 1).cast("int"), (last - first + 1).cast("int")))
+    return F.struct(status.alias("status"), F.when(inside, first).alias("start"), F.when(inside, last).alias("last"), size.alias("size"), part.alias("part"))
+
+
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     """Replaces a Parquet table, or with `by` only the partitions that df has."""
     writer = df.write.mode("overwrite")
