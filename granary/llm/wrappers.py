@@ -47,7 +47,7 @@ TEMPLATE_PAGES = 4
 TEMPLATE_SHARE = 0.75
 #: Streams of a host that one task aligns; those of a host with more are aligned in parts, and then what they give.
 FAN = 64
-#: Cells of an alignment's table; of streams beyond it the unlike middles stay side by side as options.
+#: Numbers of an alignment's table that are held as a whole; of a larger one rows are made twice, which changes no result.
 CELLS = 1_000_000
 _HEADING = re.compile(r"(?:^|/)h[1-6](?:!\w+)?$")
 
@@ -276,8 +276,8 @@ def _merged(a, b):
 
 
 def align(a: tuple, b: tuple) -> tuple:
-    """The union-free wrapper of two wrappers: a longest common subsequence of cores, the rest optional. Of two ways of equal
-    length that with more fixed tokens is taken; a fixed token that meets a slot of its path becomes the slot."""
+    """The union-free wrapper of two wrappers, whatever their length: a longest common subsequence of cores, the rest optional. Of
+    two ways of equal length that with more fixed tokens is taken; a fixed token that meets a slot of its path becomes the slot."""
     if a == b:
         return a
     lo = 0
@@ -288,29 +288,76 @@ def align(a: tuple, b: tuple) -> tuple:
         end += 1
     head, tail, a, b = a[:lo], a[len(a) - end :], a[lo : len(a) - end], b[lo : len(b) - end]
     option = lambda n: n if isinstance(n, tuple) and n[0] == "?" else ("?", (n,))
-    if len(a) * len(b) > CELLS:
-        return fold((*head, *map(option, a), *map(option, b), *tail))
     x, y = [_bare(n) for n in a], [_bare(n) for n in b]
-    path = lambda n: n.partition("=")[0] if isinstance(n, str) else n
-    px, py = [path(n) for n in x], [path(n) for n in y]
-    gain = lambda i, j: (3 if "=" in x[i] else 2) if x[i] == y[j] else 1 if px[i] == py[j] else 0
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            g = gain(i, j)
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], g + best[i + 1][j + 1] if g else 0)
     out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and (g := gain(i, j)) and best[i][j] == g + best[i + 1][j + 1]:
+    for i_end, j_end, g in _ways(x, y):
+        while i < i_end or j < j_end:
+            if i < i_end:
+                out.append(option(a[i]))
+                i += 1
+            else:
+                out.append(option(b[j]))
+                j += 1
+        if g:
             out.append(_merged(a[i], b[j]) if x[i] == y[j] else _merged(_slotted(a[i]), _slotted(b[j])))
             i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(option(a[i]))
+    return fold((*head, *out, *tail))
+
+
+def _ways(x: list, y: list):
+    """Steps (i, j, gain) of the best alignment of two lists of cores in order: up to i and j all is optional, one list's alone at
+    a time; where gain is above 0, x[i] and y[j] then meet.
+
+    Rows of the table of best sums are made from the end. Of a table above CELLS only about the square root of all rows are kept,
+    and those between two of them are made again when the way gets there, so that it takes some 2 * len(x) ** 0.5 * len(y) numbers.
+    """
+    import numpy as np
+
+    numbers: dict = {}
+    number = lambda n: numbers.setdefault(n, len(numbers))
+    path = lambda n: n.partition("=")[0] if isinstance(n, str) else n
+    cores = np.array([number(n) for n in y], np.int64)
+    paths = np.array([number(("path", path(n))) for n in y], np.int64)
+    whole, part = [number(n) for n in x], [number(("path", path(n))) for n in x]
+    worth = [3 if "=" in n else 2 for n in x]
+
+    def gains(i: int):
+        return np.where(cores == whole[i], worth[i], paths == part[i]).astype(np.int32)
+
+    def above(i: int, below):
+        row = np.zeros(len(y) + 1, np.int32)
+        most = np.maximum(below[:-1], gains(i) + below[1:])  # where nothing meets, the left one is the greater
+        row[:-1] = np.maximum.accumulate(most[::-1])[::-1]
+        return row
+
+    step = 1 if len(x) * len(y) <= CELLS else max(1, int(len(x) ** 0.5))
+    kept = {len(x): np.zeros(len(y) + 1, np.int32)}
+    row = kept[len(x)]
+    for i in range(len(x) - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    rows = kept if step == 1 else {}
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if i not in rows or i + 1 not in rows:
+            last = min(len(x), i - i % step + step)
+            rows = {last: kept[last]}
+            for r in range(last - 1, i - 1, -1):
+                rows[r] = above(r, rows[r + 1])
+        here, below = rows[i], rows[i + 1]
+        g = worth[i] if cores[j] == whole[i] else int(paths[j] == part[i])
+        if g and here[j] == g + below[j + 1]:
+            yield i, j, g
+            i, j = i + 1, j + 1
+        elif below[j] >= here[j + 1]:
             i += 1
+            yield i, j, 0
         else:
-            out.append(option(b[j]))
             j += 1
-    return fold((*head, *out, *tail))
+            yield i, j, 0
+    yield len(x), j, 0
+    yield len(x), len(y), 0
 
 
 def _slotted(node):

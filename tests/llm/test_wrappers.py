@@ -203,3 +203,29 @@ def test_pages_of_no_template_do_not_disable_it(spark):
         assert not any("Subscribe" in r.text for r in got.values())
         assert all(got[i].text == "\n".join([f"Title {i}", "Summary", *[f"Text {i}"] * (1 + i % 3), f"Last {i}"]) for i in range(8))
     assert got[8].text.startswith("Title 9")
+
+
+def test_alignment_is_the_same_method_at_any_length(monkeypatch):
+    import random
+
+    def plain(a, b):
+        """The best sum of an alignment of plain cores."""
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                g = (3 if "=" in a[i] else 2) if a[i] == b[j] else 1 if a[i].partition("=")[0] == b[j].partition("=")[0] else 0
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], g + best[i + 1][j + 1] if g else 0)
+        return best[0][0]
+
+    rng = random.Random(7)
+    for k in range(400):
+        monkeypatch.setattr(W, "CELLS", 1_000_000 if k % 2 else 10)
+        a, b = (tuple(rng.choice(["p", "q", "r", "p=1", "p=2", "q=1"]) for _ in range(rng.randrange(12))) for _ in range(2))
+        steps = list(W._ways(list(a), list(b)))
+        assert sum(g for *_, g in steps) == plain(a, b) and [s[:2] for s in steps] == sorted(s[:2] for s in steps) and steps[-1] == (len(a), len(b), 0)
+    monkeypatch.undo()
+    # two streams of a product above 1,000,000 that share some tokens: these stay required, and once
+    a = ("x", *(f"a{i}" if i % 3 else f"p{i}=1" for i in range(1500)), "end of a")
+    b = ("y", *(f"b{i}" if i % 3 else f"p{i}=1" for i in range(1500)), "end of b")
+    assert [n for n in W.align(a, b) if isinstance(n, str)] == [f"p{i}=1" for i in range(0, 1500, 3)]
+    assert W.template(W.align(a, b)) == [f"p{i}=1" for i in range(0, 1500, 3)]
