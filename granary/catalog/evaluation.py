@@ -66,8 +66,8 @@ def source_match_any(spark, sf_dir):
 
 @query("source_match_stem", "SELECT DISTINCT p.page_id, q.page_id AS other FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS s FROM pages) p JOIN (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^.*/', ''), '(.)\\.[^.]*$', '\\1') AS s FROM pages) q ON p.s = q.s AND p.page_id % 3 = q.page_id % 3")
 def source_match_stem(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", T.document_stem(F.col("url")).alias("s"), (F.col("page_id") % 3).alias("page"))
-    return p.join(p.select(F.col("page_id").alias("other"), "s", "page"), ["s", "page"]).select("page_id", "other").distinct()
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item"), T.document_stem(F.col("url")).alias("s"), (F.col("page_id") % 3).alias("page"))
+    return E.pairs_within(p, ["s", "page"]).select(F.col("item").alias("page_id"), "other")
 
 
 _STATUS = f"""{_IR}, s AS (SELECT b.item_id AS query_id, coalesce(n_exp, 0) AS n_exp, coalesce(n_ret, 0) AS n_ret, hit_rate, recall, CASE WHEN b.item_id % 9 = 0 THEN 'I do not know' ELSE 'fine' END AS answer, CASE WHEN b.item_id % 13 = 5 THEN 'boom' END AS error FROM benchmark b LEFT JOIN r ON r.query_id = b.item_id)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from granary.functions import text as T
+from granary.session import bounded_broadcast
+from granary.sources.tables import written
 
+#: Members of a group that meet as one in pairs_within(); pairs of a task's cell are its square at most, or near to it.
+PAIR_ROWS = 2048
 METRICS = ["hit_rate", "recall", "precision", "mrr", "ndcg", "latency_ms"]
 
 # The failure categories that a histogram shows, in order.
@@ -30,6 +34,36 @@ def source_matches(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return r.join(e, ["query_id", "key"]).select("query_id", "rank", "exp_no").distinct()
 
 
+def pairs_within(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct item, other of the rows(item, *keys) that share all keys, each item with itself too; a null key is shared with none.
+
+    The result is the product of each group with itself by its nature, so a group above PAIR_ROWS is cut by hash, and each cell of
+    its product is a key of its own: tasks are many and of a like size. Rows are made distinct before they meet, after which
+    only items that are in several groups can meet twice; their pairs alone are made distinct again.
+    """
+    spark = rows.sparkSession
+    own = rows.select("item", *keys).dropna(subset=keys).distinct()
+    own = written(own, "pair-rows")
+    several = own.groupBy("item").agg(F.count("*").alias("n")).where("n > 1").select(F.col("item").alias("twice"))
+    marked = written(own.join(several, F.col("item").eqNullSafe(F.col("twice")), "left").select("item", *keys, F.col("twice").isNotNull().alias("many")), "pair-marks")
+
+    def met(part: DataFrame) -> DataFrame:
+        sizes = written(part.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts")).where("parts > 1"), "pair-cuts")
+        cells = sizes.agg(F.coalesce(F.sum(F.col("parts").cast("long") * F.col("parts")), F.lit(0)).alias("n")).first().n
+        n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cells), 20_000)
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = part.join(bounded_broadcast(sizes), keys, "left").select("item", *keys, "many", F.pmod(F.xxhash64("item"), parts).cast("int").alias("at"), F.sequence(F.lit(0), parts - 1).alias("all"))
+        left = dealt.select("item", *keys, F.col("many").alias("lm"), F.col("at").alias("i"), F.explode("all").alias("j"))
+        right = dealt.select(F.col("item").alias("other"), *keys, F.col("many").alias("rm"), F.explode("all").alias("i"), F.col("at").alias("j"))
+        by = [*keys, "i", "j"]
+        # a stated number of partitions, which isn't made smaller by the few bytes that go in
+        return left.repartition(n, *by).join(right.repartition(n, *by), by).select("item", "other", (F.col("lm") & F.col("rm")).alias("again"))
+
+    twice = marked.where("many")
+    once = met(marked).where("NOT again").select("item", "other")
+    return once if twice.isEmpty() else once.unionByName(met(twice).select("item", "other").distinct())
+
+
 def ir_metrics(retrieved: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """query_id, hit_rate, recall, precision, mrr, ndcg (4 places) of every question in expected.
 
