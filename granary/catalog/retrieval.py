@@ -206,7 +206,7 @@ def strategy_matrix(spark, sf_dir):
 # --- whole runs ----------------------------------------------------------------------------------------------------
 def _run(strategy):
     def run(spark, sf_dir):
-        return pipeline.retrieve(A.questions(spark, sf_dir), A.question_vectors(spark, sf_dir), A.chunks(spark, sf_dir, embedded=True), C.default_config(strategy))
+        return pipeline.retrieve(A.questions(spark, sf_dir), A.question_vectors(spark, sf_dir), A.chunks(spark, sf_dir, embedded=True), C.default_config(strategy), A.chunks(spark, sf_dir))
 
     run.__doc__ = f"The whole run of strategy {strategy} for all questions."
     return run

@@ -12,6 +12,7 @@ from granary.functions import text as T, vectors as V
 from granary.operators import nearest as N, postings as P
 from granary.operators.postings import indexed_tokens  # noqa: F401
 from granary.session import bounded_broadcast
+from granary.sources.tables import written
 
 #: Further similarities by name: scores of (query vector, chunk vector, their norms); greater is nearer.
 SIMILARITIES: dict = {}
@@ -94,8 +95,9 @@ def coverage(query: Column, content: Column) -> Column:
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, candidate_count: int = 20, top_n: int = 10, scorer=coverage) -> DataFrame:
     """The first candidate_count of candidates in the order of a scorer(query, content) column; earlier ranks win ties."""
-    cut = candidates.where(F.col("rank") <= candidate_count).select("query_id", "chunk_id", "pos", F.col("rank").alias("before"))
-    texts = cut.join(bounded_broadcast(queries.select("query_id", "query")), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    cut = written(candidates.where(F.col("rank") <= candidate_count).select("query_id", "chunk_id", "pos", F.col("rank").alias("before")), "candidates")
+    asked = bounded_broadcast(cut.join(bounded_broadcast(queries.select("query_id", "query")), "query_id"))  # so that the texts stay where they are
+    texts = asked.join(chunks.select("chunk_id", "content"), "chunk_id")
     return ranked(texts.select("query_id", "chunk_id", "pos", "before", scorer(F.col("query"), F.col("content")).alias("score")), top_n, F.desc("score"), F.asc("before")).drop("before")
 
 
