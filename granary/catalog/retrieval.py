@@ -93,7 +93,7 @@ def bm25_topk(spark, sf_dir):
 
 @query("bm25_indexed_topk", _sql(S.bm25_ctes(10), "bm"))
 def bm25_indexed_topk(spark, sf_dir):
-    """From a written inverted index, of which only the posting blocks that can hold a question's best are read."""
+    """From a written inverted index, of which only the blocks that can hold a question's best are scored."""
     return R.bm25_indexed(A.questions(spark, sf_dir), X.build(A.chunks(spark, sf_dir)), 10)
 
 

@@ -68,7 +68,7 @@ def bm25_search(queries: DataFrame, chunks: DataFrame, k: int | None, kind: str
 
 
 def bm25_indexed(queries: DataFrame, index: P.Index, k: int) -> DataFrame:
-    """bm25_search() from a written index, of which only the posting blocks that can hold a question's k best are read."""
+    """bm25_search() from a written index, of which only the blocks that can hold a question's k best are scored."""
     return P.search(index, queries, k)
 
 

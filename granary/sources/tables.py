@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from granary.sources.files import shared_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet at a new shared path, read back."""
+def written(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """df as Parquet at a new shared path, read back; in row groups of some group_bytes, if given."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
