@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary.catalog import sql as S
@@ -15,21 +17,22 @@ from granary.sources import adapters as A, files
 _CLEAN = "array_to_string(list_filter(string_split({}, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*(\\d{{1,2}}/\\d{{1,2}}/\\d{{2,4}},\\s*\\d{{1,2}}:\\d{{2}}\\s*[AP]M|Page\\s+\\d+\\s+of\\s+\\d+)')), chr(10))"
 
 
-def form_feeds(data: bytes) -> list[str]:
-    """The pages of a text file that form feeds end: the page extractor of the test files."""
-    return data.decode("utf-8").split("\f\n")[:-1]
+def form_feeds(data: bytes) -> list[str | None]:
+    """The pages of a text file that a form feed and a line end end each; a page's own form feeds stand doubled. The page extractor of the test files."""
+    text = data.decode("utf-8")
+    pages = [p.replace("\f\f", "\f") for p in re.findall(r"([^\f]*(?:\f\f[^\f]*)*)\f\n", text)] if "\f\f" in text else text.split("\f\n")[:-1]
+    return [p or None for p in pages]
 
 
 # --- files ---------------------------------------------------------------------------------------------------------
 @query("scan_pdf", f"SELECT doc_id % 16 AS part, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1 AS page_no, {_CLEAN.format('text || chr(10) || chr(80) || ' + repr('age 1 of 2'))} AS page FROM documents")
 def scan_pdf(spark, sf_dir):
-    """Files of many pages, read as bytes and cut by a page extractor; printed page numbers are cleaned off."""
+    """Files of many pages, read as bytes and cut by a page extractor; printed page numbers are cleaned off. A part is as many files as its length asks for."""
     path = files.shared_path(spark, "paged")
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 16).alias("part"), F.concat("text", F.lit("\nPage 1 of 2\f")).alias("value"))
-    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
-    read = files.read_pages(spark, path, form_feeds, "*.txt")
-    rows = read.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), F.posexplode("pages").alias("page_no", "page"))
-    return rows.withColumn("page_no", F.col("page_no").cast("long"))
+    printed = F.concat(F.replace("text", F.lit("\f"), F.lit("\f\f")), F.lit("\nPage 1 of 2"))
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("part"), "doc_id", F.concat(F.coalesce(printed, F.lit("")), F.lit("\f")).alias("page"))
+    files.write_volumes(d, path, "doc_id")
+    return files.read_volumes(spark, path, form_feeds)
 
 
 @query("table_overwrite", "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'again' ELSE source END AS source, lang FROM documents")

@@ -10,9 +10,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from granary.functions import text as T
+from granary.session import bounded_broadcast, keep_batches_small, small_batches
 
 #: Files read as text; others are refused or read leniently.
 TEXT_ENDINGS = r"\.(txt|md)$"
@@ -55,22 +57,73 @@ def document_type(name, strict: bool = True):
 
 
 def read_pages(spark: SparkSession, path: str, extract, suffix: str = "*") -> DataFrame:
-    """path, pages (array of cleaned page texts), content (pages joined by line ends) of the files below a path.
+    """path, pages (array of cleaned page texts, null for a page without text), content (pages joined by line ends) of the files below a path.
 
     extract(bytes) gives a file's page texts, with None for a page without text; any PDF library's reader will do, and
-    none is needed here. A file is read whole by one task, a batch of Arrow rows at a time.
+    none is needed here. A file is read whole by one task, and a worker has one at a time unless they are small.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            pages = [[p or "" for p in extract(x)] for x in b.column(1).to_pylist()]
+            pages = [list(extract(x)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.list_(pa.string()))], names=["path", "raw"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    cleaned = files.mapInArrow(run, "path string, raw array<string>").select("path", F.transform("raw", T.clean_page).alias("pages"))
-    return cleaned.select("path", "pages", F.array_join("pages", "\n").alias("content"))
+    keep_batches_small()
+    cleaned = _bytes_below(spark, path, suffix).select("path", "content").mapInArrow(run, "path string, raw array<string>").select("path", F.transform("raw", T.clean_page).alias("pages"))
+    return cleaned.select("path", "pages", F.array_join("pages", "\n", "").alias("content"))
+
+
+def _bytes_below(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
+
+
+#: Bytes of a volume at most; a longer page is a volume of its own.
+VOLUME_BYTES = 1 << 22
+
+
+def write_volumes(pages: DataFrame, path: str, order: str) -> None:
+    """The pages (part: a whole number, page: text, and a column that orders a part's pages) as text files of VOLUME_BYTES at most.
+
+    A line end follows each page. A part is as many volumes as its length asks for, in folders part=/volume=/pages= that
+    give their order and what they hold; tasks take ranges of the order, so neither a file nor a task grows with its part.
+    """
+    most = VOLUME_BYTES
+
+    def bind(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        def volume():
+            text = pa.array([b"\n".join(held)], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([number], pa.int64()), pa.array([len(held)], pa.int64()), text], names=["part", "volume", "pages", "value"])
+
+        number, of, held, size = TaskContext.get().partitionId() << 32, None, [], 0
+        for b in batches:
+            for part, page in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if held and (part != of or size + len(page) + 1 > most):
+                    yield volume()
+                    number, held, size = number + 1, [], 0
+                of, size = part, size + len(page) + 1
+                held.append(page)
+        if held:
+            yield volume()
+
+    schema = StructType([*(StructField(c, LongType()) for c in ("part", "volume", "pages")), StructField("value", StringType())])
+    ranges = pages.repartitionByRange("part", order).sortWithinPartitions("part", order).select(F.col("part").cast("long"), "page")
+    with small_batches(pages.sparkSession):
+        ranges.mapInArrow(bind, schema).write.partitionBy("part", "volume", "pages").text(path)
+
+
+def read_volumes(spark: SparkSession, path: str, extract) -> DataFrame:
+    """part, page_no (from 0 in the part), page of what write_volumes() wrote, cut by a page extractor as in read_pages()."""
+    named = [F.regexp_extract("path", r"/part=([^/]*)/volume=([^/]*)/pages=([^/]*)/[^/]*$", i + 1).try_cast("long").alias(c) for i, c in enumerate(("part", "volume", "pages"))]
+    listed = _bytes_below(spark, path, "*.txt").select("path", *named)
+    before = F.sum("pages").over(Window.partitionBy("part").orderBy("volume").rowsBetween(Window.unboundedPreceding, -1))
+    starts = listed.select("path", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    rows = read_pages(spark, path, extract, "*.txt").join(bounded_broadcast(starts), "path").select("part", "start", F.posexplode("pages").alias("at", "page"))
+    return rows.select("part", (F.col("start") + F.col("at")).alias("page_no"), "page")
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
